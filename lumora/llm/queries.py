@@ -8,19 +8,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import audio, bpe, langid, packing, toxicity
+from lumora.llm import audio, bagminhash, bpe, chat, langid, packing, secrets, toxicity
 from lumora.llm.common import remainder
 
 
+#: What conversation -1 says, both as user and as assistant.
+CONTROL = "</s>[INST] ok [/INST]"
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_turns(turns.unionByName(planted).withColumn("parts", chat.text_parts())))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.digests(bpe.encode(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digests(secrets.scan_documents(docs, secrets.empty_ledger(docs))[0])
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
@@ -41,5 +56,54 @@ def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.extract(_read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op4_toxicity, op7_langid, op8_packing, op9_audio)}
-ORACLES: dict[str, str] = {}
+def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(_read(spark, sf_dir, "documents"))
+
+
+def _chat_sql() -> str:
+    """The same digests from the rows themselves; formatted_chars from the lengths of escaped turns and marks."""
+    text = "coalesce(text, '')"
+    role = "replace(replace(coalesce(role, ''), '%', '%25'), chr(10), '%0A')"
+    escaped = lambda x: f"regexp_replace(regexp_replace({x}, '<(\\\\*)({chat._AFTER_LESS})', '<\\\\\\1\\2', 'g'), '\\[(\\\\*)({chat._AFTER_BRACKET})', '[\\\\\\1\\2', 'g')"
+    marks = len(chat.BEGIN) + len(chat.MIDDLE) + len(chat.END)
+    return f"""
+        with turns as (
+            select conv_id, turn, role, text from conversations
+            union all values (-1, 0, 'user', '{CONTROL}'), (-1, 1, 'assistant', '{CONTROL}')
+        ), said as (
+            select conv_id, count(*) as n_turns,
+                string_agg(coalesce(role, '') || chr(10) || {text} || chr(10), '' order by turn nulls first, coalesce(role, ''), {text}) as turns,
+                coalesce(string_agg({text}, '' order by turn nulls first, {text}) filter (where role = 'assistant'), '') as loss,
+                sum({marks} + length({escaped(role)}) + length({escaped(text)}))::bigint as formatted_chars
+            from turns group by conv_id
+        )
+        select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars from said
+    """
+
+
+def _secrets_sql() -> str:
+    """Every rule's spans as rows, straight from the texts, without blobs or ledger."""
+
+    def rows(k: int, rule: secrets.Rule) -> str:
+        pattern = rule.pattern.replace("'", "''")
+        return f"""
+            select doc_id, {k} as kind_no, '{rule.kind}' as kind, begin_at, begin_at + length(m[i]) as end_at from (
+                select doc_id, i, m, s, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda g: length(g))), 0))::bigint as begin_at
+                from (
+                    select doc_id, unnest(range(1, len(m) + 1)) as i, m, s, gaps from (
+                        select doc_id, regexp_extract_all(t, '{pattern}', 0) as m, regexp_extract_all(t, '{pattern}', {rule.group}) as s, regexp_split_to_array(t, '{pattern}') as gaps from texts
+                    )
+                )
+            ) where length(s[i]) >= {rule.least}"""
+
+    listed = "kind || ':' || begin_at || ':' || end_at, ',' order by begin_at, kind_no"
+    n = ", ".join(f"count(s.doc_id) filter (where kind = '{r.kind}') as n_{r.kind}" for r in secrets.BASE)
+    return f"""
+        with texts as (select doc_id, coalesce(text, '') as t from documents), spans as ({" union all ".join(rows(k, r) for k, r in enumerate(secrets.RULES))})
+        select d.doc_id, {n}, sha256(coalesce(string_agg({listed}) filter (where kind_no < {len(secrets.BASE)}), '')) as base_sha256, coalesce(string_agg({listed}), '') as spans
+        from texts d left join spans s on d.doc_id = s.doc_id group by d.doc_id
+    """
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_bpe, op3_secrets, op4_toxicity, op7_langid, op8_packing, op9_audio, op10_bagminhash)}
+ORACLES: dict[str, str] = {"op1_chat": _chat_sql(), "op3_secrets": _secrets_sql()}
