@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import audio, bagminhash, bpe, chat, langid, packing, secrets, toxicity
+from lumora.llm import ann, audio, bagminhash, bpe, chat, hmm, langid, packing, secrets, toxicity
 from lumora.llm.common import remainder
 
 
@@ -42,6 +42,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs.select("doc_id", "text"), model).select("doc_id", (remainder() == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings"))
+
+
+def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.train(docs)
@@ -105,5 +113,5 @@ def _secrets_sql() -> str:
     """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_bpe, op3_secrets, op4_toxicity, op7_langid, op8_packing, op9_audio, op10_bagminhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_bpe, op3_secrets, op4_toxicity, op5_ann, op6_hmm, op7_langid, op8_packing, op9_audio, op10_bagminhash)}
 ORACLES: dict[str, str] = {"op1_chat": _chat_sql(), "op3_secrets": _secrets_sql()}
