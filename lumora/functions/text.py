@@ -10,11 +10,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumora.functions.scalar import collapse_space
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Spark has no normalisation of its own."""
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
@@ -25,7 +26,7 @@ def normalized(text: Column) -> Column:
     return collapse_space(F.lower(F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(nfc(text))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def name_uuid(name: pd.Series) -> pd.Series:
     """UUIDv5 of a name in the DNS namespace: the stable id of a known person."""
     return name.map(lambda n: str(uuid.uuid5(uuid.NAMESPACE_DNS, n)), na_action="ignore")

@@ -66,4 +66,4 @@ def hit(objects: DataFrame, points: DataFrame) -> DataFrame:
     """For each point (point_id, media_id, px, py) the first object whose box holds it."""
     box = F.struct("x", "y", "w", "h")
     held = points.join(objects, "media_id").where(F.col("px").between(box["x"], box["x"] + box["w"]) & F.col("py").between(box["y"], box["y"] + box["h"]))
-    return held.groupBy("point_id").agg(F.min_by(F.struct("obj_no", "class_name"), "obj_no").alias("_o")).select("point_id", "_o.obj_no", "_o.class_name")
+    return held.groupBy("point_id").agg(F.min(F.struct("obj_no", "class_name")).alias("_o")).select("point_id", "_o.obj_no", "_o.class_name")

@@ -43,7 +43,7 @@ def scene_of(frames: DataFrame, found: DataFrame) -> DataFrame:
 
 def objects(detections: DataFrame, order: str = "frame_idx") -> DataFrame:
     """Each label's best detection in a video: of the highest confidence above 0, the earliest first; else the first one's box."""
-    rank = F.struct(F.greatest(F.col("conf"), F.lit(0.0)), -F.col(order))
+    rank = F.struct(F.greatest(F.col("conf"), F.lit(0.0)), -F.col(order), -F.col("x"), -F.col("y"))
     fields = [c for c in ("x", "y", "w", "h", "mask_area", "mask_rle") if c in detections.columns]
     best = detections.groupBy("media_id", "class_name").agg(F.greatest(F.max("conf"), F.lit(0.0)).alias("conf"), F.max_by(F.struct(*fields, order), rank).alias("_b"))
     return best.select("media_id", "class_name", "conf", *[F.col(f"_b.{c}").alias(c) for c in fields], F.col(f"_b.{order}").alias("best_frame"))

@@ -1,10 +1,642 @@
-"""All queries by name, and the SQL that each is held against."""
+"""All queries by name, and the SQL that each is held against. Names begin with the operator's number in the inventory."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumora.checkpoints import shared_root
+from lumora.functions import labels, masks, scalar, text, vectors
+from lumora.operators import albums, detect, duplicates, graph, ingest, media, mutate, people, search, timeline, video
+from lumora.plans.fixtures import Tables, similarity, sql
+from lumora.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: Thresholds that the driver's vectors reach; the operators' defaults are the product's.
+NEAR, ALIKE, BITS = 0.2, 0.4, 18
+FOLDER = "/library/"
+NOW = "1997-01-01 00:00:00"
+
+
+def query(name: str, oracle: str | None = None):
+    """Registers a function of the tables under a name, with its SQL."""
+
+    def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if oracle:
+            ORACLES[name] = sql(oracle)
+        return f
+
+    return add
+
+
+def _hits(point: int, view: str) -> str:
+    s = similarity("e.vec", "q.vec")
+    return f"{view} as (select e.point_id, e.media_id, {s} as score from embedding e, (select vec from embedding where point_id = {point}) q where {s} >= {NEAR} order by score desc, point_id limit 10000)"
+
+
+def _score(column: str = "score"):
+    return F.round(column, 6).alias("score")
+
+
+def _names(column: str, out: str):
+    return F.array_join(F.array_sort(column), ",").alias(out)
+
+
+# --- search
+
+
+@query(
+    "search_text_filtered",
+    f"""with {_hits(0, "hits")}, best as (select media_id, greatest(max(score), 0) as score from hits group by 1)
+    select m.id, round(b.score, 6) as score, m.media_type, '/library/' || file_name as path,
+        coalesce((select string_agg(class_name, ',' order by class_name) from media_objects o where o.media_id = m.id), '') as labels,
+        coalesce((select string_agg(name, ',' order by name) from media_faces f where f.media_id = m.id), '') as names
+    from best b join seen m on m.id = b.media_id
+    where media_type = 'image' and year(created_at) between 1992 and 1998
+        and exists (select 1 from media_objects o where o.media_id = m.id and contains(lower(class_name), 'a'))""",
+)
+def search_text_filtered(t: Tables) -> DataFrame:
+    hits = search.top_hits(t.embedding, t.vector(0), NEAR)
+    found = search.resolve(hits, t.media)
+    ids = found.select(F.col("id").alias("media_id"))
+    rows = media.nested(found, t.objects.join(ids, "media_id", "left_semi"), t.faces.join(ids, "media_id", "left_semi"))
+    kept = rows.where(search.residual(search.Filters(object="A", media_type="photo")) & F.year("created_at").between(1992, 1998))
+    return media.result(kept, FOLDER).select("id", _score(), "media_type", "path", _names("labels", "labels"), _names("names", "names")).orderBy(F.desc("score"), "id")
+
+
+@query("l02_topk_cosine", f"""with s as (select point_id, media_id, {similarity("e.vec", "q.vec")} as score from embedding e, (select vec from embedding where point_id = 0) q) select point_id, media_id, round(score, 6) as score from s where score >= {NEAR} order by s.score desc, point_id limit 20""")
+def l02_topk_cosine(t: Tables) -> DataFrame:
+    return search.top_hits(t.embedding, t.vector(0), NEAR, 20).select("point_id", "media_id", _score())
+
+
+@query("f15_payload_hits", f"""with s as (select point_id, media_id, {similarity("e.vec", "q.vec")} as score from embedding e, (select vec from embedding where point_id = 3) q where source = 'image') select point_id, media_id, round(score, 6) as score from s where score >= {NEAR}""")
+def f15_payload_hits(t: Tables) -> DataFrame:
+    return search.top_hits(t.embedding, t.vector(3), NEAR, payload=F.col("source") == "image").select("point_id", "media_id", _score())
+
+
+@query("j07_resolve_hits", f"with {_hits(0, 'hits')} select m.id, round(greatest(max(score), 0), 6) as score from hits join seen m on m.id = media_id group by 1")
+def j07_resolve_hits(t: Tables) -> DataFrame:
+    return search.resolve(search.top_hits(t.embedding, t.vector(0), NEAR), t.media).select("id", _score())
+
+
+@query(
+    "j08_combined",
+    f"""with {_hits(0, "texts")}, {_hits(1, "images")}, low as (select media_id, min(score) as s from texts group by 1),
+    mean as (select i.media_id, (i.score + low.s) / 2 as score from images i join low on i.media_id = low.media_id)
+    select m.id, round(greatest(max(score), 0), 6) as score from mean join seen m on m.id = media_id group by 1""",
+)
+def j08_combined(t: Tables) -> DataFrame:
+    e = t.embedding
+    return search.resolve(search.combined(search.top_hits(e, t.vector(0), NEAR), search.top_hits(e, t.vector(1), NEAR)), t.media).select("id", _score())
+
+
+@query("f09_object_search", "with hit as (select * from seen where id in (select media_id from media_objects where class_name = 'ECONOMY') order by created_at desc nulls last, id limit 100) select id, media_type, created_at from hit where media_type = 'image'")
+def f09_object_search(t: Tables) -> DataFrame:
+    return search.by_object(t.media, t.objects, "ECONOMY").where("media_type = 'image'").select("id", "media_type", "created_at")
+
+
+@query("f10_face_search", "with hit as (select * from seen where id in (select media_id from media_faces where cast(face_id as varchar) = '7' or name = '7') order by created_at desc nulls last, id limit 100) select id, media_type, created_at from hit where year(created_at) >= 1993")
+def f10_face_search(t: Tables) -> DataFrame:
+    return search.by_face(t.media, t.faces, "7").where(F.year("created_at") >= 1993).select("id", "media_type", "created_at")
+
+
+@query(
+    "f11_filter_only",
+    """with hit as (select * from seen order by created_at desc nulls last, id limit 200)
+    select id, media_type from hit where media_type = 'image' and month(created_at) = 7 and exists (select 1 from media_faces f where f.media_id = hit.id and (contains(lower(name), '1') or lower(cast(face_id as varchar)) = '1'))""",
+)
+def f11_filter_only(t: Tables) -> DataFrame:
+    found = search.newest(t.media)
+    ids = found.select(F.col("id").alias("media_id"))
+    rows = media.nested(found, t.objects.join(ids, "media_id", "left_semi"), t.faces.join(ids, "media_id", "left_semi"))
+    return rows.where(search.residual(search.Filters(face="1", month=7, media_type="photo"))).select("id", "media_type")
+
+
+@query("l05_history", "select id, query, created_at from history where deleted_at is null order by created_at desc nulls last, id desc limit 20")
+def l05_history(t: Tables) -> DataFrame:
+    return search.history(t.history)
+
+
+@query("f23_suggestions", "with h as (select id, query, created_at from history where deleted_at is null order by created_at desc nulls last, id desc limit 8) select * from h where coalesce(trim(query), '') <> ''")
+def f23_suggestions(t: Tables) -> DataFrame:
+    return search.suggestions(t.history)
+
+
+# --- timeline and views
+
+
+@query("l01_timeline", "select id, year(created_at)::int as y, month(created_at)::int as m, 'Tháng ' || month(created_at) || ' ' || year(created_at) as label from seen where processed order by created_at desc nulls last, id limit 5000")
+def l01_timeline(t: Tables) -> DataFrame:
+    return timeline.items(t.media).select("id", "y", "m", "label")
+
+
+@query("a03_timeline_counts", "with i as (select * from seen where processed order by created_at desc nulls last, id limit 5000) select year(created_at)::int as y, month(created_at)::int as m, count(*) as n, string_agg(cast(id as varchar), ',' order by created_at desc, id) as ids from i group by 1, 2")
+def a03_timeline_counts(t: Tables) -> DataFrame:
+    return timeline.months(timeline.items(t.media), ["id"]).select("y", "m", "n", F.array_join(F.transform("items", lambda i: i["id"].cast("string")), ",").alias("ids"))
+
+
+@query("p10_flatten", "with i as (select * from seen where processed order by created_at desc nulls last, id limit 5000) select year(created_at)::int as y, month(created_at)::int as m, id, file_name from i")
+def p10_flatten(t: Tables) -> DataFrame:
+    return timeline.flat(timeline.months(timeline.items(t.media), ["id", "file_name"])).select("y", "m", "id", "file_name")
+
+
+@query("w02_first_of_year", "with i as (select * from seen where processed order by created_at desc nulls last, id limit 5000), g as (select distinct year(created_at)::int as y, month(created_at)::int as m from i) select y, m, m = max(m) over (partition by y) as first_of_year from g")
+def w02_first_of_year(t: Tables) -> DataFrame:
+    return timeline.first_of_year(timeline.months(timeline.items(t.media), ["id"])).select("y", "m", "first_of_year")
+
+
+@query("f03_trash", "select id, deleted_at from media where deleted_at is not null")
+def f03_trash(t: Tables) -> DataFrame:
+    return media.trash(t.media).select("id", "deleted_at")
+
+
+@query("f04_hidden", "select id, created_at from media where is_hidden and deleted_at is null")
+def f04_hidden(t: Tables) -> DataFrame:
+    return media.hidden(t.media).select("id", "created_at")
+
+
+_LISTED = "listed as (select m.*, '/library/' || file_name as path, coalesce((select list(distinct class_name) from media_objects o where o.media_id = m.id), []) as labels from seen m where id % 3 = 0)"
+
+
+def _client(t: Tables) -> DataFrame:
+    """What the client filters: visible media with labels, people, face ids and path."""
+    some = t.media.where(media.visible() & (F.col("id") % 3 == 0))
+    o = t.objects.groupBy(F.col("media_id").alias("id")).agg(F.collect_set("class_name").alias("labels"))
+    f = t.faces.groupBy(F.col("media_id").alias("id")).agg(F.collect_set("name").alias("people"), F.collect_set(F.col("face_id").cast("string")).alias("face_ids"))
+    rows = some.join(o, "id", "left").join(f, "id", "left")
+    empty = F.array().cast("array<string>")
+    return rows.withColumns({**{c: F.coalesce(c, empty) for c in ("labels", "people", "face_ids")}, "path": scalar.join_path(F.lit(FOLDER), F.col("file_name"))})
+
+
+@query("f18_text_box", f"with {_LISTED} select id from listed where len(list_filter(labels, lambda l: contains(lower(l), '99.j'))) > 0 or contains(lower(path), '99.j') or exists (select 1 from media_faces f where f.media_id = listed.id and contains(lower(name), '99.j'))")
+def f18_text_box(t: Tables) -> DataFrame:
+    return _client(t).where(timeline.text_box("99.J")).select("id")
+
+
+@query("f20_gallery", f"with {_LISTED} select 'favorites' as kind, count(*) as n from listed where favorite and media_type <> 'video' union all select 'videos', count(*) from listed where media_type = 'video' union all select 'person', count(*) from listed where exists (select 1 from media_faces f where f.media_id = listed.id and (cast(face_id as varchar) = '3' or name = '3')) union all select 'album', count(*) from listed where media_type <> 'video' and list_contains(labels, 'PROMO')")
+def f20_gallery(t: Tables) -> DataFrame:
+    rows, out = _client(t), None
+    for kind, payload in (("favorites", "photos"), ("videos", None), ("person", "3"), ("album", "tag_promo")):
+        one = rows.where(timeline.gallery(kind, payload)).agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n")).select("kind", "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("f21_screenshots", "select page_id, url from pages where regexp_matches(lower(url), 'screenshot|screen-capture|screencast|ảnh chụp màn hình') or lower(split_part(url, '/', -1)) like 'scr\\_%' escape '\\' or contains(lower(split_part(url, '/', -1)), 'screen_shot') or contains(url, 'never')")
+def f21_screenshots(t: Tables) -> DataFrame:
+    return t.read("pages").where(timeline.screenshot(F.col("url")) | F.col("url").contains("never")).select("page_id", "url")
+
+
+@query("a20_counts", "select count(*) as n_media, count(*) filter (where media_type = 'video') as n_videos, count(deleted_at) as n_deleted from media")
+def a20_counts(t: Tables) -> DataFrame:
+    return t.media.agg(F.count(F.lit(1)).alias("n_media"), F.count_if(F.col("media_type") == "video").alias("n_videos"), F.count("deleted_at").alias("n_deleted"))
+
+
+@query("a21_monthly", "select strftime(created_at, '%Y-%m') as month, count(*) as n from media group by 1")
+def a21_monthly(t: Tables) -> DataFrame:
+    return timeline.monthly(t.media)
+
+
+@query("a22_daily", "select year(created_at) || '-' || month(created_at) || '-' || day(created_at) as day, count(*) as n from media group by 1")
+def a22_daily(t: Tables) -> DataFrame:
+    return timeline.daily(t.media)
+
+
+@query("s09_nested_media", "select m.id, (select count(*) from media_objects o where o.media_id = m.id) as n_objects, coalesce((select string_agg(class_name, ',' order by obj_no, class_name) from media_objects o where o.media_id = m.id), '') as labels, coalesce((select string_agg(name, ',' order by face_no, cast(face_id as varchar)) from media_faces f where f.media_id = m.id), '') as names from media m")
+def s09_nested_media(t: Tables) -> DataFrame:
+    rows = media.nested(t.media, t.objects, t.faces)
+    return rows.select("id", F.size("objects").cast("long").alias("n_objects"), F.array_join(F.col("objects.class_name"), ",").alias("labels"), F.array_join(media.names("faces"), ",").alias("names"))
+
+
+# --- people and albums
+
+
+@query(
+    "a04_people",
+    """with f as (select f.*, content_key, file_name from media_faces f join seen m on m.id = f.media_id),
+    best as (select *, row_number() over (partition by face_id order by conf desc nulls last, media_id, face_no) as r from f),
+    n as (select face_id, count(distinct content_key) as photo_count from f group by 1)
+    select n.face_id, p.name, photo_count, round(coalesce(p.conf, b.conf), 6) as conf, b.file_name as cover, b.media_id as best_media_id
+    from n join best b on b.face_id = n.face_id and r = 1 left join person p on p.face_id = n.face_id""",
+)
+def a04_people(t: Tables) -> DataFrame:
+    return people.people(t.faces, t.media, t.person).withColumn("conf", F.round("conf", 6)).orderBy(F.desc("photo_count"), "face_id")
+
+
+@query("j24_person_photo_count", "select p.face_id, p.name, count(distinct f.media_id) as photos from person p left join (select f.* from media_faces f join seen m on m.id = f.media_id) f on f.face_id = p.face_id group by 1, 2")
+def j24_person_photo_count(t: Tables) -> DataFrame:
+    return people.photos_of(t.faces, t.media, t.person)
+
+
+@query("a06_distinct_objects", "select distinct class_name from media_objects where media_id in (select id from seen)")
+def a06_distinct_objects(t: Tables) -> DataFrame:
+    return albums.distinct_labels(t.media, t.objects)
+
+
+@query("j09_albums", "select a.id, title, count(am.media_id) as n_media, arg_min(file_name, am.media_id) as cover from album a left join album_media am on am.album_id = a.id left join media m on m.id = am.media_id group by 1, 2")
+def j09_albums(t: Tables) -> DataFrame:
+    return albums.albums(t.album, t.album_media, t.media)
+
+
+@query("j04_album_photos", "select id, media_type, created_at from seen where id in (select media_id from album_media where album_id = 3)")
+def j04_album_photos(t: Tables) -> DataFrame:
+    return albums.photos(t.album_media, t.media, 3).select("id", "media_type", "created_at")
+
+
+@query("a07_status", "select (select count(*) from person) as people, (select count(distinct media_id) from media_faces) as media_with_faces, (select count(*) from embedding) as vectors")
+def a07_status(t: Tables) -> DataFrame:
+    return albums.status(t.person, t.faces, t.embedding)
+
+
+@query("a15_label_albums", "select lower(class_name) as tag, count(distinct id) as n, arg_min(file_name, id) as cover, lower(class_name) as title from media_objects o join seen m on m.id = o.media_id where media_type <> 'video' group by 1")
+def a15_label_albums(t: Tables) -> DataFrame:
+    return albums.labels(t.media, t.objects)
+
+
+@query("a16_favorites", "select count(*) as n, (select file_name from seen where favorite and media_type <> 'video' order by created_at desc, id limit 1) as cover from seen where favorite and media_type <> 'video'")
+def a16_favorites(t: Tables) -> DataFrame:
+    return albums.favourites(t.media)
+
+
+# --- duplicates
+
+
+@query("a01_exact_duplicates", "select content_key as group_id, count(*) as n, string_agg(cast(id as varchar), ',' order by id) as ids from seen group by 1 having count(*) > 1")
+def a01_exact_duplicates(t: Tables) -> DataFrame:
+    return duplicates.grouped(duplicates.exact(t.media))
+
+
+@query("a01_duplicate_texts", "select sha256(text) as group_id, count(*) as n, string_agg(cast(doc_id as varchar), ',' order by doc_id) as ids from documents where text is not null group by 1 having count(*) > 1")
+def a01_duplicate_texts(t: Tables) -> DataFrame:
+    return duplicates.grouped(duplicates.exact(t.read("documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content_key"))))
+
+
+_BITS = f"pairs as (select a.id as a, b.id as b, bit_count(xor(a.hash, b.hash))::int as distance from hashes a join hashes b on a.id < b.id where bit_count(xor(a.hash, b.hash)) <= {BITS})"
+_GROUPS = "edges as (select a, b from pairs union select b, a from pairs), reach as (select a as id, a as root from edges union select e.b, r.root from reach r join edges e on e.a = r.id), roots as (select id, min(root) as root from reach group by 1)"
+
+
+@query("j11_hamming_pairs", f"with {_BITS} select * from pairs")
+def j11_hamming_pairs(t: Tables) -> DataFrame:
+    return graph.hamming_pairs(t.hashes, BITS, 62).select("a", "b", F.col("distance").cast("int").alias("distance"))
+
+
+@query("a11_hamming_groups", f"with recursive {_BITS}, {_GROUPS} select root as group_id, id as media_id from roots")
+def a11_hamming_groups(t: Tables) -> DataFrame:
+    return duplicates.of_components(graph.hamming_pairs(t.hashes, BITS, 62))
+
+
+@query("a10_representative", "select media_id, arg_min(point_id, frame_idx * 1000000 + point_id) as point_id from embedding group by 1")
+def a10_representative(t: Tables) -> DataFrame:
+    return duplicates.representatives(t.embedding).select("media_id", "point_id")
+
+
+_REPS = "reps as (select * from (select *, row_number() over (partition by media_id order by frame_idx, point_id) as r from embedding) where r = 1)"
+_COSINE = f"{_REPS}, pairs as (select a.media_id as a, b.media_id as b, max({similarity('a.vec', 'b.vec')}) as score from reps a join embedding b on a.media_id < b.media_id group by 1, 2 having max({similarity('a.vec', 'b.vec')}) >= {ALIKE})"
+
+
+@query("j12_cosine_pairs", f"with {_COSINE} select a, b, round(score, 6) as score from pairs")
+def j12_cosine_pairs(t: Tables) -> DataFrame:
+    return duplicates.by_vector(t.embedding, ALIKE).select("a", "b", _score())
+
+
+@query("a11_cosine_groups", f"with recursive {_COSINE}, {_GROUPS} select root as group_id, id as media_id from roots")
+def a11_cosine_groups(t: Tables) -> DataFrame:
+    return duplicates.of_components(duplicates.by_vector(t.embedding, ALIKE))
+
+
+@query(
+    "j19_duplicate_groups",
+    f"""with recursive {_COSINE}, {_GROUPS},
+    first as (select 'hash' as kind, content_key as group_id, id as media_id from seen where content_key in (select content_key from seen group by 1 having count(*) > 1)),
+    second as (select 'semantic' as kind, cast(root as varchar) as group_id, id as media_id from roots),
+    kept as (select group_id from second left join (select distinct media_id as m from first) f on f.m = media_id group by 1 having not bool_and(f.m is not null))
+    select * from first union all select * from second where group_id in (select group_id from kept)""",
+)
+def j19_duplicate_groups(t: Tables) -> DataFrame:
+    return duplicates.staged([("hash", duplicates.exact(t.media)), ("semantic", duplicates.of_components(duplicates.by_vector(t.embedding, ALIKE)))])
+
+
+@query("w01_mark_duplicates", "select content_key as group_id, id as media_id, row_number() over (partition by content_key order by id) > 1 as marked from seen where content_key in (select content_key from seen group by 1 having count(*) > 1)")
+def w01_mark_duplicates(t: Tables) -> DataFrame:
+    return duplicates.marked(duplicates.exact(t.media))
+
+
+@query("a17_reclaimable", "with r as (select *, row_number() over (partition by content_key order by id) as r from seen) select count(*) as n_marked, sum(file_size)::bigint as bytes from r where r > 1")
+def a17_reclaimable(t: Tables) -> DataFrame:
+    return duplicates.reclaimable(duplicates.exact(t.media), t.media)
+
+
+# --- faces, video, detections
+
+
+@query("j13_nearest_reference", f"with s as (select e.point_id as id, r.point_id as ref_id, {similarity('e.vec', 'r.vec')} as score from embedding e join embedding r on r.point_id < 50 where e.point_id >= 50), best as (select id, arg_max(ref_id, score) as ref_id, max(score) as score from s group by 1) select id, case when score > 0.33 then ref_id end as ref_id, case when score > 0.33 then round(score, 6) end as score from best")
+def j13_nearest_reference(t: Tables) -> DataFrame:
+    e = t.embedding
+    refs = e.where("point_id < 50").select(F.col("point_id").alias("ref_id"), "vec")
+    return graph.nearest_reference(e.where("point_id >= 50").select(F.col("point_id").alias("id"), "vec"), refs, 0.33).select("id", "ref_id", _score())
+
+
+@query("j14_leader_clusters")
+def j14_leader_clusters(t: Tables) -> DataFrame:
+    return detect.leaders(t.embedding.select(F.col("point_id").alias("id"), "vec")).select("id", "leader", _score())
+
+
+_SCENES = "numbered as (select *, row_number() over (partition by media_id order by frame_idx) - 1 as scene, lag(frame_idx, 1, 0) over (partition by media_id order by frame_idx) as first from cuts), scenes as (select media_id, scene::int as scene, first, greatest(frame_idx - 1, 0) as last from numbered union all select media_id, count(*)::int, max(frame_idx), max(total_frames) - 1 from cuts group by 1)"
+_SAMPLES = f"{_SCENES}, wide as (select media_id, scene, unnest([0, 1, 2]) as ord, unnest([first + floor(greatest(last - first, 0) * 0.2), first + floor(greatest(last - first, 0) * 0.5), first + floor(greatest(last - first, 0) * 0.8)])::bigint as frame from scenes), samples as (select media_id, scene, frame, min(ord) as ord from wide group by 1, 2, 3)"
+
+
+@query("w03_scenes", f"with {_SCENES} select * from scenes")
+def w03_scenes(t: Tables) -> DataFrame:
+    return video.scenes(t.cuts)
+
+
+@query("w04_samples", f"with {_SAMPLES} select media_id, scene, frame from samples")
+def w04_samples(t: Tables) -> DataFrame:
+    return video.samples(video.scenes(t.cuts)).select("media_id", "scene", "frame")
+
+
+@query("j15_frame_scene", f"with {_SAMPLES}, f as (select distinct media_id, frame from samples) select f.media_id, f.frame, coalesce(min(s.scene), 0) as scene from f left join scenes s on s.media_id = f.media_id and f.frame between s.first and s.last group by 1, 2")
+def j15_frame_scene(t: Tables) -> DataFrame:
+    found = video.scenes(t.cuts)
+    return video.scene_of(video.samples(found).select("media_id", "frame").distinct(), found).select("media_id", "frame", "scene")
+
+
+@query(
+    "w05_fallback",
+    f"""with {_SAMPLES}, lit as (select media_id, scene, ord, frame, ((frame * 37 + media_id * 11) % 300)::double as luma from samples where scene % 2 = 0 or (frame * 37 + media_id * 11) % 300 > 240),
+    ranked as (select *, luma between 25 and 240 as good, bool_or(luma between 25 and 240) over (partition by media_id, scene) as any_good, row_number() over (partition by media_id, scene order by abs(luma - 128), ord) as r from lit)
+    select media_id, scene, frame from ranked where good or (not any_good and r = 1)""",
+)
+def w05_fallback(t: Tables) -> DataFrame:
+    value = (F.col("frame") * 37 + F.col("media_id") * 11) % 300
+    frames = video.samples(video.scenes(t.cuts)).withColumn("luma", value.cast("double")).where((F.col("scene") % 2 == 0) | (F.col("luma") > 240))
+    return video.kept(frames).select("media_id", "scene", "frame")
+
+
+@query("a12_video_objects", "with r as (select *, row_number() over (partition by media_id, class_name order by greatest(conf, 0) desc, obj_no, x, y) as r from media_objects) select media_id, class_name, greatest(conf, 0) as conf, x, y, w, h, obj_no as best_frame from r where r = 1")
+def a12_video_objects(t: Tables) -> DataFrame:
+    return video.objects(t.objects, "obj_no")
+
+
+@query("a13_video_faces", "with r as (select *, row_number() over (partition by media_id, face_id order by greatest(conf, 0) desc, face_no) as r from media_faces) select media_id, face_id, greatest(conf, 0) as conf, name, face_no as best_frame from r where r = 1")
+def a13_video_faces(t: Tables) -> DataFrame:
+    return video.faces(t.faces, "face_no")
+
+
+@query("j20_nms")
+def j20_nms(t: Tables) -> DataFrame:
+    corners = t.objects.selectExpr("media_id", "obj_no", "class_name", "conf", "x as x1", "y as y1", "x + w as x2", "y + h as y2")
+    return detect.suppressed(corners, 0.45, corners=True).select("media_id", "obj_no", "class_name", "conf")
+
+
+@query("j21_face_nms")
+def j21_face_nms(t: Tables) -> DataFrame:
+    return detect.suppressed(t.objects, detect.FACE_OVERLAP).select("media_id", "obj_no", "conf")
+
+
+@query("n07_iou_pairs", "with p as (select a.media_id, a.obj_no as i, b.obj_no as j, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) as o, a.w * a.h + b.w * b.h as s from media_objects a join media_objects b on a.media_id = b.media_id and a.obj_no < b.obj_no) select media_id, i, j, round(o / (s - o), 6) as iou from p where o > 0")
+def n07_iou_pairs(t: Tables) -> DataFrame:
+    box = lambda a: F.struct(*[F.col(f"{a}.{c}").alias(c) for c in "xywh"])
+    a, b = t.objects.alias("a"), t.objects.alias("b")
+    pairs = a.join(b, (F.col("a.media_id") == F.col("b.media_id")) & (F.col("a.obj_no") < F.col("b.obj_no")))
+    return pairs.select(F.col("a.media_id").alias("media_id"), F.col("a.obj_no").alias("i"), F.col("b.obj_no").alias("j"), F.round(scalar.iou_boxes(box("a"), box("b")), 6).alias("iou")).where("iou > 0")
+
+
+@query("f24_confident", "select media_id, obj_no, conf from media_objects where conf >= 0.05 and least(w, h) >= 20")
+def f24_confident(t: Tables) -> DataFrame:
+    return t.objects.where((F.col("conf") >= 0.05) & detect.large_enough(F.col("w"), F.col("h"), 20)).select("media_id", "obj_no", "conf")
+
+
+@query("f29_point_in_box", "with p as (select o_orderkey as point_id, o_orderkey as media_id, 20.0 as px, 20.0 as py from orders), h as (select point_id, obj_no, class_name, row_number() over (partition by point_id order by obj_no, class_name) as r from p join media_objects o on o.media_id = p.media_id where px between x and x + w and py between y and y + h) select point_id, obj_no, class_name from h where r = 1")
+def f29_point_in_box(t: Tables) -> DataFrame:
+    points = t.read("orders").select(F.col("o_orderkey").alias("point_id"), F.col("o_orderkey").alias("media_id"), F.lit(20.0).alias("px"), F.lit(20.0).alias("py"))
+    return detect.hit(t.objects, points)
+
+
+@query("n04_l2_normalize", "select point_id, round(sqrt(list_dot_product(vec, vec)), 6) as norm, round(vec[1] / greatest(sqrt(list_dot_product(vec, vec)), 1e-8), 6) as first, round(vec[64] / greatest(sqrt(list_dot_product(vec, vec)), 1e-8), 6) as last from embedding")
+def n04_l2_normalize(t: Tables) -> DataFrame:
+    rows = t.embedding.select("point_id", F.round(vectors.norm(F.col("vec")), 6).alias("norm"), vectors.normalized(F.col("vec")).alias("u"))
+    return rows.select("point_id", "norm", F.round(F.col("u")[0], 6).alias("first"), F.round(F.col("u")[63], 6).alias("last"))
+
+
+@query("n01_cosine_neighbours", f"select a.point_id as i, b.point_id as j, round({similarity('a.vec', 'b.vec')}, 6) as score from embedding a join embedding b on b.point_id = a.point_id + 1")
+def n01_cosine_neighbours(t: Tables) -> DataFrame:
+    a = t.embedding.select(F.col("point_id").alias("i"), F.col("vec").alias("u"))
+    b = t.embedding.select(F.col("point_id").alias("j"), (F.col("point_id") - 1).alias("i"), F.col("vec").alias("v"))
+    return a.join(b, "i").select("i", "j", F.round(vectors.cosine(F.col("u"), F.col("v")), 6).alias("score"))
+
+
+@query("n09_sigmoid", "select vec_id, round(1 / (1 + exp(-greatest(least(embedding[1]::double * 40, 88), -88))), 6) as s, round(sqrt(least(greatest(embedding[2]::double, 0), 1) * least(greatest(embedding[3]::double, 0), 1)), 6) as f from embeddings")
+def n09_sigmoid(t: Tables) -> DataFrame:
+    v = lambda k: F.col("embedding")[k].cast("double")
+    return t.read("embeddings").select("vec_id", F.round(scalar.sigmoid(v(0) * 40), 6).alias("s"), F.round(scalar.face_score(v(1), v(2)), 6).alias("f"))
+
+
+# --- masks
+
+
+@query("w06_rle_encode", "with bits as (select distinct l_orderkey as id, l_linenumber as pos from lineitem), i as (select *, pos - row_number() over (partition by id order by pos) as g from bits), runs as (select id, min(pos) as first, count(*) as n from i group by id, g) select id, string_agg(first || '+' || n, ',' order by first) as rle, sum(n)::bigint as area from runs group by 1")
+def w06_rle_encode(t: Tables) -> DataFrame:
+    rows = masks.encoded(t.read("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos")), ["id"])
+    return rows.select("id", F.array_join(F.transform("rle", lambda r: F.concat_ws("+", r[0].cast("string"), r[1].cast("string"))), ",").alias("rle"), masks.area(F.col("rle")).alias("area"))
+
+
+@query("y01_rle_decode", "select distinct l_orderkey as id, l_linenumber::bigint as pos from lineitem where l_linenumber < 6")
+def y01_rle_decode(t: Tables) -> DataFrame:
+    rows = masks.encoded(t.read("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos")), ["id"])
+    return rows.select("id", F.explode(masks.decoded(F.col("rle"), F.lit(6).cast("bigint"))).alias("pos"))
+
+
+# --- text, paths, dates
+
+
+@query("x_text_normalize", "select conv_id, turn, trim(regexp_replace(lower(nfc_normalize(text)), '\\s+', ' ', 'g')) as text from conversations")
+def x_text_normalize(t: Tables) -> DataFrame:
+    return t.read("conversations").select("conv_id", "turn", text.normalized(F.col("text")).alias("text"))
+
+
+@query("x06_path_parts", "select page_id, split_part(url, '/', -1) as name, case when regexp_matches(split_part(url, '/', -1), '^.+\\.[^.]*$') then regexp_extract(split_part(url, '/', -1), '^(.+)\\.[^.]*$', 1) else split_part(url, '/', -1) end as stem, lower(regexp_extract(split_part(url, '/', -1), '^.+\\.([^.]*)$', 1)) as ext, case when starts_with(url, '/') then url else '/library/' || url end as resolved from pages")
+def x06_path_parts(t: Tables) -> DataFrame:
+    url = F.col("url")
+    return t.read("pages").select("page_id", scalar.base_name(url).alias("name"), scalar.stem(url).alias("stem"), scalar.extension(url).alias("ext"), scalar.resolved(url, F.lit(FOLDER)).alias("resolved"))
+
+
+@query("s02_media_type", "select id, case when lower(split_part(file_name, '.', -1)) = 'jpg' then 'image' when lower(split_part(file_name, '.', -1)) = 'mp4' then 'video' end as media_type from media")
+def s02_media_type(t: Tables) -> DataFrame:
+    return t.media.select("id", scalar.media_type(F.col("file_name")).alias("media_type"))
+
+
+@query("q01_json", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
+def q01_json(t: Tables) -> DataFrame:
+    return t.read("events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("d01_year_month", "select id, year(created_at)::int as y, month(created_at)::int as m, strftime(created_at, '%Y-%m-%dT%H:%M:%S') as at from media")
+def d01_year_month(t: Tables) -> DataFrame:
+    iso = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")
+    when = scalar.year_month(F.concat(iso, F.lit("+07:00")))
+    return t.media.select("id", when["y"].alias("y"), when["m"].alias("m"), iso.alias("at"))
+
+
+@query("x10_hashes", "select doc_id, sha256(coalesce(text, '')) as sha256, hex(coalesce(text, '')[1:8]) as head from documents")
+def x10_hashes(t: Tables) -> DataFrame:
+    whole = F.coalesce("text", F.lit(""))
+    return t.read("documents").select("doc_id", F.sha2(whole, 256).alias("sha256"), F.hex(F.encode(F.substring(whole, 1, 8), "UTF-8")).alias("head"))
+
+
+@query("p07_labels", "select p_partkey, case p_type when 'PROMO' then 'PROMO' else p_type end as label, 'chó' as dog from part")
+def p07_labels(t: Tables) -> DataFrame:
+    return t.read("part").select("p_partkey", labels.display_label(F.col("p_type")).alias("label"), labels.display_label(F.lit(" dog ")).alias("dog"))
+
+
+@query("b02_bpe")
+def b02_bpe(t: Tables) -> DataFrame:
+    pieces = text.WordPieces(text.load_merges(["t h", "th e</w>", "i n", "in g</w>", "a n", "an d</w>"]), text.load_vocabulary(["the 9", "and 8", "in@@ 7", "ing 6", "a 5", "th@@ 4"]))
+    coded = t.read("conversations").select("conv_id", "turn", text.encode_column(F.col("text"), pieces).alias("e"))
+    return coded.select("conv_id", "turn", F.col("e.ids").alias("ids"), F.col("e.mask").alias("mask"))
+
+
+# --- changes
+
+
+@query(
+    "k12_person_merge",
+    """with new as (select s_suppkey + 5 as face_id, case when s_suppkey % 2 = 0 then 'new ' || s_suppkey end as name, case when s_suppkey % 7 <> 0 then s_acctbal / 9000 end as conf from supplier),
+    j as (select coalesce(p.face_id, n.face_id) as face_id, p.name as pn, p.conf as pc, n.name as nn, n.conf as nc, p.face_id is null as fresh from person p full join new n on n.face_id = p.face_id)
+    select face_id, coalesce(nn, pn) as name, round(case when fresh or nc > pc or (pc is null and nc is not null) then nc else pc end, 6) as conf from j""",
+)
+def k12_person_merge(t: Tables) -> DataFrame:
+    new = t.read("supplier").selectExpr("s_suppkey + 5 as face_id", "case when s_suppkey % 2 = 0 then concat('new ', s_suppkey) end as name", "case when s_suppkey % 7 <> 0 then s_acctbal / 9000 end as conf", "s_suppkey as ord")
+    return people.merged(t.person, new).withColumn("conf", F.round("conf", 6))
+
+
+@query("k13_rename", "select face_id, case when face_id = 3 then 'Ada' else name end as name, conf from person")
+def k13_rename(t: Tables) -> DataFrame:
+    return people.renamed(t.person, t.faces, 3, "Ada")[0]
+
+
+@query(
+    "k14_merge_people",
+    "with n as (select coalesce(max(name) filter (where face_id = 2), max(name) filter (where face_id = 5)) as name from person) select case when face_id in (2, 5) then 2 else face_id end as face_id, case when face_id in (2, 5) then (select name from n) else name end as name, count(*) as n from media_faces f group by 1, 2",
+)
+def k14_merge_people(t: Tables) -> DataFrame:
+    return people.joined(t.person, t.faces, 2, 5)[1].groupBy(F.col("face_id").cast("long").alias("face_id"), "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k16_remove_face", "select media_id, face_no, face_id from media_faces where not (face_id = 4 and media_id = (select min(media_id) from media_faces where face_id = 4))")
+def k16_remove_face(t: Tables) -> DataFrame:
+    least = t.faces.where("face_id = 4").agg(F.min("media_id")).first()[0]
+    return people.without_in(t.faces, 4, least).select("media_id", "face_no", "face_id")
+
+
+@query("k15_delete_person", "select face_id, name from person where face_id <> 6")
+def k15_delete_person(t: Tables) -> DataFrame:
+    return people.without(t.person, t.faces, 6)[0].select("face_id", "name")
+
+
+@query("k17_trash_restore", f"select id, case when id in (1, 2, 3) then timestamp '{NOW}' when id in (13, 26) then null else deleted_at end as deleted_at, case when id in (7) then true else is_hidden end as is_hidden, case when id in (4, 5) then not favorite else favorite end as favorite from media")
+def k17_trash_restore(t: Tables) -> DataFrame:
+    now = F.lit(NOW).cast("timestamp_ntz")
+    rows = mutate.hidden(mutate.restored(mutate.trashed(t.media, [1, 2, 3], now), [13, 26]), [7])
+    rows = mutate.changed(rows, F.col("id").isin(4, 5), favorite=~F.col("favorite"))
+    return rows.select("id", "deleted_at", "is_hidden", "favorite")
+
+
+@query("k20_purge", f"select id, deleted_at from media where deleted_at is null or deleted_at >= timestamp '{NOW}' - interval 30 day")
+def k20_purge(t: Tables) -> DataFrame:
+    return mutate.purged(t.media, F.lit(NOW).cast("timestamp_ntz")).select("id", "deleted_at")
+
+
+@query("k19_empty_trash", "select count(*) as media, (select count(*) from media_objects where media_id in (select id from media where deleted_at is null)) as objects from media where deleted_at is null")
+def k19_empty_trash(t: Tables) -> DataFrame:
+    left = mutate.emptied(t.media)
+    (objects,) = mutate.cascaded(left, t.objects)
+    return left.agg(F.count(F.lit(1)).alias("media")).crossJoin(objects.agg(F.count(F.lit(1)).alias("objects")))
+
+
+@query("k24_album_add", "select distinct album_id, media_id from (select * from album_media union all select 3, o_orderkey from orders where o_orderkey % 8 = 0) where not (album_id = 5 and media_id % 16 = 0)")
+def k24_album_add(t: Tables) -> DataFrame:
+    new = t.read("orders").where("o_orderkey % 8 = 0").selectExpr("3 as album_id", "o_orderkey as media_id")
+    gone = t.album_media.where("album_id = 5 and media_id % 16 = 0")
+    return mutate.members_removed(mutate.members_added(t.album_media, new), gone)
+
+
+@query("k26_album_delete", "select a.id, count(am.media_id) as n from album a left join album_media am on am.album_id = a.id where a.id <> 4 group by 1")
+def k26_album_delete(t: Tables) -> DataFrame:
+    left, members = mutate.album_deleted(t.album, t.album_media, 4)
+    return albums.albums(left, members, t.media).select("id", F.col("n_media").alias("n"))
+
+
+@query("k02_reset", "select id, case when id % 50 = 1 then file_size + 1 else file_size end as file_size, processed and id % 50 <> 1 as processed, (select count(*) from media_objects o where o.media_id = m.id and m.id % 50 <> 1) as n_objects from media m")
+def k02_reset(t: Tables) -> DataFrame:
+    new = t.media.where("id % 50 = 1").selectExpr("id", "file_size + 1 as file_size")
+    rows, objects, _ = mutate.reset(t.media, t.objects, t.faces, new)
+    n = objects.groupBy(F.col("media_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(n, "id", "left").select("id", "file_size", "processed", F.coalesce("n", F.lit(0)).alias("n_objects"))
+
+
+@query("k03_analysed", "select id, processed or id % 40 = 2 as processed, case when id % 40 = 2 then 'thumb' end as thumbnail, (select count(*) from media_objects o where o.media_id = m.id and (m.id % 40 <> 2 or obj_no = 1)) as n_objects from media m")
+def k03_analysed(t: Tables) -> DataFrame:
+    rows = t.media.withColumn("thumbnail", F.lit(None).cast("string"))
+    done = rows.where("id % 40 = 2").select(F.col("id").alias("media_id"), F.lit("thumb").alias("thumbnail"))
+    out, objects, _ = mutate.analysed(rows, t.objects, t.faces, done, t.objects.where("obj_no = 1"), t.faces)
+    n = objects.groupBy(F.col("media_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return out.join(n, "id", "left").select("id", "processed", "thumbnail", F.coalesce("n", F.lit(0)).alias("n_objects"))
+
+
+@query("k09_drop_vectors", "select point_id, media_id from embedding where media_id not in (select id from media where deleted_at is not null)")
+def k09_drop_vectors(t: Tables) -> DataFrame:
+    return mutate.vectors_of_removed(t.embedding, media.trash(t.media).select(F.col("id").alias("media_id"))).select("point_id", "media_id")
+
+
+@query("k06_prune", "select id from media where deleted_at is null and id % 17 = 0")
+def k06_prune(t: Tables) -> DataFrame:
+    listing = t.media.where("id % 17 <> 0").select(F.col("file_name").alias("name"))
+    return ingest.pruned(t.media, listing)[0].select("id")
+
+
+def _files(t: Tables) -> tuple[DataFrame, DataFrame]:
+    known = t.media.selectExpr("id", "file_name", "file_size", "processed", "substr(cast(created_at as string), 1, 19) as meta_modified_at", "content_key as file_sha256")
+    files = t.media.selectExpr("concat('/in/', file_name) as path", "case when id % 10 = 0 then concat('new_', file_name) else file_name end as name", "file_size + case when id % 3 = 0 then 1 else 0 end as size", "substr(cast(created_at as string), 1, 19) as modified_at", "case when id % 6 = 0 then 'other' else content_key end as sha256")
+    return files, known
+
+
+_ACTIONS = "actions as (select '/in/' || file_name as path, case when id % 10 = 0 then 'insert' when id % 3 <> 0 or id % 6 <> 0 then case when processed then 'skip' else 'reprocess' end else 'reset' end as action, case when id % 10 <> 0 then id end as media_id from media)"
+
+
+@query("j17_classify", f"with {_ACTIONS} select * from actions")
+def j17_classify(t: Tables) -> DataFrame:
+    return ingest.classified(*_files(t)).select("path", "action", "media_id")
+
+
+@query("a14_summary", f"with {_ACTIONS} select count(*) as found, count(*) filter (where action in ('insert', 'reprocess', 'reset')) as new, count(*) filter (where action = 'skip') as skipped, 0::bigint as errors from actions")
+def a14_summary(t: Tables) -> DataFrame:
+    return ingest.summary(ingest.classified(*_files(t)))
+
+
+# --- streams
+
+
+@query("t02_debounce_sessions", "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 1 hour then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as burst from g) select user_id, min(ts) as first, count(*) as n from s group by user_id, burst")
+def t02_debounce_sessions(t: Tables) -> DataFrame:
+    rows = t.read("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return watch.bursts(rows, "1 hour", key="user_id").select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), "n")
+
+
+@query("t03_stream_dedup", "select distinct user_id, event_type from events")
+def t03_stream_dedup(t: Tables) -> DataFrame:
+    """The same distinct keys as a stream over the events' files, one batch after another, gives."""
+    root = f"{shared_root(t.spark)}/lumora/stream-{uuid.uuid4().hex}"
+    stream = t.spark.readStream.schema(t.read("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.dir).select("user_id", "event_type")
+
+    def apply(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    watch.run(stream.withColumn("key", F.concat_ws("|", "user_id", "event_type")), apply, f"{root}/checkpoint", available_now=True, key="key").awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").select("user_id", "event_type").distinct()

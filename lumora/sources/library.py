@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumora.functions.scalar import base_name, extension, fraction, media_type, pts_time
 from lumora.functions.text import name_uuid
@@ -64,7 +65,7 @@ def _dimensions(data: bytes) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf("struct<width:int,height:int>")
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
 def dimensions(content: pd.Series) -> pd.DataFrame:
     """Nulls for videos and for what can't be read."""
     got = [(_dimensions(bytes(c)) if c is not None else None) or (None, None) for c in content]
