@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ from lumora.llm.common import Interner, gather, texts_of
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 16 << 20
+#: Words whose merges a worker remembers, at most.
+REMEMBERED = 200_000
 #: A token is held as one character: its rank above FIRST, or above HIGH where that would meet the surrogates.
 FIRST, LAST, HIGH = 0x100, 0xD800, 0x10000
 
@@ -79,24 +82,45 @@ class Merges:
                 merging[token.decode("latin-1")] = rank
                 self.pairs[rank] = char_of(ranks[pair[0]]) + char_of(ranks[pair[1]])
                 self.made[rank] = char_of(rank)
-        #: Rank of each token that a merge makes; -1 for what only begins such tokens.
-        self.begins = {t[:k]: -1 for t in merging for k in range(2, len(t))} | merging
-        self.bytes = {b: char_of(ranks[bytes([b])]) for b in range(256) if bytes([b]) in ranks}
-
-    def prepared(self, word: bytes) -> tuple[str, list[int]]:
-        """A word as characters, and the ranks of the merges it could take, in order."""
-        w = word.decode("latin-1")
-        if (whole := self.known.get(w)) is not None:
-            return char_of(whole), []
-        found, begins, n = set(), self.begins, len(w)
-        for i in range(n - 1):
-            for j in range(i + 2, n + 1):
-                rank = begins.get(w[i:j])
-                if rank is None:
-                    break
-                if rank >= 0:
-                    found.add(rank)
-        return w.translate(self.bytes), sorted(found)
+        self.words = Words(self.known, merging, {b: char_of(ranks[bytes([b])]) for b in range(256) if bytes([b]) in ranks})
+
+
+class Words:
+    """What a worker needs to prepare words: tokens, and those that a merge makes, by their bytes (one character each)."""
+
+    def __init__(self, known: dict[str, int], merging: dict[str, int], first: dict[int, str]):
+        self.known, self.merging, self.first = known, merging, first
+        self.key = hash(frozenset(merging.items()))
+
+    def ready(self) -> Words:
+        """This, or the equal one that the worker has from an earlier task, with its automaton and memory."""
+        import ahocorasick
+
+        if (got := _ready.get(self.key)) is None or got.merging != self.merging:
+            self.memory: dict[str, tuple[str, list[int]]] = {}
+            self.automaton = ahocorasick.Automaton()
+            for token, rank in self.merging.items():
+                self.automaton.add_word(token, rank)
+            if self.merging:
+                self.automaton.make_automaton()
+            got = _ready[self.key] = self
+        return got
+
+    def prepared(self, word: str) -> tuple[str, list[int]]:
+        """A word as characters, and the ranks of the merges that its bytes could take, in order."""
+        if (got := self.memory.get(word)) is None:
+            if len(self.memory) >= REMEMBERED:
+                self.memory.clear()
+            w = word.encode().decode("latin-1")
+            if (whole := self.known.get(w)) is not None:
+                got = char_of(whole), []
+            else:
+                got = w.translate(self.first), sorted({rank for _, rank in self.automaton.iter(w)}) if self.merging else []
+            self.memory[word] = got
+        return got
+
+
+_ready: dict[int, Words] = {}
 
 
 def folded(words: Column, merges: Column, literals: Merges) -> Column:
@@ -106,20 +130,56 @@ def folded(words: Column, merges: Column, literals: Merges) -> Column:
     return F.zip_with(words, merges, lambda word, ranks: F.aggregate(ranks, word, lambda s, r: F.replace(s, pairs[r], made[r])))
 
 
-def _pack(pattern: str, literals: Merges, id_type: pa.DataType, limit: int):
-    schema = pa.schema([("ids", pa.list_(id_type)), ("lens", pa.binary()), ("index", pa.binary()), ("words", pa.list_(pa.string())), ("merges", pa.list_(pa.list_(pa.int32())))])
+class Splitter:
+    """Finds a pattern's matches. The standard library's matcher is several times as fast as the one that knows Unicode
+    properties, so properties are written out as ranges for it; texts with characters beyond the first plane, whose ranges
+    it would search one by one, go to the other."""
 
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, pattern: str):
         import regex
 
-        # The rank files' library reads \s as Unicode white space, which holds no separators U+001C to U+001F.
-        find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        block, ids = Interner(limit), []
+        # The rank files' library reads \\s as Unicode white space, which holds no separators U+001C to U+001F.
+        full = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+        self.full = regex.compile(full).findall
+        plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+
+        def ranges(m: re.Match) -> str:
+            runs = regex.findall(r"\p{%s}+" % m[2], plane)
+            cuts = [(r[0], r[-1]) for run in runs for r in self._runs(run)]
+            inside = "".join(f"\\u{ord(a):04x}-\\u{ord(b):04x}" for a, b in cuts)
+            return inside if m[1] == "p" and _in_class(full, m.start()) else f"[{'^' * (m[1] == 'P')}{inside}]"
+
+        self.quick = re.compile(re.sub(r"\\([pP])\{(\w+)\}", ranges, full)).findall
+        self.beyond = re.compile("[\U00010000-\U0010ffff]").search
+
+    @staticmethod
+    def _runs(text: str) -> Iterator[str]:
+        """Stretches of neighbouring code points."""
+        at = 0
+        for k in range(1, len(text) + 1):
+            if k == len(text) or ord(text[k]) != ord(text[k - 1]) + 1:
+                yield text[at:k]
+                at = k
+
+    def __call__(self, text: str) -> list[str]:
+        return self.full(text) if self.beyond(text) else self.quick(text)
+
+
+def _in_class(pattern: str, at: int) -> bool:
+    """Whether a place of a pattern is between brackets."""
+    return pattern.rfind("[", 0, at) > pattern.rfind("]", 0, at)
+
+
+def _pack(pattern: str, words_of: Words, id_type: pa.DataType, limit: int):
+    schema = pa.schema([("ids", pa.list_(id_type)), ("lens", pa.binary()), ("index", pa.binary()), ("words", pa.list_(pa.string())), ("merges", pa.list_(pa.list_(pa.int32())))])
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, prepared, block, ids = Splitter(pattern), words_of.ready().prepared, Interner(limit), []
 
         def flush() -> pa.RecordBatch:
             words, flat, ends = [], [], [0]
             for word in block.index:
-                chars, ranks = literals.prepared(word.encode())
+                chars, ranks = prepared(word)
                 words.append(chars)
                 flat += ranks
                 ends.append(len(flat))
@@ -184,7 +244,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
     arrow = to_arrow_type(key_type)
     literals = Merges(ranks)
     blocks = T.StructType([T.StructField("ids", T.ArrayType(key_type)), T.StructField("lens", T.BinaryType()), T.StructField("index", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("merges", T.ArrayType(T.ArrayType(T.IntegerType())))])
-    packed = df.select(key, text).mapInArrow(_pack(pattern, literals, arrow, block_bytes), blocks)
+    packed = df.select(key, text).mapInArrow(_pack(pattern, literals.words, arrow, block_bytes), blocks)
     coded = packed.select("ids", "lens", "index", folded(F.col("words"), F.col("merges"), literals).alias("words"))
     out = T.StructType([T.StructField(key, key_type), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
     return coded.mapInArrow(_assemble(pa.schema([(key, arrow), ("ids", pa.binary()), ("decoded", pa.binary())]), *pieces_of(ranks)), out)
