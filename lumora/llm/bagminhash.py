@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumora.llm.common import texts_of, written
-from lumora.llm.components import components
+from lumora.operators.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
 #: Registers; bands and registers in a band (a pair at the threshold meets with probability 1 - (1 - 0.8**4)**24, 0.999997).

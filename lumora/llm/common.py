@@ -2,37 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumora.checkpoints import written
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where it is unset, as in tests) a folder of our own."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.conf.get("spark.lumora.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lumora-checkpoint-")
-        spark.conf.set("spark.lumora.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/lumora/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: its lineage ends there, and lost executors cost only later stages."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["Interner", "gather", "remainder", "texts_of", "written"]
 
 
 def remainder(doc_id: str = "doc_id", mod: int = 5) -> Column:
@@ -40,11 +17,6 @@ def remainder(doc_id: str = "doc_id", mod: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % mod
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value evaluated once, inside higher-order functions as well."""
-    return F.transform(F.array(value), body).getItem(0)
-
-
 def texts_of(column: pa.Array) -> list[str]:
     """A batch's texts; null is empty."""
     return [t or "" for t in column.to_pylist()]
@@ -85,15 +57,3 @@ def gather(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np
     total = int(ends[-1]) if len(ends) else 0
     at = np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lens), lens)
     return flat[at], lens
-
-
-def batches(rows: Iterator[dict], schema: pa.Schema, every: int) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of at most `every` rows."""
-    kept: list[dict] = []
-    for row in rows:
-        kept.append(row)
-        if len(kept) >= every:
-            yield pa.RecordBatch.from_pylist(kept, schema=schema)
-            kept = []
-    if kept:
-        yield pa.RecordBatch.from_pylist(kept, schema=schema)
