@@ -640,3 +640,101 @@ def t03_stream_dedup(t: Tables) -> DataFrame:
 
     watch.run(stream.withColumn("key", F.concat_ws("|", "user_id", "event_type")), apply, f"{root}/checkpoint", available_now=True, key="key").awaitTermination()
     return t.spark.read.parquet(f"{root}/out").select("user_id", "event_type").distinct()
+
+
+# --- single filters and projections
+
+
+def _rows(t: Tables) -> DataFrame:
+    some = t.media.where("id % 7 = 0")
+    ids = some.select(F.col("id").alias("media_id"))
+    return media.nested(some, t.objects.join(ids, "media_id", "left_semi"), t.faces.join(ids, "media_id", "left_semi"))
+
+
+@query("f05_object_filter", "select id from media where id % 7 = 0 and exists (select 1 from media_objects o where o.media_id = media.id and contains(lower(class_name), 'rom'))")
+def f05_object_filter(t: Tables) -> DataFrame:
+    return _rows(t).where(search.residual(search.Filters(object="ROM"))).select("id")
+
+
+@query("f06_face_filter", "select id from media where id % 7 = 0 and exists (select 1 from media_faces f where f.media_id = media.id and (contains(lower(name), '09') or lower(cast(face_id as varchar)) = '09'))")
+def f06_face_filter(t: Tables) -> DataFrame:
+    return _rows(t).where(search.residual(search.Filters(face="09"))).select("id")
+
+
+@query("f08_month_year", "select id, media_type from media where id % 7 = 0 and month(created_at) = 3 and year(created_at) = 1996 and media_type = 'image'")
+def f08_month_year(t: Tables) -> DataFrame:
+    return _rows(t).where(search.residual(search.Filters(month=3, year=1996, media_type="photo"))).select("id", "media_type")
+
+
+@query("f30_nested_predicates", "select id, (select count(*) from media_faces f where f.media_id = m.id and name is not null) as named from media m where id % 7 = 0 and exists (select 1 from media_faces f where f.media_id = m.id) and exists (select 1 from media_objects o where o.media_id = m.id and class_name = 'SMALL')")
+def f30_nested_predicates(t: Tables) -> DataFrame:
+    rows = _rows(t).where((F.size("faces") > 0) & F.array_contains(F.col("objects.class_name"), "SMALL"))
+    return rows.select("id", F.size(media.names("faces")).cast("long").alias("named"))
+
+
+@query("p12_nested_paths", "select id, coalesce((select string_agg(distinct class_name, ',' order by class_name) from media_objects o where o.media_id = m.id), '') as labels from media m where id % 7 = 0")
+def p12_nested_paths(t: Tables) -> DataFrame:
+    return _rows(t).select("id", F.array_join(F.array_sort(F.array_distinct(F.col("objects.class_name"))), ",").alias("labels"))
+
+
+@query("p08_boxes", "select media_id, obj_no, x, y, (x + w) - x as w, (y + h) - y as h from media_objects where media_id % 7 = 0")
+def p08_boxes(t: Tables) -> DataFrame:
+    box = scalar.corners_to_box(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h"))
+    return t.objects.where("media_id % 7 = 0").select("media_id", "obj_no", box.alias("b")).select("media_id", "obj_no", "b.x", "b.y", "b.w", "b.h")
+
+
+@query("p05_thumbnails", "select id, case when media_type = 'video' then '/thumbs/' || 'IMG_' || id || case when id % 2 = 0 then '.cache.jpg' else '.side.jpg' end end as thumbnail from media where id % 7 = 0")
+def p05_thumbnails(t: Tables) -> DataFrame:
+    some = t.media.where("id % 7 = 0").withColumn("thumbnail", F.lit(None).cast("string"))
+    listing = some.selectExpr("concat('IMG_', id) as stem", "case when id % 2 = 0 then concat('IMG_', id, '.cache.jpg') end as cached", "concat('IMG_', id, '.side.jpg') as sibling")
+    return media.with_thumbnails(some, listing, "/thumbs/").select("id", "thumbnail")
+
+
+@query("n10_anchors", "select s as stride, r::int as row, c::int as col, (c * s)::int as x, (r * s)::int as y from (select unnest([8, 16, 32, 64]) as s), generate_series(0, 14) g(r), generate_series(0, 19) h(c) where r < ceil(120 / s) and c < ceil(160 / s)")
+def n10_anchors(t: Tables) -> DataFrame:
+    return detect.anchors(t.spark, 160, 120)
+
+
+@query("n12_letterbox", "with s as (select p_partkey, p_size * 37 + 1 as w, p_size * 11 + 5 as h from part), r as (select *, least(640.0::double / w, 640.0::double / h) as ratio from s) select p_partkey, round(ratio, 6) as ratio, (640 - round(w * ratio)) / 2 as pad_x, (640 - round(h * ratio)) / 2 as pad_y from r")
+def n12_letterbox(t: Tables) -> DataFrame:
+    fit = scalar.letterbox(F.col("p_size") * 37 + 1, F.col("p_size") * 11 + 5)
+    return t.read("part").select("p_partkey", fit.alias("f")).select("p_partkey", F.round("f.ratio", 6).alias("ratio"), "f.pad_x", "f.pad_y")
+
+
+@query("a18_mean_luma", "select p_brand, round(avg(floor((p_size * 299 + (p_size % 7) * 587 + (p_size % 3) * 114) / 1000.0)), 6) as luma from part group by 1")
+def a18_mean_luma(t: Tables) -> DataFrame:
+    value = scalar.luma(F.col("p_size"), F.col("p_size") % 7, F.col("p_size") % 3)
+    return t.read("part").groupBy("p_brand").agg(F.round(F.avg(value), 6).alias("luma"))
+
+
+@query("k01_insert", "select id, file_name, processed, favorite, deleted_at from media union all select -o_orderkey, 'new_' || o_orderkey, false, false, null from orders where o_orderkey % 1000 = 1")
+def k01_insert(t: Tables) -> DataFrame:
+    new = t.read("orders").where("o_orderkey % 1000 = 1").selectExpr("-o_orderkey as id", "concat('new_', o_orderkey) as file_name")
+    return mutate.inserted(t.media, new).select("id", "file_name", "processed", "favorite", "deleted_at")
+
+
+@query("k28_history_add", "select id, query from history where deleted_at is null union all select -1, 'cats'")
+def k28_history_add(t: Tables) -> DataFrame:
+    return mutate.history_added(t.history, {"id": -1, "query": "cats"}).where("deleted_at is null").select("id", "query")
+
+
+@query("k29_configured", f"select 'main' as id, '/photos' as source_dir, '{NOW}' as updated_at")
+def k29_configured(t: Tables) -> DataFrame:
+    config = t.spark.createDataFrame([("main", "/old", "x")], "id string, source_dir string, updated_at string")
+    return mutate.configured(config, "/photos", F.lit(NOW))
+
+
+@query("k04_flags", "select id, case when id in (3, 11) then not (id = 11) or id = 3 else processed end as processed from media where id < 60")
+def k04_flags(t: Tables) -> DataFrame:
+    return mutate.processed(mutate.processed(t.media.where("id < 60"), [3]), [11], False).select("id", "processed")
+
+
+@query("j22_similar_points", f"select a.point_id as i, b.point_id as j, round({similarity('a.vec', 'b.vec')}, 6) as score from embedding a join embedding b on a.point_id < b.point_id where a.point_id < 40 and b.point_id < 40 and {similarity('a.vec', 'b.vec')} >= 0.1")
+def j22_similar_points(t: Tables) -> DataFrame:
+    some = t.embedding.where("point_id < 40").select(F.col("point_id").alias("id"), "vec")
+    return graph.cosine_pairs(some, some, 0.1).select(F.col("a").alias("i"), F.col("b").alias("j"), _score())
+
+
+@query("w08_thumbnail_frame", f"with {_SAMPLES} select media_id, arg_min(frame, scene * 10 + ord) as frame from samples group by 1")
+def w08_thumbnail_frame(t: Tables) -> DataFrame:
+    return video.thumbnail(video.samples(video.scenes(t.cuts)))
