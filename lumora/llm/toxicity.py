@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,12 +34,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from lumora.llm.common import remainder, texts_of
 
 #: Labelled rows of either class that are learnt from, at most.
-SAMPLE = 4000
+SAMPLE = 3000
 #: Lexicon voters, at most; lengths of word beginnings that can be terms; how often a term must stand in a text.
 TERMS, BEGINNINGS, TIMES = 96, (4, 5, 6, 7, 8), (1, 2, 3)
 PATTERNS = 4
 #: Assumed share of given labels that are right.
 GIVEN = 0.97
+#: Clean texts that a word must stand in to be a voter for clean.
+CLEAN = 50
 _WORD, _CAPITAL = re.compile(r"[^\W\d_]+"), re.compile(r"[A-Z]")
 #: Spelling, whether it is a whole word (else a word's beginning), and how often it must stand.
 Term = tuple[str, bool, int]
@@ -137,41 +140,63 @@ def label_model(votes: np.ndarray, prior: float, given: np.ndarray, rounds: int
     return post, table, own
 
 
+def _number(term: Term) -> int:
+    return zlib.crc32(f"{term[0]}|{term[1]}|{term[2]}".encode())
+
+
+def _common(numbers: list[np.ndarray], least: float) -> np.ndarray:
+    found, often = np.unique(np.concatenate([np.zeros(0, np.uint32), *numbers]), return_counts=True)
+    return found[often >= least]
+
+
+def _held(texts: list[str], y: np.ndarray, least: float) -> tuple[list[Term], list[np.ndarray]]:
+    """The terms that stand in `least` toxic texts, and the words that stand in CLEAN clean ones (and the few that share a crc32
+    with one of them); each text's, by number. Terms are counted by four bytes each first: all of them would fill the driver."""
+    numbers = lambda terms: np.fromiter(map(_number, terms), np.uint32, len(terms))
+    toxic = _common([numbers(candidates(t)) for t, x in zip(texts, y, strict=True) if x], least)
+    clean = _common([numbers([w for w in candidates(t) if w[1]]) for t, x in zip(texts, y, strict=True) if not x], CLEAN)
+    kept, index, rows = set(toxic.tolist()) | set(clean.tolist()), {}, []
+    for t in texts:
+        found = sorted(w for w in candidates(t) if _number(w) in kept)
+        rows.append(np.array([index.setdefault(w, len(index)) for w in found], np.int32))
+    return list(index), rows
+
+
 def fit(texts: list[str], toxic: list[int], prior: float) -> Model:
     """prior: the share of toxic rows among those labelled (the sample may hold another)."""
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         return Model(bias=-30.0 if not y.any() else 30.0)
-    held = [candidates(t) for t in texts]
-    n1, n0 = Counter(), Counter()
-    for h, t in zip(held, y, strict=True):
-        (n1 if t else n0).update(h)
-    least = max(3, 0.002 * y.sum())
-    odds = {w: np.log((n1[w] + 0.1) / (y.sum() + 0.2)) - np.log((n0[w] + 0.1) / ((~y).sum() + 0.2)) for w in n1 if n1[w] >= least}
+    least = max(4, 0.005 * y.sum())
+    known, held = _held(texts, y, least)
+    count = lambda picked: np.bincount(np.concatenate([np.zeros(0, np.int32), *[h for h, x in zip(held, picked, strict=True) if x]]), minlength=len(known))
+    n1, n0 = count(y), count(~y)
+    odds = np.log((n1 + 0.1) / (y.sum() + 0.2)) - np.log((n0 + 0.1) / ((~y).sum() + 0.2))
     # Greedy cover: the next voter is the term that adds most to the toxic rows that fewer than three voters speak for.
-    strong = {w for w, o in odds.items() if o > 2.5}
-    rows: dict[Term, list[int]] = {w: [] for w in strong}
+    strong = (odds > 2.5) & (n1 >= least)
+    rows: dict[int, list[int]] = {w: [] for w in np.flatnonzero(strong).tolist()}
     for k in np.flatnonzero(y):
-        for w in held[k] & strong:
+        for w in held[k][strong[held[k]]].tolist():
             rows[w].append(k)
-    need, terms = np.full(len(y), 3), []
+    need, picked = np.full(len(y), 3), []
     gain = {w: len(r) * odds[w] for w, r in rows.items()}
-    queue = [(-g, w) for w, g in gain.items()]
+    queue = [(-g, known[w], w) for w, g in gain.items()]
     heapq.heapify(queue)
-    while queue and len(terms) < TERMS:
-        g, w = heapq.heappop(queue)
+    while queue and len(picked) < TERMS:
+        g, _, w = heapq.heappop(queue)
         now = -float(np.count_nonzero(need[rows[w]] > 0)) * odds[w]
         if now > g + 1e-9:  # it adds less than when it was queued
             if -now >= least * odds[w]:
-                heapq.heappush(queue, (now, w))
+                heapq.heappush(queue, (now, known[w], w))
             continue
-        if any(v[0][:4] == w[0][:4] and _share(rows[v], rows[w]) > 0.8 for v in terms):
+        if any(known[v][0][:4] == known[w][0][:4] and _share(rows[v], rows[w]) > 0.8 for v in picked):
             continue  # another spelling of a voter that there is
-        terms.append(w)
+        picked.append(w)
         need[rows[w]] -= 1
-    clean = sorted((w for w in n0 if n0[w] >= 50 and w[1]), key=lambda w: (np.log((n1[w] + 0.5) / y.sum()) - np.log(n0[w] / (~y).sum()), w))[:20]
-    speaks = np.array([1] * len(terms) + [-1] * len(clean))
-    terms += clean
+    words = [k for k, w in enumerate(known) if w[1] and n0[k] >= CLEAN]
+    clean = sorted(words, key=lambda k: (np.log((n1[k] + 0.5) / y.sum()) - np.log(n0[k] / (~y).sum()), known[k]))[:20]
+    speaks = np.array([1] * len(picked) + [-1] * len(clean))
+    terms = [known[k] for k in picked + clean]
     find = Finder(terms)
     present = np.zeros((len(texts), len(terms)), bool)
     for k, t in enumerate(texts):
