@@ -320,7 +320,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     wanted = groups.join(sizes, "grp").select("rep", "grp", "n")
-    texts = docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep").dropDuplicates(["rep"]).select("rep", "grp", "n", "text")
+    # One plan at all sizes: the members' number has no bound, so they are never broadcast.
+    texts = docs.withColumnRenamed("doc_id", "rep").join(wanted.hint("merge"), "rep").dropDuplicates(["rep"]).select("rep", "grp", "n", "text")
     full = texts.mapInArrow(sized, "rep long, grp long, n long, shingles binary, counts binary")
 
     def by_bags(group: pa.Table, sides: np.ndarray) -> list[tuple[int, int]]:
