@@ -33,9 +33,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from lumora.llm.common import Interner, gather, texts_of
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Words whose merges a worker remembers, at most.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: A token is held as one character: its rank above FIRST, or above HIGH where that would meet the surrogates.
 FIRST, LAST, HIGH = 0x100, 0xD800, 0x10000
 
