@@ -10,7 +10,8 @@
 4. A query probes the lists whose centroids are within a ratio of the nearest one's distance. The ratio, and the most
    lists a query may need, are taken from PROBES sample queries whose exact neighbours are found among all
    rows: what TARGET of those neighbours need.
-5. Each shard gives each query its nearest members; scores are computed again, in double precision, on the original vectors.
+5. Each shard gives each query its k + 1 nearest members, by double precision on the original vectors: first those of the FIRST
+   nearest lists, whose worst score is then a bound that members of the other lists must reach to be given at all.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
 another length than the most frequent one. Rows with one vec_id and one vector count once. Fewer candidates than asked for
@@ -38,6 +39,8 @@ COPIES, EDGE = 3, 0.08
 SHARD = 4096
 #: Sample queries, and the share of their exact neighbours that the probed lists must hold.
 PROBES, TARGET = 100, 0.975
+#: Lists whose members give a query its bound.
+FIRST = 4
 #: Neighbours of a centroid in the graph, and centroids kept open in a search.
 DEGREE, BEAM = 16, 48
 
@@ -133,7 +136,8 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def _routed(graph: Graph, copies: int, ratio: float):
-    """Rows (id, vec) to rows (id, vec, list): one for each list within ratio times the nearest centroid's distance."""
+    """Rows (id, vec) to rows (id, vec, list, place): one for each list within ratio times the nearest centroid's distance, nearest
+    first."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in found:
@@ -143,7 +147,7 @@ def _routed(graph: Graph, copies: int, ratio: float):
                 d = _distance(s)
                 take = d <= d[:, :1] * ratio + 1e-6
                 rows, cols = np.nonzero(take)
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns), pa.array(at[rows, cols].astype(np.int32))], names=[*batch.schema.names, "list"])
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns), pa.array(at[rows, cols].astype(np.int32)), pa.array(cols.astype(np.int32))], names=[*batch.schema.names, "list", "place"])
 
     return run
 
@@ -181,15 +185,15 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id",
         return empty
     rows = rows.where(F.size("vec") == width[0]["w"]).withColumn("cls", F.concat(F.lpad(F.hex(F.xxhash64("vec")), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), "vec")), 16, "0")))
     # A class keeps its k + 1 smallest ids (one may be the query's own); the partial limit comes before the shuffle.
-    first = rows.withColumn("n", F.dense_rank().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("n") <= k + 1).dropDuplicates(["cls", "id"])
-    kept = written(first.select("cls", "id", "n", F.when(F.col("n") == 1, F.col("vec")).alias("vec")), "ann-classes")
+    smallest = rows.withColumn("n", F.dense_rank().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("n") <= k + 1).dropDuplicates(["cls", "id"])
+    kept = written(smallest.select("cls", "id", "n", F.when(F.col("n") == 1, F.col("vec")).alias("vec")), "ann-classes")
     classes = kept.where("n = 1").select("id", "vec")
     count = classes.count()
     share = min(1.0, 1.2 * SAMPLE / count)
     sample = classes.where((F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).orderBy("id").limit(SAMPLE).toArrow()
     centre = fit_centroids(_unit(_vectors(sample.column("vec").combine_chunks())).astype(np.float32), max(1, min(MOST, math.ceil(count / LIST))))
     graph = Graph(centre)
-    index = written(classes.mapInArrow(_routed(graph, COPIES, 1 + EDGE), "id long, vec array<double>, list int"), "ann-lists")
+    index = written(classes.mapInArrow(_routed(graph, COPIES, 1 + EDGE), "id long, vec array<double>, list int, place int"), "ann-lists")
     sizes = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}  # at most 2 * MOST rows
     shards = np.ones(len(centre), np.int64)
     for at, n in sizes.items():
@@ -221,7 +225,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id",
     # Each query class is searched once, whatever its number of copies.
     asking = rows.where(F.pmod("id", F.lit(every)) == 0).select("cls", F.col("id").alias("query_id")).distinct()
     heads = kept.where("n = 1").select("cls", "id", "vec").join(asking.select("cls").distinct(), "cls", "left_semi").select("id", "vec")
-    probing = heads.mapInArrow(_routed(graph, most, ratio), "id long, vec array<double>, list int")
+    probing = heads.mapInArrow(_routed(graph, most, ratio), "id long, vec array<double>, list int, place int")
     table = spark.createDataFrame([(i, int(n)) for i, n in enumerate(shards)], "list int, shards int")
     spread = index.join(F.broadcast(table), "list").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
     probing = probing.join(F.broadcast(table), "list").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
@@ -230,18 +234,31 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id",
         out = {"query": [], "id": [], "score": []}
         if left.num_rows and right.num_rows:
             q, x = _vectors(left.column("vec").combine_chunks()), _vectors(right.column("vec").combine_chunks())
-            q_ids, x_ids = left.column("id").to_numpy(), right.column("id").to_numpy()
+            q_ids, x_ids, bound = left.column("id").to_numpy(), right.column("id").to_numpy(), left.column("bound").to_numpy()
             unit = _unit(x)
             for lo in range(0, len(q), 512):
                 part = q[lo : lo + 512]
                 r, c = _top(_unit(part), unit, x_ids, k + 1)
-                out["query"].append(q_ids[lo:][r])
-                out["id"].append(x_ids[c])
-                out["score"].append(cosines(part[r], x[c]))
+                score = cosines(part[r], x[c])
+                order = np.lexsort((x_ids[c], -score, r))
+                r, c, score = r[order], c[order], score[order]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                keep = (place <= k) & (score >= bound[lo:][r])
+                out["query"].append(q_ids[lo:][r[keep]])
+                out["id"].append(x_ids[c[keep]])
+                out["score"].append(score[keep])
         return pa.table({n: pa.array(np.concatenate(v) if v else [], pa.float64() if n == "score" else pa.int64()) for n, v in out.items()})
 
-    pairs = probing.select("list", "shard", "id", "vec").groupBy("list", "shard").cogroup(spread.select("list", "shard", "id", "vec").groupBy("list", "shard")).applyInArrow(nearest, "query long, id long, score double")
-    near = pairs.distinct().withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k + 1)
+    def met(asked_for: DataFrame) -> DataFrame:
+        queries = asked_for.select("list", "shard", "id", "vec", "bound").groupBy("list", "shard")
+        return queries.cogroup(spread.select("list", "shard", "id", "vec").groupBy("list", "shard")).applyInArrow(nearest, "query long, id long, score double").distinct()
+
+    best_of = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    probing = written(probing.select("id", "vec", "list", "shard", "place"), "ann-probes")
+    first = written(met(probing.where(F.col("place") < FIRST).withColumn("bound", F.lit(-2.0))).withColumn("r", F.row_number().over(best_of)).where(F.col("r") <= k + 1), "ann-first")
+    bounds = first.where(F.col("r") == k + 1).select(F.col("query").alias("id"), F.col("score").alias("bound"))
+    rest = met(probing.where(F.col("place") >= FIRST).join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(-2.0))))
+    near = first.drop("r").union(rest).distinct().withColumn("r", F.row_number().over(best_of)).where(F.col("r") <= k + 1)
     ids_of = kept.select("cls", F.col("id").alias("vec_id"))
     heads_of = kept.where("n = 1").select("id", "cls")
     # From classes to their ids: the nearest k + 1 ids for each query class, then each query without its own id.
