@@ -646,9 +646,7 @@ def t03_stream_dedup(t: Tables) -> DataFrame:
 
 
 def _rows(t: Tables) -> DataFrame:
-    some = t.media.where("id % 7 = 0")
-    ids = some.select(F.col("id").alias("media_id"))
-    return media.nested(some, t.objects.join(ids, "media_id", "left_semi"), t.faces.join(ids, "media_id", "left_semi"))
+    return media.nested(t.media, t.objects, t.faces)
 
 
 @query("f05_object_filter", "select id from media where id % 7 = 0 and exists (select 1 from media_objects o where o.media_id = media.id and contains(lower(class_name), 'rom'))")
@@ -680,12 +678,12 @@ def p12_nested_paths(t: Tables) -> DataFrame:
 @query("p08_boxes", "select media_id, obj_no, x, y, (x + w) - x as w, (y + h) - y as h from media_objects where media_id % 7 = 0")
 def p08_boxes(t: Tables) -> DataFrame:
     box = scalar.corners_to_box(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h"))
-    return t.objects.where("media_id % 7 = 0").select("media_id", "obj_no", box.alias("b")).select("media_id", "obj_no", "b.x", "b.y", "b.w", "b.h")
+    return t.objects.select("media_id", "obj_no", box.alias("b")).select("media_id", "obj_no", "b.x", "b.y", "b.w", "b.h")
 
 
 @query("p05_thumbnails", "select id, case when media_type = 'video' then '/thumbs/' || 'IMG_' || id || case when id % 2 = 0 then '.cache.jpg' else '.side.jpg' end end as thumbnail from media where id % 7 = 0")
 def p05_thumbnails(t: Tables) -> DataFrame:
-    some = t.media.where("id % 7 = 0").withColumn("thumbnail", F.lit(None).cast("string"))
+    some = t.media.withColumn("thumbnail", F.lit(None).cast("string"))
     listing = some.selectExpr("concat('IMG_', id) as stem", "case when id % 2 = 0 then concat('IMG_', id, '.cache.jpg') end as cached", "concat('IMG_', id, '.side.jpg') as sibling")
     return media.with_thumbnails(some, listing, "/thumbs/").select("id", "thumbnail")
 
