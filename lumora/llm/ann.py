@@ -190,7 +190,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id",
     classes = kept.where("n = 1").select("id", "vec")
     count = classes.count()
     share = min(1.0, 1.2 * SAMPLE / count)
-    sample = classes.where((F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).orderBy("id").limit(SAMPLE).toArrow()
+    sample = classes.where((F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).orderBy(F.xxhash64("id", F.lit(5)), "id").limit(SAMPLE).toArrow()
     centre = fit_centroids(_unit(_vectors(sample.column("vec").combine_chunks())).astype(np.float32), max(1, min(MOST, math.ceil(count / LIST))))
     graph = Graph(centre)
     index = written(classes.mapInArrow(_routed(graph, COPIES, 1 + EDGE), "id long, vec array<double>, list int, place int"), "ann-lists")
