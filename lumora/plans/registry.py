@@ -729,8 +729,8 @@ def k04_flags(t: Tables) -> DataFrame:
 
 @query("j22_similar_points", f"select a.point_id as i, b.point_id as j, round({similarity('a.vec', 'b.vec')}, 6) as score from embedding a join embedding b on a.point_id < b.point_id where a.point_id < 40 and b.point_id < 40 and {similarity('a.vec', 'b.vec')} >= 0.1")
 def j22_similar_points(t: Tables) -> DataFrame:
-    some = t.embedding.where("point_id < 40").select(F.col("point_id").alias("id"), "vec")
-    return graph.cosine_pairs(some, some, 0.1).select(F.col("a").alias("i"), F.col("b").alias("j"), _score())
+    left, right = (t.embedding.select(F.col("point_id").alias("id"), "vec") for _ in range(2))
+    return graph.cosine_pairs(left, right, 0.1).select(F.col("a").alias("i"), F.col("b").alias("j"), _score())
 
 
 @query("w08_thumbnail_frame", f"with {_SAMPLES} select media_id, arg_min(frame, scene * 10 + ord) as frame from samples group by 1")

@@ -27,3 +27,7 @@ def same(spark, sf_dir, duck, name, part):
 @pytest.mark.parametrize("name", SEVENTH)
 def test_all_media(spark, sf_dir, duck, name):
     same(spark, sf_dir, duck, name, r"\b(media_)?id % 7 = 0")
+
+
+def test_all_points(spark, sf_dir, duck):
+    same(spark, sf_dir, duck, "j22_similar_points", r"[ab]\.point_id < 40")
