@@ -31,3 +31,8 @@ def test_all_media(spark, sf_dir, duck, name):
 
 def test_all_points(spark, sf_dir, duck):
     same(spark, sf_dir, duck, "j22_similar_points", r"[ab]\.point_id < 40")
+
+
+@pytest.mark.parametrize("name", ["f18_text_box", "f20_gallery"])
+def test_all_visible(spark, sf_dir, duck, name):
+    same(spark, sf_dir, duck, name, r"\bid % 3 = 0")
