@@ -33,10 +33,17 @@ def of_components(pairs: DataFrame) -> DataFrame:
     return graph.components(pairs.select("a", "b")).select(F.col("root").alias("group_id"), F.col("id").alias("media_id"))
 
 
+def near(hashes: DataFrame, most: int, bits: int = 64) -> DataFrame:
+    """Rows (id, hash) within `most` bits, as groups. Equal hashes are linked to their least id, not to one another, which
+    makes the same components."""
+    heads = hashes.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.min("id").alias("id"))
+    same = hashes.select("hash", F.col("id").alias("b")).join(heads.select("hash", F.col("id").alias("a")), "hash").where("a < b")
+    return of_components(graph.hamming_pairs(heads.select("id", "hash"), most, bits).select("a", "b").union(same.select("a", "b")))
+
+
 def by_hash(media: DataFrame, most: int = HAMMING) -> DataFrame:
     """Visible media (id, file_phash in hex) whose hashes are within `most` bits, as groups."""
-    hashes = media.where(visible()).select("id", hash_of_hex(F.col("file_phash")).alias("hash"))
-    return of_components(graph.hamming_pairs(hashes, most))
+    return near(media.where(visible()).select("id", hash_of_hex(F.col("file_phash")).alias("hash")), most)
 
 
 def representatives(embedding: DataFrame) -> DataFrame:

@@ -319,7 +319,7 @@ def a11_cosine_groups(t: Tables) -> DataFrame:
     select * from first union all select * from second where group_id in (select group_id from kept)""",
 )
 def j19_duplicate_groups(t: Tables) -> DataFrame:
-    return duplicates.staged([("hash", duplicates.exact(t.media)), ("semantic", duplicates.of_components(duplicates.by_vector(t.embedding, ALIKE)))])
+    return duplicates.staged([("hash", duplicates.exact(t.media)), ("phash", duplicates.near(t.hashes, BITS, 62)), ("semantic", duplicates.of_components(duplicates.by_vector(t.embedding, ALIKE)))])
 
 
 @query("w01_mark_duplicates", "select content_key as group_id, id as media_id, row_number() over (partition by content_key order by id) > 1 as marked from seen where content_key in (select content_key from seen group by 1 having count(*) > 1)")
