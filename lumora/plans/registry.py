@@ -724,7 +724,7 @@ def k29_configured(t: Tables) -> DataFrame:
 
 @query("k04_flags", "select id, case when id in (3, 11) then not (id = 11) or id = 3 else processed end as processed from media where id < 60")
 def k04_flags(t: Tables) -> DataFrame:
-    return mutate.processed(mutate.processed(t.media.where("id < 60"), [3]), [11], False).select("id", "processed")
+    return mutate.processed(mutate.processed(t.media, [3]), [11], False).select("id", "processed")
 
 
 @query("j22_similar_points", f"select a.point_id as i, b.point_id as j, round({similarity('a.vec', 'b.vec')}, 6) as score from embedding a join embedding b on a.point_id < b.point_id where a.point_id < 40 and b.point_id < 40 and {similarity('a.vec', 'b.vec')} >= 0.1")

@@ -66,3 +66,7 @@ def test_by_hash(spark):
     assert {(r.group_id, r.media_id) for r in duplicates.by_hash(media).collect()} == {(0, 0), (0, 1), (0, 10), (2, 2), (2, 3), (2, 4)}
     seen = [(i, int(h, 16)) for i, h, gone, hidden in rows if not gone and not hidden and h and h != "zz"]
     assert [(i, j) for (i, x), (j, y) in itertools.combinations(seen, 2) if (x ^ y).bit_count() <= 8] == [(0, 1), (0, 10), (1, 10), (2, 4), (3, 4)]
+
+
+def test_flags_of_all_media(spark, sf_dir, duck):
+    same(spark, sf_dir, duck, "k04_flags", r"\bid < 60")
