@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from lumora.llm.common import remainder, texts_of
 
 #: Labelled rows of either class that are learnt from, at most.
-SAMPLE = 3000
+SAMPLE = 4000
 #: Lexicon voters, at most; lengths of word beginnings that can be terms; how often a term must stand in a text.
 TERMS, BEGINNINGS, TIMES = 96, (4, 5, 6, 7, 8), (1, 2, 3)
 PATTERNS = 4
@@ -167,7 +167,7 @@ def fit(texts: list[str], toxic: list[int], prior: float) -> Model:
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         return Model(bias=-30.0 if not y.any() else 30.0)
-    least = max(4, 0.005 * y.sum())
+    least = max(3, 0.002 * y.sum())
     known, held = _held(texts, y, least)
     count = lambda picked: np.bincount(np.concatenate([np.zeros(0, np.int32), *[h for h, x in zip(held, picked, strict=True) if x]]), minlength=len(known))
     n1, n0 = count(y), count(~y)

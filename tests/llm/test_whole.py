@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from lumora.llm import ann
+from lumora.llm import ann, toxicity
 
 
 def test_neighbours_of_late_rows(spark):
@@ -27,3 +27,16 @@ def test_neighbours_of_late_rows(spark):
     late = np.mean([v for q, v in recall.items() if q >= n * 5 // 6])
     rest = np.mean([v for q, v in recall.items() if q < n * 5 // 6])
     assert rest > 0.9 and late > rest - 0.04, (late, rest)
+
+
+def test_rare_toxic_word_is_learnt():
+    """A word in 0.3 % of the toxic rows speaks for toxic, and the texts that only it marks are found."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(300)]
+    filler = lambda: " ".join(rng.choice(words, 12))
+    toxic = [f"{filler()} {'wretched' if k >= 6 else 'zqblort'}" for k in range(2000)]
+    model = toxicity.fit(toxic + [filler() for _ in range(2000)], [1] * 2000 + [0] * 2000, 0.5)
+    assert any(t[0].startswith("zqbl") for t in model.terms)
+    find = toxicity.Finder(model.terms)
+    score = lambda t: model.bias + sum(model.weights[k] for k in find(t)) + float(model.weights[len(model.terms) :] @ toxicity.patterns(t))
+    assert all(score(t) > 0 for t in toxic[:6])
