@@ -12,7 +12,9 @@ Both give patterns with repeat counts, which together use each piece exactly onc
 length (counted within shards, then shifted by the shards before) tells its sequence and its place.
 
 Defined results: null text counts as empty, a piece of one token (the end). Repeated rows are documents of their own.
-An empty table packs into nothing. Which of equal pieces goes where is settled by doc_id, piece and crc32.
+An empty table packs into nothing. Which of equal pieces goes where is settled by doc_id, piece and crc32. Texts are
+tokenised whole, whatever their length; special tokens' strings in a text give their ids, as in the tokeniser's own call.
+Other columns than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,10 +37,10 @@ from lumora.llm.common import texts_of, written
 
 #: Tokens in a sequence, and the id that ends a document.
 SIZE, END = 2048, 0
-#: Words whose ids a worker remembers, at most.
-REMEMBERED = 1_000_000
-#: Pieces in a shard, on average.
-SHARD = 50_000
+#: Words in either generation of a worker's memory, and the longest word (bytes) that it remembers: some 50 MB in all.
+REMEMBERED, LONGEST = 60_000, 64
+#: Least pieces in a shard on average, and most shards of one length.
+SHARD, SHARDS = 128, 2000
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -54,9 +56,12 @@ class Tokenizer(dict):
     """The ids of words (bytes without ASCII white space) as bytes, little-endian, 32 bits.
 
     The tokeniser drops white space and never joins tokens across it, so a text's ids are those of its words, one
-    after another. Words are remembered, up to REMEMBERED of them. If the file has the usual steps (NFC, lower case,
-    split by a pattern, bytes), a word that these steps change only in case goes straight to the merges, piece by
-    piece; any other word, and any other file, takes the whole tokeniser.
+    after another; words that hold a special token's string take the whole tokeniser, which gives the special id. If
+    the file has the usual steps (NFC, lower case, split by a pattern, bytes), a word that these steps change only in
+    case goes straight to the merges, piece by piece; any other word, and any other file, takes the whole tokeniser.
+
+    Memory is bounded: short words are remembered in two generations of REMEMBERED. When the young one is full it becomes
+    the old one, whose words come back when they are met again, so frequent words stay.
     """
 
     def __init__(self, path: str):
@@ -65,33 +70,54 @@ class Tokenizer(dict):
 
         super().__init__()
         self.of = Load.from_file(path)
-        self.of.encode_special_tokens = True
         steps = json.loads(self.of.to_str())
+        self.special = [t["content"].lower() for t in steps["added_tokens"]]
+        # A special token with a blank in it would be torn by words: then texts take the whole tokeniser.
+        self.by_words = not any(set(t) & set(" \t\n\r\v\f") for t in self.special)
         normal = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
         split = (steps["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.find = None
         if normal == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in split] == ["Split", "ByteLevel"] and split[0]["invert"] and not split[1]["add_prefix_space"] and not split[1]["use_regex"]:
             self.find = regex.compile(split[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
-        self.chars, self.parts, self.merge = _byte_chars(), {}, self.of.model.tokenize
+        self.chars, self.merge = _byte_chars(), self.of.model.tokenize
+        self.old: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        if (ids := self.parts.get(part)) is None:
+            if (ids := self.old_parts.get(part)) is None:
+                found = [t.id for t in self.merge(part.encode("utf-8").decode("latin-1").translate(self.chars))]
+                ids = struct.pack(f"<{len(found)}I", *found)
+            if len(part) <= LONGEST:
+                if len(self.parts) >= REMEMBERED:
+                    self.old_parts, self.parts = self.parts, {}
+                self.parts[part] = ids
+        return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-            self.parts.clear()
-        text, found = word.decode("utf-8"), []
-        # Lower case depends on the place in a word for one letter only, capital sigma.
-        if self.find and (text.isascii() or (unicodedata.is_normalized("NFC", text) and "\u03a3" not in text)):
-            for part in self.find(text.lower()):
-                if (ids := self.parts.get(part)) is None:
-                    ids = self.parts[part] = [t.id for t in self.merge(part.encode("utf-8").decode("latin-1").translate(self.chars))]
-                found += ids
-        else:
-            found = self.of.encode(text, add_special_tokens=False).ids
-        ids = self[word] = struct.pack(f"<{len(found)}I", *found)
+        if (ids := self.old.get(word)) is None:
+            text = word.decode("utf-8")
+            low = text.lower()
+            # Lower case depends on the place in a word for one letter only, capital sigma.
+            plain = self.find and (text.isascii() or (unicodedata.is_normalized("NFC", text) and "\u03a3" not in text))
+            if plain and not any(t in low for t in self.special):
+                ids = b"".join(map(self._part, self.find(low)))
+            else:
+                found = self.of.encode(text, add_special_tokens=False).ids
+                ids = struct.pack(f"<{len(found)}I", *found)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode("utf-8").split())) + END.to_bytes(4, "little")
+        if self.by_words:
+            return b"".join(map(self.__getitem__, text.encode("utf-8").split())) + END.to_bytes(4, "little")
+        found = self.of.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found) + 1}I", *found, END)
 
 
 _loaded: dict[str, Tokenizer] = {}
@@ -205,8 +231,10 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
     histogram = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         histogram[length] = n
-    shards = max(1, int(histogram.sum()) // SHARD + 1)
-    sharded = cut.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
+    # Each length is dealt over shards by its own count, so that no length is one task's work.
+    sizes = {length: max(SHARD, -(-n // SHARDS)) for length, n in counts.items()}
+    shards = spark.createDataFrame([(length, -(-n // sizes[length])) for length, n in counts.items()], "length long, _shards long")
+    sharded = cut.join(F.broadcast(shards), "length").withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_shards")).cast("int"))
     before = sharded.groupBy("length", "_shard").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)))
     ranked = (
         sharded.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_shard").orderBy("doc_id", "piece", "ids_crc32")))

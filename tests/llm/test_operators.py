@@ -17,7 +17,7 @@ from lumora.llm import ann, audio, bagminhash, bpe, chat, hmm, langid, packing,
 HARD = [
     (1, None), (2, ""), (3, "   "), (4, "a"), (5, "one two three"), (6, "one two three"), (6, "one two three"),
     (7, "don't stop I'll've 　 x\x1cy\x85 z \r\n\t"), (8, "\U0001f600" * 50 + "é İSTANBUL ΣΑΣ"),
-    (9, "!" * 4000), (10, "ab" * 6000), (11, "word " * 5000), (12, "你好 ١٢٣ ½ ⅷ"), (13, "<|startoftext|> </s>"),
+    (9, "!" * 4000), (10, "ab" * 6000), (11, "word " * 5000), (12, "你好 ١٢٣ ½ ⅷ"), (13, "<|startoftext|> </s>"), (14, "x <|startoftext|> y<|endoftext|>z <|STARTOFTEXT|>"),
 ]
 
 
@@ -179,7 +179,7 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_hard_inputs(spark, docs):
-    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(1, 14)] + [(5, 1)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(1, 15)] + [(5, 1)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
     out = toxicity.predict(docs, model, prefix="p_").collect()
     assert len(out) == len(HARD) and all(0 <= r.p_score <= 1 for r in out) and len({r.p_score for r in out if r.doc_id == 6}) == 1
@@ -322,7 +322,6 @@ def test_packing_documents(spark, docs, corpus):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     both = docs.select("doc_id", "text").union(corpus.select(F.col("doc_id") + 1000, "text"))
     out = packing.pack_documents(both, path).collect()
     want = collections.Counter()
@@ -334,6 +333,22 @@ def test_packing_documents(spark, docs, corpus):
     assert packing.pack_documents(empty(docs), path).count() == 0
 
 
+def test_packing_remembers_a_bounded_number_of_words(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [" ".join(f"w{k % 7} x{k * j}" for k in range(200)) + " " + "y" * 500 for j in range(9)]
+    want = [packing.Tokenizer(path).ids(t) for t in texts]
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    small = packing.Tokenizer(path)
+    assert [small.ids(t) for t in texts] == want
+    assert max(map(len, (small, small.old, small.parts, small.old_parts))) <= 50 and all(len(w) <= packing.LONGEST for w in small)
+
+
+def test_packing_deals_a_hot_length_over_shards(spark):
+    cut = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(700).cast("long").alias("length"), F.lit(1).cast("long").alias("ids_crc32"))
+    out = packing.pack(cut).collect()
+    assert len({r.doc_id for r in out}) == 3000 and check_packed(out, 2048) == 1500
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=200))
 def test_plan_uses_each_piece_once(lengths):
