@@ -2,18 +2,25 @@
 
 Encoding has three narrow steps and no shuffle:
 
-1. Each task splits its documents by the pattern and gathers blocks of bounded size; a block holds its
-   distinct words once, each as an array of bytes (one character a byte) with the ranks of the merges that its bytes
-   could take, and every document as indexes into the words.
-2. Spark's higher-order functions fold those ranked merges over the byte array of every distinct word. The ranks are
-   literals: arrays that hold, at a rank, the pair that merges and the token that it makes.
-3. The documents' ids are put together from the words' ids; decoding concatenates the ids' byte strings.
+1. Each task splits its documents by the pattern and gathers blocks of bounded size; a block holds its distinct words
+   once, each as an array of bytes, and every document as indexes into them.
+2. Spark's higher-order functions fold ranked merges over the bytes of every distinct word. All runs of a word's bytes are
+   looked up in a literal rank map: that gives the ranks of the merges that the word could take, in order. Folding one of
+   them joins its pair wherever it stands, from the left. The fold's state is one character a token, so that a merge is a
+   native replacement; the literals give the pair and the character of a rank.
+3. The documents' ids are put together from the words' ids. Decoding concatenates binary pieces: the ids' in a word, and
+   then the words' in a document.
 
 One pass in the order of ranks is the whole algorithm: the halves of a token have lower ranks than the token, so a
 merge never makes a pair of a lower rank, and all places of a pair merge in one step, from the left.
 
+The rank map is an array of slots: a run's hash gives its slot, and the slot the ranks of the tokens that hash to it. (Spark
+reads its own maps by going through all keys.) A rank that came by another run's hash does no harm: a pair stands
+in a word only if its token's bytes do.
+
 Defined results: null text counts as empty; an empty text has no ids; repeated rows each give a row; other columns
-than the two named are ignored. Equal texts give equal ids. Text is split whole, whatever its length.
+than the two named are ignored, whatever their names; an empty table gives no row. Equal texts give equal ids. Text is
+split whole, whatever its length.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from __future__ import annotations
 import base64
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +41,6 @@ from lumora.llm.common import Interner, gather, texts_of
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
-#: Words whose merges a worker remembers, at most.
-REMEMBERED = 100_000
 #: A token is held as one character: its rank above FIRST, or above HIGH where that would meet the surrogates.
 FIRST, LAST, HIGH = 0x100, 0xD800, 0x10000
 
@@ -68,66 +73,60 @@ def halves(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
     return (parts[0], parts[1]) if len(parts) == 2 else None
 
 
+#: Slots of the rank map, a power of two.
+SLOTS = 1 << 18
+#: Words of up to this many bytes take their runs from a literal; longer ones count them out.
+WIDE = 48
+
+
+def slot_of(token: bytes) -> int:
+    """Where the rank map holds a token: Spark's xxhash64 of its bytes, cut to the slots."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(token, 42) & (SLOTS - 1)
+
+
 class Merges:
-    """A rank file's tokens by their bytes, and the literals for the fold."""
+    """A rank file's merges, as what the literals hold."""
 
     def __init__(self, ranks: dict[bytes, int]):
         size = max(ranks.values(), default=-1) + 1
-        self.pairs, self.made = [""] * size, [""] * size
-        self.known: dict[str, int] = {}
-        merging: dict[str, int] = {}
+        self.pairs, self.made, self.tokens = [""] * size, [""] * size, [b""] * size
+        self.slots: list[list[int]] = [[] for _ in range(SLOTS)]
+        self.longest = 2
         for token, rank in ranks.items():
-            self.known[token.decode("latin-1")] = rank
+            self.tokens[rank] = token
             if len(token) > 1 and (pair := halves(token, ranks)):
-                merging[token.decode("latin-1")] = rank
+                self.slots[slot_of(token)].append(rank)
+                self.longest = max(self.longest, len(token))
                 self.pairs[rank] = char_of(ranks[pair[0]]) + char_of(ranks[pair[1]])
                 self.made[rank] = char_of(rank)
-        self.words = Words(self.known, merging, {b: char_of(ranks[bytes([b])]) for b in range(256) if bytes([b]) in ranks})
+        there = [b for b in range(256) if bytes([b]) in ranks]
+        self.bytes, self.first = "".join(map(chr, there)), "".join(char_of(ranks[bytes([b])]) for b in there)
 
 
-class Words:
-    """What a worker needs to prepare words: tokens, and those that a merge makes, by their bytes (one character each)."""
+def _literal(value: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
-    def __init__(self, known: dict[str, int], merging: dict[str, int], first: dict[int, str]):
-        self.known, self.merging, self.first = known, merging, first
-        self.key = hash(frozenset(merging.items()))
 
-    def ready(self) -> Words:
-        """This, or the equal one that the worker has from an earlier task, with its automaton and memory."""
-        import ahocorasick
+def folded(words: Column, merges: Merges, long: bool) -> Column:
+    """Words (arrays of bytes) as their tokens' characters: each word's ranked merges, folded over its bytes. Words of up to WIDE
+    bytes take their runs from a literal; with long, words of any length count them out."""
+    slots = _literal(merges.slots, "array<array<int>>")
+    pairs, made = _literal(merges.pairs, "array<string>"), _literal(merges.made, "array<string>")
+    of = lambda run: F.get(slots, F.xxhash64(run).bitwiseAND(F.lit(SLOTS - 1)).cast("int"))
 
-        if (got := _ready.get(self.key)) is None or got.merging != self.merging:
-            self.memory: dict[str, tuple[str, list[int]]] = {}
-            self.automaton = ahocorasick.Automaton()
-            for token, rank in self.merging.items():
-                self.automaton.add_word(token, rank)
-            if self.merging:
-                self.automaton.make_automaton()
-            got = _ready[self.key] = self
-        return got
+    def runs(word: Column) -> Column:
+        if not long:
+            by_size = _literal([[{"at": a, "n": n} for a in range(1, size) for n in range(2, min(merges.longest, size - a + 1) + 1)] for size in range(WIDE + 1)], "array<array<struct<at:int,n:int>>>")
+            return F.transform(F.get(by_size, F.octet_length(word)), lambda r: of(F.substr(word, r["at"], r["n"])))
+        size = F.octet_length(word)
+        most = lambda at: F.greatest(F.lit(2), F.least(F.lit(merges.longest), size - at + 1))
+        return F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda at: F.flatten(F.transform(F.sequence(F.lit(2), most(at)), lambda n: of(F.substr(word, at, n)))))
 
-    def prepared(self, word: str) -> tuple[str, list[int]]:
-        """A word as characters, and the ranks of the merges that its bytes could take, in order."""
-        if (got := self.memory.get(word)) is None:
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            w = word.encode().decode("latin-1")
-            if (whole := self.known.get(w)) is not None:
-                got = char_of(whole), []
-            else:
-                got = w.translate(self.first), sorted({rank for _, rank in self.automaton.iter(w)}) if self.merging else []
-            self.memory[word] = got
-        return got
-
-
-_ready: dict[int, Words] = {}
-
-
-def folded(words: Column, merges: Column, literals: Merges) -> Column:
-    """The words' tokens as characters: each word's ranked merges folded over its byte array."""
-    as_literal = lambda x: F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<string>")
-    pairs, made = as_literal(literals.pairs), as_literal(literals.made)
-    return F.zip_with(words, merges, lambda word, ranks: F.aggregate(ranks, word, lambda s, r: F.replace(s, pairs[r], made[r])))
+    ranked = lambda word: F.sort_array(F.array_distinct(F.flatten(runs(word))))
+    start = lambda word: F.translate(F.decode(word, "ISO-8859-1"), merges.bytes, merges.first)
+    return F.transform(words, lambda word: F.aggregate(ranked(word), start(word), lambda s, r: F.replace(s, F.get(pairs, r), F.get(made, r))))
 
 
 class Splitter:
@@ -170,23 +169,22 @@ def _in_class(pattern: str, at: int) -> bool:
     return pattern.rfind("[", 0, at) > pattern.rfind("]", 0, at)
 
 
-def _pack(pattern: str, words_of: Words, id_type: pa.DataType, limit: int):
-    schema = pa.schema([("ids", pa.list_(id_type)), ("lens", pa.binary()), ("index", pa.binary()), ("words", pa.list_(pa.string())), ("merges", pa.list_(pa.list_(pa.int32())))])
+def _pack(pattern: str, id_type: pa.DataType, limit: int):
+    schema = pa.schema([("ids", pa.list_(id_type)), ("lens", pa.binary()), ("index", pa.binary()), ("words", pa.list_(pa.binary())), ("long", pa.list_(pa.binary()))])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, prepared, block, ids = Splitter(pattern), words_of.ready().prepared, Interner(limit), []
+        find, block, ids = Splitter(pattern), Interner(limit), []
 
         def flush() -> pa.RecordBatch:
-            words, flat, ends = [], [], [0]
-            for word in block.index:
-                chars, ranks = prepared(word)
-                words.append(chars)
-                flat += ranks
-                ends.append(len(flat))
-            merges = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
-            columns = [one(ids, id_type), pa.array([np.array(block.lens, np.int32).tobytes()], pa.binary()), pa.array([block.indexes().tobytes()], pa.binary()), one(words, pa.string()), one(merges, None)]
-            return pa.RecordBatch.from_arrays(columns, schema=schema)
+            words = [w.encode() for w in block.index]
+            # Words of up to WIDE bytes first.
+            order = sorted(range(len(words)), key=lambda k: len(words[k]) > WIDE)
+            place = np.empty(len(words), np.int32)
+            place[order] = np.arange(len(words))
+            short = sum(len(w) <= WIDE for w in words)
+            words = [words[k] for k in order]
+            row = [ids], [np.array(block.lens, np.int32).tobytes()], [place[block.indexes()].tobytes()], [words[:short]], [words[short:]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in found:
             for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
@@ -202,20 +200,12 @@ def _pack(pattern: str, words_of: Words, id_type: pa.DataType, limit: int):
     return run
 
 
-def decode_ids(ids: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> bytes:
+def decode(ids: Iterable[int], tokens: list[bytes]) -> bytes:
     """The bytes of ids: their pieces, one after another."""
-    return gather(flat, offsets, ids)[0].tobytes()
-
-
-def pieces_of(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens' bytes in one array, and where each id's begin."""
-    by_id = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        by_id[rank] = token
-    return np.frombuffer(b"".join(by_id), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in by_id])]).astype(np.int64)
+    return b"".join(map(tokens.__getitem__, ids))
 
 
-def _assemble(schema: pa.Schema, flat: np.ndarray, offsets: np.ndarray):
+def _assemble(schema: pa.Schema, tokens: list[bytes]):
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             for k in range(batch.num_rows):
@@ -226,13 +216,15 @@ def _assemble(schema: pa.Schema, flat: np.ndarray, offsets: np.ndarray):
                 at = np.concatenate([[0], np.cumsum(lens)])
                 w_ids = ranks_of("".join(words))
                 w_off = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+                flat, ends = w_ids.tolist(), w_off.tolist()
+                pieces = [decode(flat[a:b], tokens) for a, b in zip(ends, ends[1:], strict=False)]
                 for lo in range(0, len(lens), 256):
                     hi = min(lo + 256, len(lens))
                     coded, decoded = [], []
                     for d in range(lo, hi):
-                        ids, _ = gather(w_ids, w_off, index[at[d] : at[d + 1]])
-                        coded.append(ids.astype("<u4").tobytes())
-                        decoded.append(decode_ids(ids, flat, offsets))
+                        own = index[at[d] : at[d + 1]]
+                        coded.append(gather(w_ids, w_off, own)[0].astype("<u4").tobytes())
+                        decoded.append(decode(own.tolist(), pieces))
                     yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), pa.array(coded, pa.binary()), pa.array(decoded, pa.binary())], schema=schema)
 
     return run
@@ -242,12 +234,12 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
     """Returns key, ids (little-endian unsigned 32-bit integers, as binary) and decoded (the bytes of those ids)."""
     key_type = df.schema[key].dataType
     arrow = to_arrow_type(key_type)
-    literals = Merges(ranks)
-    blocks = T.StructType([T.StructField("ids", T.ArrayType(key_type)), T.StructField("lens", T.BinaryType()), T.StructField("index", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("merges", T.ArrayType(T.ArrayType(T.IntegerType())))])
-    packed = df.select(key, text).mapInArrow(_pack(pattern, literals.words, arrow, block_bytes), blocks)
-    coded = packed.select("ids", "lens", "index", folded(F.col("words"), F.col("merges"), literals).alias("words"))
+    merges = Merges(ranks)
+    blocks = T.StructType([T.StructField("ids", T.ArrayType(key_type)), T.StructField("lens", T.BinaryType()), T.StructField("index", T.BinaryType()), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("long", T.ArrayType(T.BinaryType()))])
+    packed = df.select(key, text).mapInArrow(_pack(pattern, arrow, block_bytes), blocks)
+    coded = packed.select("ids", "lens", "index", F.concat(folded(F.col("words"), merges, False), folded(F.col("long"), merges, True)).alias("words"))
     out = T.StructType([T.StructField(key, key_type), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
-    return coded.mapInArrow(_assemble(pa.schema([(key, arrow), ("ids", pa.binary()), ("decoded", pa.binary())]), *pieces_of(ranks)), out)
+    return coded.mapInArrow(_assemble(pa.schema([(key, arrow), ("ids", pa.binary()), ("decoded", pa.binary())]), merges.tokens), out)
 
 
 def digests(coded: DataFrame, key: str = "doc_id") -> DataFrame:
