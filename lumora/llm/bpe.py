@@ -3,21 +3,17 @@
 Encoding has three narrow steps and no shuffle:
 
 1. Each task splits its documents by the pattern and gathers blocks of bounded size; a block holds its distinct words
-   once, each as an array of bytes, and every document as indexes into them.
-2. Spark's higher-order functions fold ranked merges over the bytes of every distinct word. All runs of a word's bytes are
-   looked up in a literal rank map: that gives the ranks of the merges that the word could take, in order. Folding one of
-   them joins its pair wherever it stands, from the left. The fold's state is one character a token, so that a merge is a
-   native replacement; the literals give the pair and the character of a rank.
+   once, each as an array of bytes with the ranks of the merges that it could take, and every document as indexes
+   into them. An automaton finds the tokens that stand in a word.
+2. Spark's higher-order functions fold those ranked merges over the bytes of every distinct word. The rank map is a literal:
+   arrays that hold, at a rank, the pair that merges and the token that it makes. The fold's state is one character a token,
+   so that a merge, which joins its pair wherever it stands, from the left, is a native replacement.
 3. The documents' ids are put together from the words' ids. Decoding concatenates binary pieces: the ids' in a word, and
    then the words' in a document.
 
 One pass in the order of ranks is the whole algorithm: the halves of a token have lower ranks than the token, so a
 merge never makes a pair of a lower rank, and all places of a pair merge in one step, from the left.
 
-The rank map is an array of slots: a run's hash gives its slot, and the slot the ranks of the tokens that hash to it. (Spark
-reads its own maps by going through all keys.) A rank that came by another run's hash does no harm: a pair stands
-in a word only if its token's bytes do.
-
 Defined results: null text counts as empty; an empty text has no ids; repeated rows each give a row; other columns
 than the two named are ignored, whatever their names; an empty table gives no row. Equal texts give equal ids. Text is
 split whole, whatever its length.
@@ -41,6 +37,8 @@ from lumora.llm.common import Interner, gather, texts_of
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
+#: Words in either generation of a worker's memory, and the longest word that it remembers.
+REMEMBERED, LONGEST = 50_000, 64
 #: A token is held as one character: its rank above FIRST, or above HIGH where that would meet the surrogates.
 FIRST, LAST, HIGH = 0x100, 0xD800, 0x10000
 
@@ -73,60 +71,68 @@ def halves(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
     return (parts[0], parts[1]) if len(parts) == 2 else None
 
 
-#: Slots of the rank map, a power of two.
-SLOTS = 1 << 18
-#: Words of up to this many bytes take their runs from a literal; longer ones count them out.
-WIDE = 48
-
-
-def slot_of(token: bytes) -> int:
-    """Where the rank map holds a token: Spark's xxhash64 of its bytes, cut to the slots."""
-    import xxhash
-
-    return xxhash.xxh64_intdigest(token, 42) & (SLOTS - 1)
-
-
 class Merges:
-    """A rank file's merges, as what the literals hold."""
+    """A rank file's merges, as what the literals hold, and each merged token's rank."""
 
     def __init__(self, ranks: dict[bytes, int]):
         size = max(ranks.values(), default=-1) + 1
         self.pairs, self.made, self.tokens = [""] * size, [""] * size, [b""] * size
-        self.slots: list[list[int]] = [[] for _ in range(SLOTS)]
-        self.longest = 2
+        ranked: dict[str, int] = {}
         for token, rank in ranks.items():
             self.tokens[rank] = token
             if len(token) > 1 and (pair := halves(token, ranks)):
-                self.slots[slot_of(token)].append(rank)
-                self.longest = max(self.longest, len(token))
+                ranked[token.decode("latin-1")] = rank
                 self.pairs[rank] = char_of(ranks[pair[0]]) + char_of(ranks[pair[1]])
                 self.made[rank] = char_of(rank)
         there = [b for b in range(256) if bytes([b]) in ranks]
         self.bytes, self.first = "".join(map(chr, there)), "".join(char_of(ranks[bytes([b])]) for b in there)
+        self.finder = Finder(ranked)
 
 
-def _literal(value: list, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
+class Finder:
+    """Finds the ranks of the merges that words could take: those of the tokens that stand in them."""
 
+    def __init__(self, ranked: dict[str, int]):
+        self.ranked, self.key = ranked, hash(frozenset(ranked.items()))
 
-def folded(words: Column, merges: Merges, long: bool) -> Column:
-    """Words (arrays of bytes) as their tokens' characters: each word's ranked merges, folded over its bytes. Words of up to WIDE
-    bytes take their runs from a literal; with long, words of any length count them out."""
-    slots = _literal(merges.slots, "array<array<int>>")
-    pairs, made = _literal(merges.pairs, "array<string>"), _literal(merges.made, "array<string>")
-    of = lambda run: F.get(slots, F.xxhash64(run).bitwiseAND(F.lit(SLOTS - 1)).cast("int"))
+    def ready(self) -> Finder:
+        """This, or the equal one that the worker has from an earlier task, with its automaton and memory."""
+        import ahocorasick
+
+        if (got := _ready.get(self.key)) is None or got.ranked != self.ranked:
+            self.old: dict[str, list[int]] = {}
+            self.memory: dict[str, list[int]] = {}
+            self.automaton = ahocorasick.Automaton()
+            for token, rank in self.ranked.items():
+                self.automaton.add_word(token, rank)
+            if self.ranked:
+                self.automaton.make_automaton()
+            got = _ready[self.key] = self
+        return got
+
+    def __call__(self, word: str, data: bytes) -> list[int]:
+        if (got := self.memory.get(word)) is None:
+            if (got := self.old.get(word)) is None:
+                got = sorted({rank for _, rank in self.automaton.iter(data.decode("latin-1"))}) if self.ranked else []
+            if len(word) <= LONGEST:
+                if len(self.memory) >= REMEMBERED:
+                    self.old, self.memory = self.memory, {}
+                self.memory[word] = got
+        return got
+
+
+_ready: dict[int, Finder] = {}
+
+
+def _literal(value: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
-    def runs(word: Column) -> Column:
-        if not long:
-            by_size = _literal([[{"at": a, "n": n} for a in range(1, size) for n in range(2, min(merges.longest, size - a + 1) + 1)] for size in range(WIDE + 1)], "array<array<struct<at:int,n:int>>>")
-            return F.transform(F.get(by_size, F.octet_length(word)), lambda r: of(F.substr(word, r["at"], r["n"])))
-        size = F.octet_length(word)
-        most = lambda at: F.greatest(F.lit(2), F.least(F.lit(merges.longest), size - at + 1))
-        return F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda at: F.flatten(F.transform(F.sequence(F.lit(2), most(at)), lambda n: of(F.substr(word, at, n)))))
 
-    ranked = lambda word: F.sort_array(F.array_distinct(F.flatten(runs(word))))
-    start = lambda word: F.translate(F.decode(word, "ISO-8859-1"), merges.bytes, merges.first)
-    return F.transform(words, lambda word: F.aggregate(ranked(word), start(word), lambda s, r: F.replace(s, F.get(pairs, r), F.get(made, r))))
+def folded(words: Column, merges: Column, literals: Merges) -> Column:
+    """Words (arrays of bytes) as their tokens' characters: each word's ranked merges, folded over its bytes."""
+    pairs, made = _literal(literals.pairs, "array<string>"), _literal(literals.made, "array<string>")
+    start = lambda word: F.translate(F.decode(word, "ISO-8859-1"), literals.bytes, literals.first)
+    return F.zip_with(words, merges, lambda word, ranks: F.aggregate(ranks, start(word), lambda s, r: F.replace(s, F.get(pairs, r), F.get(made, r))))
 
 
 class Splitter:
@@ -169,22 +175,22 @@ def _in_class(pattern: str, at: int) -> bool:
     return pattern.rfind("[", 0, at) > pattern.rfind("]", 0, at)
 
 
-def _pack(pattern: str, id_type: pa.DataType, limit: int):
-    schema = pa.schema([("ids", pa.list_(id_type)), ("lens", pa.binary()), ("index", pa.binary()), ("words", pa.list_(pa.binary())), ("long", pa.list_(pa.binary()))])
+def _pack(pattern: str, finder: Finder, id_type: pa.DataType, limit: int):
+    schema = pa.schema([("ids", pa.list_(id_type)), ("lens", pa.binary()), ("index", pa.binary()), ("words", pa.list_(pa.binary())), ("merges", pa.list_(pa.list_(pa.int32())))])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, block, ids = Splitter(pattern), Interner(limit), []
+        find, ranks_in, block, ids = Splitter(pattern), finder.ready(), Interner(limit), []
 
         def flush() -> pa.RecordBatch:
-            words = [w.encode() for w in block.index]
-            # Words of up to WIDE bytes first.
-            order = sorted(range(len(words)), key=lambda k: len(words[k]) > WIDE)
-            place = np.empty(len(words), np.int32)
-            place[order] = np.arange(len(words))
-            short = sum(len(w) <= WIDE for w in words)
-            words = [words[k] for k in order]
-            row = [ids], [np.array(block.lens, np.int32).tobytes()], [place[block.indexes()].tobytes()], [words[:short]], [words[short:]]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema, strict=True)], schema=schema)
+            words, flat, ends = [], [], [0]
+            for word in block.index:
+                words.append(word.encode())
+                flat += ranks_in(word, words[-1])
+                ends.append(len(flat))
+            merges = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            row = [ids], [np.array(block.lens, np.int32).tobytes()], [block.indexes().tobytes()], [words]
+            columns = [pa.array(c, f.type) for c, f in zip(row, schema, strict=False)]
+            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), merges)], schema=schema)
 
         for batch in found:
             for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
@@ -235,9 +241,9 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
     key_type = df.schema[key].dataType
     arrow = to_arrow_type(key_type)
     merges = Merges(ranks)
-    blocks = T.StructType([T.StructField("ids", T.ArrayType(key_type)), T.StructField("lens", T.BinaryType()), T.StructField("index", T.BinaryType()), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("long", T.ArrayType(T.BinaryType()))])
-    packed = df.select(key, text).mapInArrow(_pack(pattern, arrow, block_bytes), blocks)
-    coded = packed.select("ids", "lens", "index", F.concat(folded(F.col("words"), merges, False), folded(F.col("long"), merges, True)).alias("words"))
+    blocks = T.StructType([T.StructField("ids", T.ArrayType(key_type)), T.StructField("lens", T.BinaryType()), T.StructField("index", T.BinaryType()), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("merges", T.ArrayType(T.ArrayType(T.IntegerType())))])
+    packed = df.select(key, text).mapInArrow(_pack(pattern, merges.finder, arrow, block_bytes), blocks)
+    coded = packed.select("ids", "lens", "index", folded(F.col("words"), F.col("merges"), merges).alias("words"))
     out = T.StructType([T.StructField(key, key_type), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
     return coded.mapInArrow(_assemble(pa.schema([(key, arrow), ("ids", pa.binary()), ("decoded", pa.binary())]), merges.tokens), out)
 
