@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumora.checkpoints import written
 
-__all__ = ["Interner", "gather", "remainder", "texts_of", "written"]
+__all__ = ["Interner", "bounded", "gather", "remainder", "texts_of", "written"]
 
 
 def remainder(doc_id: str = "doc_id", mod: int = 5) -> Column:
@@ -22,6 +22,20 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def bounded(sample: DataFrame, most: int) -> pa.Table:
+    """The rows of a sample (doc_id, text and others; a bounded number of rows, one a doc_id) on the driver, by doc_id: in the order
+    of a hash of the id, those whose texts stay within `most` bytes in all."""
+    sizes = sample.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64("doc_id").alias("h")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
+    total, out = 0, []
+    for key, n in zip(sizes.column("doc_id").to_pylist(), sizes.column("n").to_pylist(), strict=True):
+        if total + n > most:
+            out.append(key)
+        else:
+            total += n
+    kept = sample.where(~F.col("doc_id").isin(out)) if out else sample
+    return kept.toArrow().sort_by([("doc_id", "ascending")])
+
+
 class Interner:
     """Collects documents' tokens into a block: distinct tokens, and each document as indexes into them."""
 

@@ -10,7 +10,9 @@ letter, or if its probability is below the level that all but REJECT of the shor
 
 Defined results: null text, empty text and text without a letter give `und`, score 0, rejected. Repeated rows each
 give a row, equal texts equal results. Without a labelled row there is no language, and all is `und`. Ties go to the
-language that sorts first. Very long texts are read in pieces, whole.
+language that sorts first. An empty table gives no row. Very long texts are read whole, in pieces that overlap, so that the
+pieces change nothing. Columns of the input that have a result's name are replaced; all others stay. A repeated doc_id is
+learnt from once, by its least text.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumora.llm.common import remainder
+from lumora.llm.common import bounded, remainder, written
 
-#: Rows of the embedding table, its width, and labelled rows that are learnt from, at most.
-BUCKETS, WIDTH, SAMPLE = 1 << 16, 16, 5000
+#: Rows of the embedding table, and its width.
+BUCKETS, WIDTH = 1 << 16, 16
+#: Bounds of what is learnt from: labelled rows, their bytes of text, and a training snippet's n-grams.
+SAMPLE, SAMPLE_BYTES, SNIPPET = 5000, 64 << 20, 600
 #: Share of held-back snippets that may fall below the rejection level.
 REJECT = 0.001
 UNKNOWN = "und"
@@ -70,18 +74,21 @@ def sums(texts: list[bytes], scores: np.ndarray) -> tuple[np.ndarray, np.ndarray
     def flush() -> None:
         nonlocal part, size
         if part:
-            lens = np.array([len(t) + 6 for _, t in part])
-            data = np.frombuffer(b"".join(b"   " + t + b"   " for _, t in part) + b"   ", np.uint8)
+            # A part's last three bytes only end n-grams; they begin the text's next part.
+            lens = np.array([len(t) for _, t in part])
+            data = np.frombuffer(b"".join(t for _, t in part) + b"   ", np.uint8)
             at = np.concatenate([[0], np.cumsum(lens)[:-1]])
-            rows = np.array([k for k, _ in part])
+            rows, own = np.array([k for k, _ in part]), lens - 3
+            starts = np.ravel(np.column_stack([at, at + own]))
             for buckets in grams(data):
-                np.add.at(total, rows, np.add.reduceat(scores[buckets], at, axis=0, dtype=np.float64))
-            np.add.at(count, rows, 2.0 * lens)
+                np.add.at(total, rows, np.add.reduceat(scores[buckets], starts, axis=0, dtype=np.float64)[::2])
+            np.add.at(count, rows, 2.0 * own)
         part, size = [], 0
 
     for k, text in enumerate(texts):
-        for lo in range(0, max(1, len(text)), PIECE):
-            part.append((k, text[lo : lo + PIECE]))
+        text = b"   " + text + b"      "
+        for lo in range(0, len(text) - 3, PIECE):
+            part.append((k, text[lo : lo + PIECE + 3]))
             size += len(part[-1][1])
             if size >= PIECE:
                 flush()
@@ -99,7 +106,8 @@ def _features(text: bytes) -> np.ndarray:
 
 
 def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 2.0, seed: int = 7) -> Model:
-    """Trains on whole texts and on short snippets of them; a tenth is held back for calibration."""
+    """Trains on texts and on short snippets of them, by SNIPPET n-grams of each at most, drawn evenly; a tenth of the rows is held
+    back for calibration."""
     names = sorted(set(langs))
     if not names:
         return Model()
@@ -118,7 +126,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 2.0,
             lo = int(rng.integers(0, max(1, len(t) - size)))
             t = t[lo : lo + size]
         f = _features(t)
-        return f if len(f) <= 600 else rng.choice(f, 600, replace=False)
+        return f if len(f) <= SNIPPET else rng.choice(f, SNIPPET, replace=False)
 
     steps = max(1, epochs * len(train) // 64, 300 if train else 1)
     for step in range(steps if train else 0):
@@ -150,19 +158,20 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 2.0,
 
 
 def sample_of(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """At most `size` labelled rows to learn from, spread evenly by a hash of the id; never a held-out row."""
-    rows = docs.where((remainder() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    return rows.select("doc_id", "text", "lang").join(F.broadcast(ids.distinct()), "doc_id", "left_semi").limit(2 * size)
+    """At most `size` labelled rows to learn from, spread evenly by a hash of the id; never a held-out row. One for each id."""
+    rows = docs.where((remainder() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+    return rows.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("x")).select("doc_id", "x.text", "x.lang")
 
 
 def train(docs: DataFrame, size: int = SAMPLE) -> Model:
-    got = sample_of(docs, size).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    got = bounded(written(sample_of(docs, size), "langid-sample"), SAMPLE_BYTES)
     return fit(got.column("text").to_pylist(), got.column("lang").to_pylist())
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
     """df with three more columns: <prefix>lang_pred, <prefix>score (the probability), <prefix>rejected."""
+    df = df.drop(*(f"{prefix}{c}" for c in ("lang_pred", "score", "rejected")))
     added = [T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}rejected", T.BooleanType())]
     schema = T.StructType([*df.schema.fields, *added])
     arrow, column = to_arrow_schema(schema), df.columns.index(text)

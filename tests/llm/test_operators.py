@@ -188,13 +188,69 @@ def test_toxicity_hard_inputs(spark, docs):
     assert toxicity.predict(empty(docs), model, prefix="p_").count() == 0
 
 
-def test_label_model_trusts_the_better_voter():
-    rng = np.random.default_rng(0)
-    y = rng.random(3000) < 0.3
-    votes = np.stack([np.where(rng.random(3000) < p, np.where(y, 1, -1), np.where(y, -1, 1)) for p in (0.95, 0.9, 0.6, 0.6)], axis=1)
-    given = np.where(rng.random(3000) < 0.97, y, ~y)
-    post, table, own = toxicity.label_model(votes, 0.3, given)
-    assert ((post > 0.5) == y).mean() > 0.97 and table[0, 1, 2] > table[2, 1, 2] and own.shape == (4,)
+def _voted(rng, n, share, kinds, voters):
+    """Rows of kinds whose voters fire together, with no given label: truth, votes."""
+    y, of = rng.random(n) < share, rng.integers(0, kinds, n)
+    rate = np.where(y[:, None] & (of[:, None] == np.arange(kinds).repeat(voters)), 0.35, 0.01)
+    return y, (rng.random((n, kinds * voters)) < rate).astype(np.int8)
+
+
+def test_label_model_finds_the_labels_from_votes_alone():
+    y, votes = _voted(np.random.default_rng(0), 4000, 0.3, 3, 9)
+    post, one, parent = toxicity.label_model(votes, 0.3)
+    assert ((post > 0.5) == y).mean() > 0.95 and abs(post.mean() - 0.3) < 0.03
+    # The rates are those of the truth, 0.35 in a voter's own kind and 0.01 in what is clean; so is the posterior: a row of one vote.
+    assert one[1:].max(axis=0).min() > 0.25 and one[0].max() < 0.03
+    alone = votes.sum(axis=1) == 1
+    assert abs(post[alone].mean() - y[alone].mean()) < 0.06
+
+
+def test_label_model_finds_dependent_voters():
+    rng = np.random.default_rng(1)
+    y, votes = _voted(rng, 4000, 0.3, 1, 8)
+    # A voter that repeats another one nearly always is its neighbour in the forest, and hardly moves the posterior.
+    copy = np.where(rng.random(4000) < 0.97, votes[:, :1].T, 0).T
+    more = np.concatenate([copy, votes], axis=1)
+    post, _, parent = toxicity.label_model(more, 0.3)
+    assert parent[0] == 1 or parent[1] == 0
+    assert ((post > 0.5) == y).mean() > 0.9
+
+
+def test_label_model_against_given_labels(spark):
+    """The posterior comes from votes; how far it is from the labels that took no part."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = docs.where(F.col("text").isNotNull()).join(labels, "doc_id").where(toxicity.remainder() != 0).select("text", "toxic").toPandas()
+    seen = {}
+
+    def noted(votes, prior):
+        seen["post"] = toxicity_label_model(votes, prior)
+        return seen["post"]
+
+    toxicity_label_model, toxicity.label_model = toxicity.label_model, noted
+    try:
+        toxicity.fit(got.text.tolist(), got.toxic.tolist(), float(got.toxic.mean()))
+    finally:
+        toxicity.label_model = toxicity_label_model
+    said = seen["post"][0] > 0.5
+    assert (said == (got.toxic == 1)).mean() > 0.97 and (said != (got.toxic == 1)).any()
+
+
+def test_toxicity_sample_is_bounded_and_settled(spark, monkeypatch):
+    rows = [(k, f"{'bad' if k % 2 else 'good'} word{k} " * 20) for k in range(60)] + [(1, "other text of one id")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    models = [toxicity.train(d, labels) for d in (docs, docs.repartition(7))]
+    assert models[0].terms == models[1].terms and np.array_equal(models[0].weights, models[1].weights)
+    sample = docs.dropDuplicates(["doc_id"])
+    assert toxicity.bounded(sample, 2000).num_rows < 60 == toxicity.bounded(sample, 1 << 20).num_rows
+
+
+def test_results_replace_columns_of_their_names(spark, docs, corpus):
+    clash = docs.withColumns({c: F.lit("old") for c in ("predicted", "lang_pred", "rejected")})
+    model = langid.train(corpus)
+    a = toxicity.predict(clash, toxicity.Model())
+    b = langid.predict(clash, model)
+    assert sorted(a.columns) == sorted(clash.columns) and a.where("predicted = 0").select("score", "spans").count() == len(HARD)
+    assert sorted(b.columns) == sorted(clash.columns) and b.select("lang_pred", "rejected", "score").where("lang_pred = 'old'").count() == 0
 
 
 def test_langid_held_out(spark):
