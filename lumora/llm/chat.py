@@ -9,9 +9,11 @@ Escaping is reversible: wherever a text has a control string, or one with backsl
 backslash goes there; unescape() takes one out. So no text can hold a control string, and the formatted string
 can be read back without doubt.
 
-Defined results: null text and null role count as empty; turns go by turn (null first), then role, then text, so that ties
+Defined results: a part of a type not listed here keeps its text, and gives the placeholder of OTHER if it has none; its
+type, reference and tokens are recorded as an attachment, so nothing is lost. Null text and null role count as empty; turns go by turn (null first), then role, then text, so that ties
 and repeated rows have one order; an empty table gives no conversation. Turns are put together in runs of RUN first,
-so that a conversation with very many turns doesn't pass one task turn by turn.
+so that a conversation with very many turns doesn't pass one task turn by turn. Texts of any length are formatted whole.
+Other columns than the four named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from pyspark.sql import functions as F
 #: Turns that are put together before a conversation is.
 RUN = 256
 # Strings that chat templates read as marks, by what follows their first character.
-_AFTER_LESS = r"\|(?:im_start|im_end|image|audio|document|endoftext|startoftext)\|>|/?s>|</?SYS>>"
+_AFTER_LESS = r"\|(?:im_start|im_end|image|audio|document|part|endoftext|startoftext)\|>|/?s>|</?SYS>>"
 _AFTER_BRACKET = r"/?INST\]"
 BEGIN, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
+OTHER = "<|part|>"
 #: Tokens that an attachment expands to where its part doesn't say.
 TOKENS = {"image": 576, "audio": 250, "document": 1024}
 PARTS = "array<struct<type:string,text:string,ref:string,tokens:int>>"
@@ -55,11 +58,11 @@ def text_parts(text: str = "text") -> Column:
 
 
 def _visit(part: Column) -> Column:
-    """One part as text; a part of an unknown type gives nothing."""
-    out = F.when(part["type"] == "text", escape(F.coalesce(part["text"], F.lit(""))))
+    """One part as text."""
+    out = F.when(F.coalesce(part["type"], F.lit("text")) == "text", escape(F.coalesce(part["text"], F.lit(""))))
     for kind, mark in PLACEHOLDERS.items():
         out = out.when(part["type"] == kind, F.lit(mark))
-    return out.otherwise(F.lit(""))
+    return out.otherwise(F.coalesce(escape(part["text"]), F.lit(OTHER)))
 
 
 def _tokens(part: Column) -> Column:
@@ -74,7 +77,7 @@ def format_turns(turns: DataFrame, learn: str = "assistant") -> DataFrame:
     attachments (array<struct<turn, position, type, ref, tokens>>), attachment_tokens."""
     role = F.coalesce("role", F.lit(""))
     body = F.array_join(F.transform("parts", _visit), "")
-    attached = F.filter(F.transform("parts", lambda p, k: F.struct(F.col("turn").alias("turn"), k.alias("position"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))), lambda a: a["type"].isin(*PLACEHOLDERS))
+    attached = F.filter(F.transform("parts", lambda p, k: F.struct(F.col("turn").alias("turn"), k.alias("position"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))), lambda a: a["type"] != "text")
     row = F.struct(F.col("turn"), role.alias("role"), F.coalesce(body, F.lit("")).alias("body"), F.coalesce(attached, F.array().cast("array<struct<turn:bigint,position:int,type:string,ref:string,tokens:int>>")).alias("attached"))
     runs = turns.withColumn("turn", F.col("turn").cast("long")).groupBy("conv_id", F.floor(F.col("turn") / RUN).alias("_run")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     whole = runs.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("_run", "_rows"))).alias("_runs")).select("conv_id", F.flatten(F.transform("_runs", lambda r: r["_rows"])).alias("_rows"))

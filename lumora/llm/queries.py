@@ -22,7 +22,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    planted = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
     return chat.digests(chat.format_turns(turns.unionByName(planted).withColumn("parts", chat.text_parts())))
 
 
@@ -32,8 +32,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return secrets.digests(secrets.scan_documents(docs, secrets.empty_ledger(docs))[0])
+    """The corpus as a history of two commits. The first brings about half of the versions, before the extra rules were there; the
+    second brings all, and scans what is unseen: new blobs by all rules, known blobs by the new rules only. Findings go
+    back to every version from the ledger's last state."""
+    versions = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secrets.commit(versions.where(remainder(mod=2) == 0), secrets.empty_ledger(versions), secrets.BASE)
+    ledger = secrets.commit(versions, ledger)
+    return secrets.digests(secrets.findings(versions, ledger).select("doc_id", "spans"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,13 @@ the ledger's next state; findings are joined back to all documents (or paths, or
 A span is a kind with begin and end in code points. Both sides of a match are cut by the same pattern (the matches
 themselves, and what lies between them), so begins are running sums of lengths.
 
+Copies of a text are pre-aggregated to one blob before the shuffle. Joining back to documents is salted by the
+document's whole row, so that the copies of one text don't meet in one task.
+
 Defined results: null text counts as empty, which has no spans. Repeated rows each give a row with the same findings.
-Rows with a null id stay. Texts are scanned whole. Kinds may overlap; spans go by begin, then by kind as listed.
+Rows with a null id stay; an empty table gives no row, and an empty ledger stays empty. Texts are scanned whole, whatever
+their length. Kinds may overlap; spans go by begin, then by kind as listed. A column of the input that has the result's
+name is replaced; all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,6 +56,8 @@ EXTRA = (
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
 RULES = (*BASE, *EXTRA)
+#: Shares that the rows of one blob are dealt over when findings are joined back.
+SALTS = 16
 SPANS = "array<struct<begin:int,kind_no:int,kind:string,end:int>>"
 
 
@@ -83,7 +90,7 @@ def blob(text: str = "text") -> Column:
 
 
 def empty_ledger(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], f"blob string, versions array<string>, spans {SPANS}")
+    return df.sparkSession.range(0).select(F.lit("").alias("blob"), F.array().cast("array<string>").alias("versions"), F.array().cast(SPANS).alias("spans"))
 
 
 def scan(texts: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -106,15 +113,23 @@ def scan(texts: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, .
 
 
 def findings(docs: DataFrame, ledger: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
-    """docs with their blobs' spans (an empty array where there is none). Only blobs with spans go into the join."""
-    found = ledger.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_blob", blob(text)).join(found, "_blob", "left")
-    return joined.select(*docs.columns, F.coalesce("_spans", F.array().cast(SPANS)).alias(name))
+    """docs (documents, or paths, or versions of them) with their blobs' spans; an empty array where there is none. Only blobs
+    with spans go into the join."""
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(F.struct("*").alias("row"), blob(text).alias("blob"), F.pmod(F.xxhash64(*hashable), F.lit(SALTS)).alias("salt"))
+    found = ledger.where(F.size("spans") > 0).select("blob", "spans", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() != name.lower()]
+    return rows.join(found, ["blob", "salt"], "left").select(*kept, F.coalesce("spans", F.array().cast(SPANS)).alias(name))
+
+
+def commit(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger's next state after the texts of docs, written to the shared folder."""
+    return written(scan(docs, ledger, rules), "blob-ledger")
 
 
 def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """Scans docs (column text) and gives (docs with spans, the ledger's next state, written to the shared folder)."""
-    after = written(scan(docs, ledger, rules), "blob-ledger")
+    """Scans docs (column text) and gives (docs with spans, the ledger's next state)."""
+    after = commit(docs, ledger, rules)
     return findings(docs, after), after
 
 

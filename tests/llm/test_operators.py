@@ -67,10 +67,10 @@ def test_escape_is_reversible(spark, text, control):
 
 
 def test_chat_parts(spark):
-    rows = spark.createDataFrame([(1, 0, "user", [("text", "see <|image|>", None, None), ("image", None, "a.png", None), ("audio", None, "b.wav", 7), ("odd", "?", None, None)])], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    rows = spark.createDataFrame([(1, 0, "user", [("text", "see <|image|>", None, None), ("image", None, "a.png", None), ("audio", None, "b.wav", 7), ("odd", "? </s>", "c.mov", 3), ("odd", None, "d.mov", None), (None, "!", None, None)])], f"conv_id long, turn long, role string, parts {chat.PARTS}")
     r = chat.format_turns(rows).first()
-    assert r.formatted == "<|im_start|>user\nsee <\\|image|><|image|><|audio|><|im_end|>\n"
-    assert [(a.position, a.type, a.ref, a.tokens) for a in r.attachments] == [(1, "image", "a.png", 576), (2, "audio", "b.wav", 7)] and r.attachment_tokens == 583
+    assert r.formatted == "<|im_start|>user\nsee <\\|image|><|image|><|audio|>? <\\/s><|part|>!<|im_end|>\n"
+    assert [(a.position, a.type, a.ref, a.tokens) for a in r.attachments] == [(1, "image", "a.png", 576), (2, "audio", "b.wav", 7), (3, "odd", "c.mov", 3), (4, "odd", "d.mov", 0)] and r.attachment_tokens == 586
 
 
 def test_chat_long_conversation_and_none(spark):
@@ -80,6 +80,13 @@ def test_chat_long_conversation_and_none(spark):
     assert chat.format_turns(chat_rows(spark, [])).count() == 0
 
 
+def test_chat_clashing_columns_and_long_texts(spark):
+    long = "</s> x" * 200_000
+    rows = chat_rows(spark, [(1, 0, "assistant", long)]).withColumns({c: F.lit("old") for c in ("_rows", "_run", "segments", "formatted", "body", "attachments")})
+    r = chat.digests(chat.format_turns(rows)).first()
+    assert r.loss_chars == len(long) and r.loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+
+
 # --- BPE
 
 
@@ -160,6 +167,28 @@ def test_ledger_scans_only_what_is_new(spark):
     assert {r.doc_id: [s.kind for s in r.spans] for r in found.collect()}[2] == ["clean"]
 
 
+def test_ledger_keeps_what_it_scanned_by_older_rules(spark):
+    """Two commits: base rules on some, then all rules on all; each pair of blob and rule's version is scanned once."""
+    rows = [(k, t) for k, t in enumerate([SECRET, "clean", SECRET, "ghp_" + "b2" * 18, "token=abcdefgh", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = secrets.commit(docs.where("doc_id < 2"), secrets.empty_ledger(docs), secrets.BASE)
+    marked = first.withColumn("spans", F.filter("spans", lambda s: s["kind"] != "hex"))  # shows that base rules don't run again
+    last = secrets.commit(docs, marked)
+    assert last.count() == 5 and last.select(F.size("versions")).distinct().collect() == [(len(secrets.RULES),)]
+    got = {r.doc_id: [(s.begin, s.kind) for s in r.spans] for r in secrets.findings(docs, last).collect()}
+    want = {k: [(b, kind) for b, _, kind, _ in brute_spans(t or "") if not (t == SECRET and kind == "hex")] for k, t in rows}
+    assert got == want and any(kind == "forge" for _, kind in got[0])
+
+
+def test_findings_keep_clashing_columns_and_deal_copies(spark):
+    rows = [(k, SECRET, "mine", "b", 1, {"a": 1}) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _spans string, _blob string, salt int, m map<string,int>").withColumn("spans", F.lit("old")).withColumn("blob", F.lit("own"))
+    found, _ = secrets.scan_documents(docs)
+    out = found.collect()
+    assert sorted(found.columns) == sorted(docs.columns) and len(out) == 300
+    assert {(r._spans, r._blob, r.salt, r.blob) for r in out} == {("mine", "b", 1, "own")} and all(len(r.spans) == len(brute_spans(SECRET)) for r in out)
+
+
 def test_redaction(spark):
     row = spark.createDataFrame([(1, "token=abcdefgh and " + "0a" * 15 + " end", "x")], "doc_id long, text string, keep string")
     r = secrets.scan_documents(row)[0].select(secrets.redacted(F.col("text"), F.col("spans")).alias("t"), "keep").first()
