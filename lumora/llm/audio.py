@@ -4,9 +4,14 @@ A payload of bytes is stored without loss as 8-bit mono samples in a WAV file. T
 their samples come: polyphase resampling, overlapped log-mel filterbanks cut into tensors of one fixed shape with the
 span of time that each covers, and segments of sound by an energy threshold with hysteresis.
 
-Defined results: null text counts as empty, whose payload is BLOCK zero bytes; repeated rows each give a row; equal
-texts give equal values, as each text is worked on alone and results are rounded. Long texts are worked on whole; the
-last tensor is filled up with the floor value. Other columns than the two named are ignored.
+The tensors are stored as Arrow's own: a row's column holds an Arrow stream with one row for each tensor (type
+arrow.fixed_shape_tensor, frames by bands) and the span that it covers. Whatever reads the table, from Parquet too, gets
+the typed tensors back by opening the stream (stored_tensors), as Spark's columns have no such type.
+
+Defined results: null text counts as empty, whose payload is BLOCK zero bytes; repeated rows each give a row; an empty
+table gives none; equal texts give equal values, as each text is worked on alone and results are rounded. Long texts are
+worked on whole; the last tensor is filled up with the floor value. Other columns than the two named are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -139,14 +144,28 @@ def features(media: bytes) -> tuple[np.ndarray, list[tuple[float, float]], list[
     return tensors.reshape(n, FRAMES, MELS), spans, [(a * HOP / HZ, b * HOP / HZ) for a, b in segments(x)]
 
 
-def tensor_array(data: bytes) -> pa.Array:
-    """A row's tensors as an Array of Arrow's fixed-shape tensors."""
-    return pa.FixedShapeTensorArray.from_numpy_ndarray(np.frombuffer(data, "<i2").reshape(-1, FRAMES, MELS))
+_TENSOR = pa.fixed_shape_tensor(pa.int16(), [FRAMES, MELS])
+_STORED = pa.schema([("tensor", _TENSOR), ("begin", pa.float64()), ("end", pa.float64())])
+
+
+def as_stored(tensors: np.ndarray, spans: list[tuple[float, float]]) -> bytes:
+    """Tensors (n, FRAMES, MELS) and their spans as an Arrow stream."""
+    out = pa.BufferOutputStream()
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(tensors.reshape(-1)), FRAMES * MELS)
+    begins, ends = ([s[k] for s in spans] for k in (0, 1))
+    with pa.ipc.new_stream(out, _STORED) as stream:
+        stream.write_batch(pa.RecordBatch.from_arrays([pa.ExtensionArray.from_storage(_TENSOR, flat), pa.array(begins, pa.float64()), pa.array(ends, pa.float64())], schema=_STORED))
+    return out.getvalue().to_pybytes()
+
+
+def stored_tensors(data: bytes) -> pa.Table:
+    """What as_stored wrote: columns tensor (fixed-shape tensors), begin, end (seconds)."""
+    return pa.ipc.open_stream(data).read_all()
 
 
 def extract(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_bytes, media (the WAV file), data_at (where its samples begin), payload_bytes, tensors (binary; see
-    tensor_array), spans and segments (arrays of begin and end in seconds)."""
+    """Per row: key, n_bytes, media (the WAV file), data_at (where its samples begin), payload_bytes, tensors (an Arrow
+    stream of fixed-shape tensors and their spans; see stored_tensors), spans and segments (arrays of begin and end in seconds)."""
     span = T.ArrayType(T.StructType([T.StructField("begin", T.DoubleType()), T.StructField("end", T.DoubleType())]))
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), T.StructField("data_at", T.IntegerType()), T.StructField("payload_bytes", T.LongType()), T.StructField("tensors", T.BinaryType()), T.StructField("spans", span), T.StructField("segments", span)])
     arrow = to_arrow_schema(schema)
@@ -160,7 +179,7 @@ def extract(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                     tensors, spans, parts = features(media)
                     _, begin, end = from_wav(media)
                     as_dicts = lambda x: [{"begin": a, "end": b} for a, b in x]
-                    rows.append((doc, len((t or "").encode("utf-8")), media, begin, end - begin, tensors.tobytes(), as_dicts(spans), as_dicts(parts)))
+                    rows.append((doc, len((t or "").encode("utf-8")), media, begin, end - begin, as_stored(tensors, spans), as_dicts(spans), as_dicts(parts)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     return df.select(key, text).mapInArrow(run, schema)

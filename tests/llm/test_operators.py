@@ -6,6 +6,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -491,7 +492,42 @@ def test_audio_segments_and_tensors():
     assert audio.segments(x) == [(10, 24)]  # 0.15 is too low to begin, but not to go on
     tensors, spans, _ = audio.features(audio.to_wav(bytes(64)))
     assert tensors.shape == (1, audio.FRAMES, audio.MELS) and spans == [(0.0, 0.004)]
-    assert audio.tensor_array(tensors.tobytes()).type.shape == [audio.FRAMES, audio.MELS]
+
+
+def test_log_mel_is_its_definition():
+    x = np.random.default_rng(2).normal(size=730).astype(np.float32)
+    window = np.array([0.5 - 0.5 * math.cos(2 * math.pi * k / (audio.FRAME - 1)) for k in range(audio.FRAME)])
+    to_mel, to_hz = (lambda f: 2595 * math.log10(1 + f / 700)), (lambda m: 700 * (10 ** (m / 2595) - 1))
+    edges = [to_hz(to_mel(20.0) + k * (to_mel(audio.HZ / 2) - to_mel(20.0)) / (audio.MELS + 1)) for k in range(audio.MELS + 2)]
+    want = []
+    for at in range(0, 701, audio.HOP):
+        frame = np.zeros(audio.FRAME)
+        part = x[at : at + audio.FRAME]
+        frame[: len(part)] = part
+        row = []
+        power = [abs(sum(frame * window * np.exp(-2j * np.pi * k * np.arange(audio.FRAME) / audio.FFT))) ** 2 for k in range(audio.FFT // 2 + 1)]
+        for m in range(audio.MELS):
+            a, b, c = edges[m : m + 3]
+            hz = [k * audio.HZ / audio.FFT for k in range(audio.FFT // 2 + 1)]
+            energy = sum(p * max(0.0, min((f - a) / (b - a), (c - f) / (c - b))) for p, f in zip(power, hz, strict=True))
+            row.append(10 * math.log10(max(energy / audio.FRAME, 1e-8)))
+        want.append(row)
+    got = audio.log_mel(x)
+    assert np.allclose(got, np.array(want)[: len(got)], atol=1e-2) and len(got) >= len(x) // audio.HOP - 1
+
+
+def test_tensors_come_back_from_parquet(spark, docs, tmp_path):
+    import pyarrow.parquet as pq
+
+    audio.extract(docs).write.parquet(f"{tmp_path}/audio")
+    stored = pq.read_table(f"{tmp_path}/audio").to_pylist()
+    assert len(stored) == len(HARD)
+    for row in stored:
+        table = audio.stored_tensors(row["tensors"])
+        assert table.schema.field("tensor").type == pa.fixed_shape_tensor(pa.int16(), [audio.FRAMES, audio.MELS])
+        tensors, spans, _ = audio.features(row["media"])
+        assert np.array_equal(table.column("tensor").combine_chunks().to_numpy_ndarray(), tensors)
+        assert list(zip(table.column("begin").to_pylist(), table.column("end").to_pylist(), strict=True)) == spans
 
 
 # --- near-duplicates
