@@ -16,12 +16,17 @@ is a connected component of links.
    spanning forest of true links goes on, so rows never grow with the square of a group.
 4. The components of those links are the classes.
 
-Equal bags are one representative from the start (copies aren't compared with each other). Meetings and groups of more
-than BLOCK members are cut into blocks that are compared pair by pair of blocks, each pair a task row set of its own.
-
-Defined results: a doc_id names one document. Documents without a word (null, empty, blank) are classes of their own. Documents of one to four words
+Equal bags are one representative from the start (copies aren't compared with each other); names with very many copies are
+joined by a broadcast of at most HOTTEST rows. In a meeting or group of more than BLOCK members, all are first compared
+with its least member alone. Those near it are linked by that, and need no comparison with one another, as only
+components count; the others are cut into blocks, and block by block compared with all, each pair of blocks a task row
+set of its own. So a dense group costs in proportion to its members, however many there are.
+
+Defined results: a doc_id names one document; rows with one doc_id and different texts each get their own text's class, and
+the pairs that are compared take the least text's bag for the id. Documents without a word (null, empty, blank) are classes of their own. Documents of one to four words
 have one shingle, all their words. Repeated rows are copies. The class id is the least doc_id of the class. Rows whose
-doc_id is null take no part. Other columns than the two named are ignored. Texts are read whole.
+doc_id is null take no part; an empty table gives no row. Other columns than the two named are ignored, whatever their
+names. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -41,8 +46,10 @@ WORDS, THRESHOLD = 5, 0.8
 REGISTERS, BANDS, ROWS = 128, 24, 4
 #: Deviations below the threshold at which signatures still count as near.
 SIGMAS = 4.5
-#: Members of a meeting or group that are compared as one block.
-BLOCK = 4096
+#: Members of a meeting or group that are compared as one block; shares that the members of one key are dealt over.
+BLOCK, SALTS = 512, 16
+#: Names whose copies are joined by broadcast, at most: those of more than a HOTTEST-th of all rows.
+HOTTEST = 10_000
 
 _U = np.uint64
 
@@ -272,13 +279,37 @@ def _pairs_of(near: Callable[[pa.Table, np.ndarray], list[tuple[int, int]]], key
     return run
 
 
-def _blocked(members: DataFrame, key: list[str], count: str) -> DataFrame:
-    """Adds _block (a pair of blocks, as one number) and _side (0: the group, or a block with itself, is one block; 1, 2:
-    which block of the pair). Each member goes to every pair that its block is in."""
-    blocks = F.ceil(F.col(count) / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    pair = lambda other: F.struct((F.least(own, other) * blocks + F.greatest(own, other)).cast("long").alias("_block"), F.when(own == other, 0).when(own < other, 1).otherwise(2).cast("int").alias("_side"))
-    return members.select("*", F.inline(F.transform(F.sequence(F.lit(0), blocks - 1), pair)))
+def _starred(members: DataFrame, key: str, values: list[str], near: Callable[[list[pa.Array], list[pa.Array]], np.ndarray], name: str, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Members (key, n, rep, values) to rows for the comparison of blocks (key, _block, rep, _side, values), and links (a, b) of those
+    near their key's least member (None if no key has over BLOCK members; most: what the largest has). _side is 0 where a block meets itself, else 1 or 2: which block of the pair."""
+    rest = ["rep", *values]
+    cold = members.where(F.col("n") <= BLOCK).select(key, F.lit(0).cast("long").alias("_block"), "rep", F.lit(0).alias("_side"), *values)
+    if most <= BLOCK:
+        return cold, None
+    salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int").alias("salt")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    hot = written(members.where(F.col("n") > BLOCK).select(key, "n", *rest, salt), f"{name}-hot")
+    least = hot.groupBy(key).agg(F.min(F.struct(*rest)).alias("l")).select(key, *[F.col(f"l.{c}").alias(f"l_{c}") for c in rest], salts)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hot.schema) + ", lead long"
+
+    def flagged(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = hot_columns
+        for batch in found:
+            if batch.num_rows:
+                column = dict(zip(batch.schema.names, batch.columns, strict=True))
+                linked = near([column[c] for c in values], [column[f"l_{c}"] for c in values]) | (column["rep"].to_numpy() == column["l_rep"].to_numpy())
+                yield pa.RecordBatch.from_arrays([*(column[c] for c in own), pa.array(column["l_rep"].to_numpy(), mask=~linked)], names=[*own, "lead"])
+
+    hot_columns = hot.columns
+    star = written(hot.join(least, [key, "salt"]).select(*hot.columns, *[f"l_{c}" for c in rest]).mapInArrow(flagged, schema), f"{name}-star")
+    outside = star.groupBy(key).agg(F.count_if(F.col("lead").isNull()).alias("o")).where("o > 0").select(key, "o", salts)
+    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    out, all_ = blocks_of(F.col("o")), blocks_of(F.col("o")) + blocks_of(F.col("n") - F.col("o"))
+    own = F.when(F.col("lead").isNull(), F.pmod(F.xxhash64("rep"), out)).otherwise(out + F.pmod(F.xxhash64("rep"), F.greatest(all_ - out, F.lit(1)))).cast("int")
+    pair = lambda other: F.struct((F.least("own", other) * F.col("all") + F.greatest("own", other)).cast("long").alias("_block"), F.when(F.col("own") == other, 0).when(F.col("own") < other, 1).otherwise(2).alias("_side"))
+    numbered = star.join(outside, [key, "salt"]).withColumns({"own": own, "all": all_.cast("long"), "last": F.when(F.col("lead").isNull(), all_).otherwise(out) - 1})
+    met = numbered.select(key, *rest, F.inline(F.transform(F.sequence(F.lit(0), F.col("last")), pair))).select(key, "_block", "rep", "_side", *values)
+    return cold.unionByName(met), star.where("lead is not null and lead <> rep").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
 
 
 def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -286,48 +317,73 @@ def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(n, *keys).sortWithinPartitions(*keys, "rep")
 
 
+def _bag(shingles: pa.Array, counts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(shingles[k].as_py(), "<u8"), np.frombuffer(counts[k].as_py(), "<u4").astype(np.int64)
+
+
+def _represented(signed: DataFrame, names: DataFrame, total: int) -> DataFrame:
+    """Each row's doc_id and its name's representative; rows without a name represent themselves."""
+    rows = signed.select("doc_id", "name")
+    hot = names.where(F.col("n") > max(HOTTEST, total // HOTTEST)).select("name", F.col("rep").alias("hot"))  # fewer than HOTTEST names
+    found = rows.join(F.broadcast(hot), "name", "left")
+    alone = found.where("name is null or hot is not null").select("doc_id", F.coalesce("hot", "doc_id").alias("rep"))
+    return alone.unionByName(found.where("name is not null and hot is null").join(names, "name").select("doc_id", "rep"))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, class_id, one row for each row of docs that has a doc_id."""
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(docs.mapInArrow(_signed(REGISTERS), "doc_id long, name binary, size long, sig binary"), "signatures")
     # Copies are one representative.
-    names = signed.where(F.col("name").isNotNull()).groupBy("name").agg(F.min("doc_id").alias("rep"))
-    membership = signed.select("doc_id", "name").join(names, "name", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    names = written(signed.where(F.col("name").isNotNull()).groupBy("name").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "names")
     chosen = signed.join(names.select(F.col("rep").alias("doc_id"), "name"), ["doc_id", "name"], "left_semi")
-    reps = written(chosen.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "size", "sig"), "representatives")
+    reps = written(chosen.groupBy(F.col("doc_id").alias("rep")).agg(F.min(F.struct("name", "size", "sig")).alias("x")).select("rep", "x.name", "x.size", "x.sig"), "representatives")
     width = 2 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.expr("sig").substr(k * width + 1, F.lit(width))))
     meetings = reps.select("rep", F.explode(bands).alias("band"))
-    counts = meetings.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = meetings.join(counts, "band").join(reps, "rep")
+    counts = written(meetings.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "meeting-sizes")
+    largest = lambda sizes: sizes.agg(F.max("n")).first()[0] or 0
+    met = meetings.join(counts, "band").join(reps, "rep").select("band", "n", "rep", "size", "sig")
     least = int(np.floor(REGISTERS * (threshold - SIGMAS * np.sqrt(threshold * (1 - threshold) / REGISTERS))))
+    signature = lambda column: np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+
+    def near_least_signature(own: list[pa.Array], other: list[pa.Array]) -> np.ndarray:
+        a, b = own[0].to_numpy(), other[0].to_numpy()
+        return (np.minimum(a, b) >= THRESHOLD * np.maximum(a, b) - 1e-9) & ((signature(own[1]) == signature(other[1])).sum(axis=1) >= least)
 
     def by_signature(group: pa.Table, sides: np.ndarray) -> list[tuple[int, int]]:
-        sigs = np.frombuffer(b"".join(group.column(5).to_pylist()), np.uint16).reshape(group.num_rows, -1)
-        return near_by_signature(sigs, group.column(4).to_numpy(), least, sides)
+        return near_by_signature(signature(group.column(5)), group.column(4).to_numpy(), least, sides)
 
-    rows = _dealt(_blocked(met, ["band"], "n").select("band", "_block", "rep", "_side", "size", "sig"), ["band", "_block"])
-    groups = components(rows.mapInArrow(_pairs_of(by_signature, 2, 2), "a long, b long"))
+    rows, links = _starred(met, "band", ["size", "sig"], near_least_signature, "meetings", largest(counts))
+    near = _dealt(rows, ["band", "_block"]).mapInArrow(_pairs_of(by_signature, 2, 2), "a long, b long")
+    groups = components(near.unionByName(links) if links else near)
     groups = written(groups.select(F.col("id").alias("rep"), F.col("root").alias("grp")), "groups")
 
     def sized(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             for lo in range(0, batch.num_rows, 400):
                 part = batch.slice(lo, 400)
-                shingles, counts_, ends, _ = bags(texts_of(part.column(3)))
+                shingles, counts_, ends, names_ = bags(texts_of(part.column(4)))
+                # Of the texts with one id, the representative's.
+                own = pa.array([a == b for a, b in zip(names_, part.column(3).to_pylist(), strict=True)])
                 cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], cut(shingles, "<u8"), cut(counts_, "<u4")], names=["rep", "grp", "n", "shingles", "counts"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], cut(shingles, "<u8"), cut(counts_, "<u4")], names=["rep", "grp", "n", "shingles", "counts"]).filter(own)
 
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    wanted = groups.join(sizes, "grp").select("rep", "grp", "n")
+    wanted = groups.join(sizes, "grp").join(reps.select("rep", "name"), "rep").select("rep", "grp", "n", "name")
     # One plan at all sizes: the members' number has no bound, so they are never broadcast.
-    texts = docs.withColumnRenamed("doc_id", "rep").join(wanted.hint("merge"), "rep").dropDuplicates(["rep"]).select("rep", "grp", "n", "text")
-    full = texts.mapInArrow(sized, "rep long, grp long, n long, shingles binary, counts binary")
+    texts = docs.withColumnRenamed("doc_id", "rep").join(wanted.hint("merge"), "rep").withColumn("h", F.xxhash64("text")).dropDuplicates(["rep", "h"]).select("rep", "grp", "n", "name", "text")
+    full = written(texts.mapInArrow(sized, "rep long, grp long, n long, shingles binary, counts binary"), "bags")
 
-    def by_bags(group: pa.Table, sides: np.ndarray) -> list[tuple[int, int]]:
-        all_bags = [(np.frombuffer(s, "<u8"), np.frombuffer(c, "<u4").astype(np.int64)) for s, c in zip(group.column(4).to_pylist(), group.column(5).to_pylist(), strict=True)]
-        return near_by_bags(all_bags, threshold, sides)
+    def near_least_bag(own: list[pa.Array], other: list[pa.Array]) -> np.ndarray:
+        return np.array([similarity(_bag(*own, k), _bag(*other, k)) >= threshold - 1e-12 for k in range(len(own[0]))], bool)
 
-    rows = _dealt(_blocked(full, ["grp"], "n").select("grp", "_block", "rep", "_side", "shingles", "counts"), ["grp", "_block"])
-    links = components(rows.mapInArrow(_pairs_of(by_bags, 2, 2), "a long, b long"))
-    return membership.join(links.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
+    def by_bags(group: pa.Table, sides: np.ndarray) -> list[tuple[int, int]]:
+        shingles, counts_ = group.column(4).combine_chunks(), group.column(5).combine_chunks()
+        return near_by_bags([_bag(shingles, counts_, k) for k in range(group.num_rows)], threshold, sides)
+
+    rows, links = _starred(full, "grp", ["shingles", "counts"], near_least_bag, "groups", largest(sizes))
+    pairs = _dealt(rows, ["grp", "_block"]).mapInArrow(_pairs_of(by_bags, 2, 2), "a long, b long")
+    roots = components(pairs.unionByName(links) if links else pairs).withColumnRenamed("id", "rep")
+    of_names = names.join(roots, "rep", "left").select("name", F.coalesce("root", "rep").alias("rep"), "n")
+    return _represented(signed, of_names, signed.count()).withColumnRenamed("rep", "class_id")

@@ -599,3 +599,28 @@ def test_blocks_lose_no_link(spark, monkeypatch):
         rows.append((n, " ".join(words)))
     got = {r.doc_id: r.class_id for r in bagminhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_classes(rows)
+
+
+def test_hot_groups_of_near_copies(spark, monkeypatch):
+    """Groups and meetings over BLOCK: near their least member, or not; components across blocks; copies of one name over the bound."""
+    monkeypatch.setattr(bagminhash, "BLOCK", 6)
+    monkeypatch.setattr(bagminhash, "HOTTEST", 4)
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for n in range(60):
+        words, drift = list(base), n // 10
+        for k in range(2 * drift):  # each ten drift from the ten before, so that the last are far from the first
+            words[k * 5 % 120] = f"d{k}"
+        words[int(rng.integers(0, 120))] = f"x{n}"
+        rows.append((n, " ".join(words)))
+    rows += [(100 + k, "the very same words in all of these") for k in range(30)] + [(200 + k, None) for k in range(20)]
+    got = {r.doc_id: r.class_id for r in bagminhash.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a), (5, a), (5, b), (7, b), (7, b), (9, a + " end")]
+    got = sorted((r.doc_id, r.class_id) for r in bagminhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [x for x in got if x[0] != 5] == [(1, 1), (7, 5), (7, 5), (9, 1)] and sorted(c for d, c in got if d == 5) == [1, 5]
