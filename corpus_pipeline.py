@@ -1,13 +1,27 @@
-"""A corpus pipeline: language ID, toxicity, near-duplicates, secrets, packing. Each stage gets what the one before kept."""
+"""A corpus pipeline: language ID, toxicity, near-duplicates, secrets, packing. Each stage gets what the one before kept.
+
+Defined results, for every stage: an empty table gives an empty table with the same columns; null text counts as empty; texts
+are taken whole, whatever their length; further columns stay as they are, whatever their names, but for the last stage,
+which returns places in sequences; repeated rows are treated alike. By stage:
+
+* language_id: null text, and text without a letter, has no language and goes.
+* toxicity: null and empty text isn't toxic and stays; a score of exactly 0.5 counts as toxic.
+* near_dedup: of a class of near-duplicates the row with the least doc_id stays; repeated rows are one. Different texts
+  with one doc_id are documents of their own. Rows without a doc_id stay.
+* secrets: no row goes; a text with secrets has marks in their place, and n_chars, if there, is the new text's.
+* packing: pieces of all rows; null and empty text is one token, the end.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumora.checkpoints import removed, scratch, shared_root
 from lumora.llm import bagminhash, langid, packing, secrets, toxicity
-from lumora.llm.common import written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,14 +37,15 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each class of near-duplicates. Documents without an id stay."""
-    found = bagminhash.classes(docs)
-    heads = found.where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    heads = bagminhash.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
+    # Rows meet by doc_id anyway; of equal ids, equal texts are one row and different ones stay.
+    kept = docs.join(heads, "doc_id", "left_semi").withColumn("_ours_text", F.sha2("text", 256)).dropDuplicates(["doc_id", "_ours_text"])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every span of a secret replaced by a mark; n_chars follows the text."""
-    ledger = written(secrets.scan(docs, secrets.empty_ledger(docs)), "blob-ledger")
+    ledger = secrets.commit(docs, secrets.empty_ledger(docs))
     found = secrets.findings(docs, ledger, name="_ours_spans")
     clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col("_ours_spans")))
     if "n_chars" in docs.columns:
@@ -57,7 +72,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages, one after another. A stage's own tables go once its result is written, and its input once it was read."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = f"{shared_root(spark)}/lumora/stage-{name}-{uuid.uuid4().hex}"
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if last:
+            removed(spark, [last])
+        last = path
     return docs

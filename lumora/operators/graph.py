@@ -14,6 +14,8 @@ from lumora.functions.vectors import hamming
 
 #: Rows that are compared with one another as one block.
 BLOCK = 4096
+#: Nodes whose minima are broadcast, at most.
+HUBS = 10_000
 
 
 def hamming_pairs(hashes: DataFrame, most: int, bits: int = 64) -> DataFrame:
@@ -96,22 +98,36 @@ def nearest_reference(faces: DataFrame, references: DataFrame, threshold: float)
     return faces.select("id", "vec").mapInArrow(run, "id long, ref_id long, score double")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """rows (u, v) with the minimum m of u, from least (u, m, n; n: rows of u). The minima of hubs are broadcast: those of more than
+    a HUBS-th of all rows, so fewer than HUBS of them; their rows stay where they are."""
+    if total <= HUBS:
+        return rows.join(least.select("u", "m"), "u")
+    most = max(HUBS, total // HUBS)
+    marked = rows.join(F.broadcast(least.where(F.col("n") > most).select("u", F.col("m").alias("hub"))), "u", "left")
+    small = marked.where("hub is null").select("u", "v").join(least.where(F.col("n") <= most).select("u", "m"), "u")
+    return marked.where("hub is not null").select("u", "v", F.col("hub").alias("m")).unionByName(small)
+
+
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """edges: a, b (any order, repeats allowed). Returns id, root (the component's least id) for every node with an edge.
 
-    Alternating large-star and small-star rounds: only minima by node are taken, which combine before the shuffle, so no
-    node's neighbours are ever gathered in one place.
+    Alternating large-star and small-star rounds: minima by node combine before the shuffle, and hubs' minima are broadcast, so
+    no node's neighbours are ever gathered in one place. Each round's table is the next one's start; there are about as many
+    rounds as the logarithm of the number of nodes. `rounds` limits them; what isn't settled then is an error.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    for _ in range(rounds):
+    total, state, done = now.count(), None, 0
+    while rounds is None or done < rounds:
+        done += 1
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _with_least(both, least, total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, low, total)
         now = written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
         was, state = state, tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        total = state[0]
         if was == state:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")
