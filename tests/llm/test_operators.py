@@ -367,8 +367,42 @@ def test_hmm_forward_and_counts_are_brute_force():
                     moves[z[i - 1], k] += w
     grid = hmm._grid(seqs, order)
     assert np.allclose(hmm.forward(m, *grid)[0], want)
-    a, b, c, logs = hmm.expected(m, *grid)
-    assert np.allclose(a, starts) and np.allclose(b, moves) and np.allclose(c, emits) and np.isclose(logs, sum(want))
+    for chunk in (1, 2, 3, 100):
+        a, b, c, logs = hmm.expected(m, *grid, chunk)
+        assert np.allclose(a, starts) and np.allclose(b, moves) and np.allclose(c, emits) and np.isclose(logs, sum(want))
+
+
+def test_hmm_score_is_the_models_likelihood(spark, monkeypatch):
+    """The end-to-end score against a plain recursion, with the model and counts that the run itself came to."""
+    seen = {}
+    scored = hmm._scored
+    monkeypatch.setattr(hmm, "_scored", lambda *x: seen.setdefault("args", x) and scored(*x))
+    monkeypatch.setattr(hmm, "TOP", 3)
+    monkeypatch.setattr(hmm, "BUCKETS", 2)
+    rows = [(k, t) for k, t in enumerate(["a b a c d e", "b b a", "", None, "zz a unknown", "e d c b a A", "a b"] * 6)]
+    out = {r.doc_id: r.score for r in hmm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    model, classes, tokens_of, words_of, total, distinct, ends = seen["args"]
+    counts = collections.Counter(w for k, t in rows if zlib.crc32(str(k).encode()) % 5 != 1 for w in hmm.tokens(t or ""))
+    for k, t in rows:
+        words = hmm.tokens(t or "")
+        a, log = None, 0.0
+        for n, c in enumerate(classes.of(words).tolist()):
+            a = [sum((model.start[s] if a is None else a[r] * model.move[r, s]) for r in range(len(model.start) if a is not None else 1)) * model.emit[s, c] for s in range(len(model.start))]
+            if len(classes.single) <= c != classes.end:
+                log += math.log10((counts[words[n]] + 0.5) / (tokens_of[c] + 0.5 * (words_of[c] + 1)))
+        assert out[k] == pytest.approx(math.log10(sum(a)) + log, abs=1e-9)
+
+
+def test_hmm_training_takes_more_of_a_larger_corpus(spark, corpus, monkeypatch):
+    """Every round's rows: a share of the blocks in the first ones, all in the last; no bound on either."""
+    monkeypatch.setattr(hmm, "BLOCK_BYTES", 5_000)
+    seen, train_round = [], hmm.train_round
+    monkeypatch.setattr(hmm, "train_round", lambda blocks, *x: seen.append(blocks.select(F.sum(F.size("ids"))).first()[0] or 0) or train_round(blocks, *x))
+    twice = corpus.select("doc_id", "text").union(corpus.select(F.col("doc_id") + 100_000, "text"))
+    for df in (corpus, twice):
+        hmm.score_documents(df)
+    n = len(seen) // 2
+    assert seen[n - 1] * 2 == seen[-1] == twice.count() and 1.5 * sum(seen[: n - 2]) < sum(seen[n:-2])
 
 
 def test_hmm_documents(spark, docs, corpus):
