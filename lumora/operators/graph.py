@@ -16,6 +16,8 @@ from lumora.functions.vectors import hamming
 BLOCK = 4096
 #: Nodes whose minima are broadcast, at most.
 HUBS = 10_000
+#: Rows of a node that any task takes.
+FEW = 256
 
 
 def hamming_pairs(hashes: DataFrame, most: int, bits: int = 64) -> DataFrame:
@@ -100,10 +102,10 @@ def nearest_reference(faces: DataFrame, references: DataFrame, threshold: float)
 
 def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """rows (u, v) with the minimum m of u, from least (u, m, n; n: rows of u). The minima of hubs are broadcast: those of more than
-    a HUBS-th of all rows, so fewer than HUBS of them; their rows stay where they are."""
-    if total <= HUBS:
+    a HUBS-th of all rows, so HUBS of them at most (twice that, as each edge gives two rows); their rows stay where they are."""
+    if total <= FEW:
         return rows.join(least.select("u", "m"), "u")
-    most = max(HUBS, total // HUBS)
+    most = max(FEW, total // HUBS)
     marked = rows.join(F.broadcast(least.where(F.col("n") > most).select("u", F.col("m").alias("hub"))), "u", "left")
     small = marked.where("hub is null").select("u", "v").join(least.where(F.col("n") <= most).select("u", "m"), "u")
     return marked.where("hub is not null").select("u", "v", F.col("hub").alias("m")).unionByName(small)
