@@ -368,7 +368,7 @@ def test_hmm_forward_and_counts_are_brute_force():
     grid = hmm._grid(seqs, order)
     assert np.allclose(hmm.forward(m, *grid)[0], want)
     for chunk in (1, 2, 3, 100):
-        a, b, c, logs = hmm.expected(m, *grid, chunk)
+        a, b, c, logs = hmm.expected(m, *grid, chunk, np.float64)
         assert np.allclose(a, starts) and np.allclose(b, moves) and np.allclose(c, emits) and np.isclose(logs, sum(want))
 
 
