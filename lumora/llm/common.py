@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumora.checkpoints import written
 
-__all__ = ["Interner", "bounded", "gather", "remainder", "texts_of", "written"]
+__all__ = ["Interner", "bounded", "gather", "remainder", "texts_of", "trained", "written"]
 
 
 def remainder(doc_id: str = "doc_id", mod: int = 5) -> Column:
@@ -22,9 +25,9 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def bounded(sample: DataFrame, most: int) -> pa.Table:
-    """The rows of a sample (doc_id, text and others; a bounded number of rows, one a doc_id) on the driver, by doc_id: in the order
-    of a hash of the id, those whose texts stay within `most` bytes in all."""
+def bounded(sample: DataFrame, most: int) -> DataFrame:
+    """Of a sample (doc_id, text and others; a bounded number of rows, one a doc_id), in the order of a hash of the id, the rows whose
+    texts stay within `most` bytes in all."""
     sizes = sample.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64("doc_id").alias("h")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
     total, out = 0, []
     for key, n in zip(sizes.column("doc_id").to_pylist(), sizes.column("n").to_pylist(), strict=True):
@@ -32,8 +35,19 @@ def bounded(sample: DataFrame, most: int) -> pa.Table:
             out.append(key)
         else:
             total += n
-    kept = sample.where(~F.col("doc_id").isin(out)) if out else sample
-    return kept.toArrow().sort_by([("doc_id", "ascending")])
+    return sample.where(~F.col("doc_id").isin(out)) if out else sample
+
+
+def trained(sample: DataFrame, given: str, fit: Callable[[list[str], list], object]) -> object:
+    """fit(texts, given column) on a bounded sample, by doc_id, in one task: the driver gets the model, not the texts."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(found)
+        rows = pa.Table.from_batches(batches).sort_by([("doc_id", "ascending")]) if batches else None
+        texts, values = (rows.column(c).to_pylist() if rows else [] for c in ("text", given))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, values))], pa.binary())], names=["model"])
+
+    return pickle.loads(sample.select("doc_id", "text", given).coalesce(1).mapInArrow(run, "model binary").first()[0])
 
 
 class Interner:

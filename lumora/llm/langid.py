@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumora.llm.common import bounded, remainder, written
+from lumora.llm.common import bounded, remainder, trained, written
 
 #: Rows of the embedding table, and its width.
 BUCKETS, WIDTH = 1 << 16, 16
@@ -165,8 +165,7 @@ def sample_of(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
 
 
 def train(docs: DataFrame, size: int = SAMPLE) -> Model:
-    got = bounded(written(sample_of(docs, size), "langid-sample"), SAMPLE_BYTES)
-    return fit(got.column("text").to_pylist(), got.column("lang").to_pylist())
+    return trained(bounded(written(sample_of(docs, size), "langid-sample"), SAMPLE_BYTES), "lang", fit)
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:

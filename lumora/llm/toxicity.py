@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumora.llm.common import bounded, remainder, texts_of, written
+from lumora.llm.common import bounded, remainder, texts_of, trained, written
 
 #: Labelled rows of either class that are learnt from, at most, and their bytes of text in all.
 SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
@@ -289,8 +289,9 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
         return Model()
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for c in (0, 1)]
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
-    got = bounded(written(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-sample"), SAMPLE_BYTES)
-    return fit(got.column("text").to_pylist(), got.column("toxic").to_pylist(), min(0.99, max(0.01, share)))
+    sample = bounded(written(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-sample"), SAMPLE_BYTES)
+    prior = min(0.99, max(0.01, share))
+    return trained(sample, "toxic", lambda texts, toxic: fit(texts, toxic, prior))
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
