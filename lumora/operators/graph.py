@@ -17,7 +17,7 @@ BLOCK = 4096
 #: Nodes whose minima are broadcast, at most.
 HUBS = 10_000
 #: Rows of a node that any task takes.
-FEW = 256
+FEW = 10_000
 
 
 def hamming_pairs(hashes: DataFrame, most: int, bits: int = 64) -> DataFrame:
