@@ -37,8 +37,8 @@ from lumora.llm.common import texts_of, written
 
 #: Tokens in a sequence, and the id that ends a document.
 SIZE, END = 2048, 0
-#: Words in either generation of a worker's memory, and the longest word (bytes) that it remembers: some 50 MB in all.
-REMEMBERED, LONGEST = 60_000, 64
+#: Words, and parts of words, in either generation of a worker's memory, and the longest (bytes) that it remembers: some 150 MB in all.
+REMEMBERED, PARTS, LONGEST = 250_000, 150_000, 64
 #: Least pieces in a shard on average, and most shards of one length.
 SHARD, SHARDS = 128, 2000
 
@@ -90,7 +90,7 @@ class Tokenizer(dict):
                 found = [t.id for t in self.merge(part.encode("utf-8").decode("latin-1").translate(self.chars))]
                 ids = struct.pack(f"<{len(found)}I", *found)
             if len(part) <= LONGEST:
-                if len(self.parts) >= REMEMBERED:
+                if len(self.parts) >= PARTS:
                     self.old_parts, self.parts = self.parts, {}
                 self.parts[part] = ids
         return ids

@@ -458,6 +458,7 @@ def test_packing_remembers_a_bounded_number_of_words(monkeypatch):
     texts = [" ".join(f"w{k % 7} x{k * j}" for k in range(200)) + " " + "y" * 500 for j in range(9)]
     want = [packing.Tokenizer(path).ids(t) for t in texts]
     monkeypatch.setattr(packing, "REMEMBERED", 50)
+    monkeypatch.setattr(packing, "PARTS", 50)
     small = packing.Tokenizer(path)
     assert [small.ids(t) for t in texts] == want
     assert max(map(len, (small, small.old, small.parts, small.old_parts))) <= 50 and all(len(w) <= packing.LONGEST for w in small)
