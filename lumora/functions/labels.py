@@ -6,22 +6,88 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Display labels by class name. Two classes share one label.
-DISPLAY = """
-person=người; bicycle=xe đạp; car=ô tô; motorcycle=xe máy; airplane=máy bay; bus=xe buýt; train=tàu hỏa; truck=xe tải;
-boat=thuyền; traffic light=đèn giao thông; fire hydrant=trụ cứu hỏa; stop sign=biển báo dừng;
-parking meter=đồng hồ đỗ xe; bench=ghế dài; bird=chim; cat=mèo; dog=chó; horse=ngựa; sheep=cừu; cow=bò; elephant=voi;
-bear=gấu; zebra=ngựa vằn; giraffe=hươu cao cổ; backpack=ba lô; umbrella=ô; handbag=túi xách; tie=cà vạt; suitcase=vali;
-frisbee=đĩa bay; skis=ván trượt tuyết; snowboard=ván trượt tuyết; sports ball=bóng thể thao; kite=diều;
-baseball bat=gậy bóng chày; baseball glove=găng tay bóng chày; skateboard=ván trượt; surfboard=ván lướt sóng;
-tennis racket=vợt tennis; bottle=chai; wine glass=ly rượu; cup=cốc; fork=nĩa; knife=dao; spoon=thìa; bowl=bát;
-banana=chuối; apple=táo; sandwich=bánh mì kẹp; orange=cam; broccoli=bông cải xanh; carrot=cà rốt; hot dog=hot dog;
-pizza=pizza; donut=bánh donut; cake=bánh ngọt; chair=ghế; couch=ghế sofa; potted plant=cây trồng trong chậu; bed=giường;
-dining table=bàn ăn; toilet=bồn cầu; tv=tivi; laptop=máy tính xách tay; mouse=chuột máy tính; remote=điều khiển từ xa;
-keyboard=bàn phím; cell phone=điện thoại di động; microwave=lò vi sóng; oven=lò nướng; toaster=máy nướng bánh mì;
-sink=bồn rửa; refrigerator=tủ lạnh; book=sách; clock=đồng hồ; vase=bình hoa; scissors=kéo; teddy bear=gấu bông;
-hair drier=máy sấy tóc; toothbrush=bàn chải đánh răng
-"""
-LABELS: dict[str, str] = dict(x.strip().split("=") for x in DISPLAY.replace("\n", " ").split(";"))
+LABELS: dict[str, str] = {
+    "person": "người",
+    "bicycle": "xe đạp",
+    "car": "ô tô",
+    "motorcycle": "xe máy",
+    "airplane": "máy bay",
+    "bus": "xe buýt",
+    "train": "tàu hỏa",
+    "truck": "xe tải",
+    "boat": "thuyền",
+    "traffic light": "đèn giao thông",
+    "fire hydrant": "trụ cứu hỏa",
+    "stop sign": "biển báo dừng",
+    "parking meter": "đồng hồ đỗ xe",
+    "bench": "ghế dài",
+    "bird": "chim",
+    "cat": "mèo",
+    "dog": "chó",
+    "horse": "ngựa",
+    "sheep": "cừu",
+    "cow": "bò",
+    "elephant": "voi",
+    "bear": "gấu",
+    "zebra": "ngựa vằn",
+    "giraffe": "hươu cao cổ",
+    "backpack": "ba lô",
+    "umbrella": "ô",
+    "handbag": "túi xách",
+    "tie": "cà vạt",
+    "suitcase": "vali",
+    "frisbee": "đĩa bay",
+    "skis": "ván trượt tuyết",
+    "snowboard": "ván trượt tuyết",
+    "sports ball": "bóng thể thao",
+    "kite": "diều",
+    "baseball bat": "gậy bóng chày",
+    "baseball glove": "găng tay bóng chày",
+    "skateboard": "ván trượt",
+    "surfboard": "ván lướt sóng",
+    "tennis racket": "vợt tennis",
+    "bottle": "chai",
+    "wine glass": "ly rượu",
+    "cup": "cốc",
+    "fork": "nĩa",
+    "knife": "dao",
+    "spoon": "thìa",
+    "bowl": "bát",
+    "banana": "chuối",
+    "apple": "táo",
+    "sandwich": "bánh mì kẹp",
+    "orange": "cam",
+    "broccoli": "bông cải xanh",
+    "carrot": "cà rốt",
+    "hot dog": "hot dog",
+    "pizza": "pizza",
+    "donut": "bánh donut",
+    "cake": "bánh ngọt",
+    "chair": "ghế",
+    "couch": "ghế sofa",
+    "potted plant": "cây trồng trong chậu",
+    "bed": "giường",
+    "dining table": "bàn ăn",
+    "toilet": "bồn cầu",
+    "tv": "tivi",
+    "laptop": "máy tính xách tay",
+    "mouse": "chuột máy tính",
+    "remote": "điều khiển từ xa",
+    "keyboard": "bàn phím",
+    "cell phone": "điện thoại di động",
+    "microwave": "lò vi sóng",
+    "oven": "lò nướng",
+    "toaster": "máy nướng bánh mì",
+    "sink": "bồn rửa",
+    "refrigerator": "tủ lạnh",
+    "book": "sách",
+    "clock": "đồng hồ",
+    "vase": "bình hoa",
+    "scissors": "kéo",
+    "teddy bear": "gấu bông",
+    "hair drier": "máy sấy tóc",
+    "toothbrush": "bàn chải đánh răng",
+}
 
 
 def display_label(name: Column) -> Column:

@@ -178,10 +178,11 @@ def corners_to_box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 
 def iou_corners(a: Column, b: Column) -> Column:
-    """Overlap of struct<x1,y1,x2,y2> boxes; 0 where the union has no area."""
+    """Overlap of struct<x1,y1,x2,y2> boxes; a box whose corners are the wrong way round has no area; 0 where the union has none."""
+    side = lambda low, high: F.greatest(high - low, F.lit(0.0))
     w = F.greatest(F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]), F.lit(0.0))
     h = F.greatest(F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]), F.lit(0.0))
-    area = lambda r: (r["x2"] - r["x1"]) * (r["y2"] - r["y1"])
+    area = lambda r: side(r["x1"], r["x2"]) * side(r["y1"], r["y2"])
     union = area(a) + area(b) - w * h
     return F.when(union > 0, w * h / union).otherwise(F.lit(0.0))
 
@@ -196,3 +197,26 @@ def iou_boxes(a: Column, b: Column) -> Column:
 def inside(px: Column, py: Column, box: Column) -> Column:
     """A point in a box, all sides included."""
     return px.between(box["x"], box["x"] + box["w"]) & py.between(box["y"], box["y"] + box["h"])
+
+
+# --- frames, days, results
+
+
+def frame_seconds(frame: Column, fps: Column) -> Column:
+    """When a frame is shown."""
+    return frame.cast("double") / fps
+
+
+# The names of weekdays in the long date label, Sunday first.
+WEEKDAYS = ("Chủ Nhật", "Thứ Hai", "Thứ Ba", "Thứ Tư", "Thứ Năm", "Thứ Sáu", "Thứ Bảy")
+
+
+def long_date(at: Column) -> Column:
+    """<weekday>, ngày <dd> tháng <mm> năm <yyyy>."""
+    weekday = F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), F.dayofweek(at))
+    return F.concat(weekday, F.date_format(at, "', ngày 'dd' tháng 'MM' năm 'yyyy"))
+
+
+def as_json(row: Column) -> Column:
+    """A result struct as JSON; fields that are null are left out, at any depth."""
+    return F.to_json(row, {"ignoreNullFields": "true"})

@@ -67,3 +67,12 @@ def scored(df: DataFrame, query: list[float], vec: str = "vec", score: str = "sc
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.nan_to_num(out))], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def page(embedding: DataFrame, after: object = None, size: int = 256, source: str | None = None) -> tuple[DataFrame, object]:
+    """The next page of points by point_id, of one source if given, and the cursor for the one after (None at the end)."""
+    rows = embedding if source is None else embedding.where(F.col("source") == source)
+    rows = rows if after is None else rows.where(F.col("point_id") > F.lit(after))
+    found = rows.orderBy("point_id").limit(size)
+    ids = [r["point_id"] for r in found.select("point_id").collect()]  # `size` at most
+    return found, max(ids) if len(ids) == size else None

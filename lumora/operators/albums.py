@@ -9,10 +9,16 @@ from lumora.operators.media import visible
 
 
 def albums(album: DataFrame, members: DataFrame, media: DataFrame) -> DataFrame:
-    """Every album with its members (all of them, seen or not) and a cover: the member of the least id."""
-    known = members.join(media.select(F.col("id").alias("media_id"), "file_name"), "media_id", "left")
-    by_album = known.groupBy("album_id").agg(F.count(F.lit(1)).alias("_n"), F.min_by("file_name", F.when(F.col("file_name").isNotNull(), F.col("media_id"))).alias("cover"))
-    return album.join(by_album.withColumnRenamed("album_id", "id"), "id", "left").select("id", "title", F.coalesce("_n", F.lit(0)).alias("n_media"), "cover")
+    """Every album, newest first (where the table says when it was made), with its members (all of them, seen or not) and a cover:
+    the member of the least id. Where media have thumbnails, the cover's as well."""
+    thumbs = "thumbnail" in media.columns
+    cover = F.struct("file_name", *(["thumbnail"] if thumbs else []))
+    known = members.join(media.select(F.col("id").alias("media_id"), cover.alias("_cover")), "media_id", "left")
+    by_album = known.groupBy("album_id").agg(F.count(F.lit(1)).alias("_n"), F.min_by("_cover", F.when(F.col("_cover.file_name").isNotNull(), F.col("media_id"))).alias("_cover"))
+    found = album.join(by_album.withColumnRenamed("album_id", "id"), "id", "left")
+    found = found.orderBy(F.col("created_at").desc_nulls_last(), "id") if "created_at" in album.columns else found.orderBy("id")
+    more = [F.col("_cover.thumbnail").alias("cover_thumbnail")] if thumbs else []
+    return found.select("id", "title", F.coalesce("_n", F.lit(0)).alias("n_media"), F.col("_cover.file_name").alias("cover"), *more)
 
 
 def photos(members: DataFrame, media: DataFrame, album_id: object) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +28,13 @@ def suppressed(detections: DataFrame, threshold: float, key: str = "media_id", o
     return boxes.select(key, F.explode(F.aggregate("_rows", empty, keep)).alias("_d")).select(key, *[F.col(f"_d.{c}").alias(c) for c in fields])
 
 
-def leaders(faces: DataFrame, threshold: float = FACE_LEADER, rounds: int = 60) -> DataFrame:
+def leaders(faces: DataFrame, threshold: float = FACE_LEADER, rounds: int = 8) -> DataFrame:
     """Online leader clustering in the order of id: a face joins the most similar earlier leader above the threshold (strictly), else
     it leads. Returns id, leader, score (null for leaders).
 
     That is the first maximal independent set of the similarity graph in the order of ids, found in rounds: a face leads once
-    all its earlier neighbours are known to follow, and follows once one of them leads.
+    all its earlier neighbours are known to follow, and follows once one of them leads. What `rounds` leave open, long chains
+    of faces that only hang on their neighbours, is settled component by component, in order.
     """
     edges = written(graph.cosine_pairs(faces.select("id", "vec"), faces.select("id", "vec"), threshold, strict=True), "face-edges")
     state = written(faces.select("id").distinct().withColumn("role", F.lit(None).cast("string")), "face-roles")
@@ -44,13 +46,34 @@ def leaders(faces: DataFrame, threshold: float = FACE_LEADER, rounds: int = 60)
         if not state.where(F.col("role").isNull()).limit(1).count():
             break
     else:
-        raise RuntimeError(f"roles did not settle in {rounds} rounds")
+        state = _settled(state, edges)
     led = edges.join(state.where(F.col("role") == "leads").select(F.col("id").alias("a")), "a", "left_semi")
     best = led.groupBy(F.col("b").alias("id")).agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("_l"), F.max("score").alias("_s"))
     follows = F.col("role") == "follows"
     return state.join(best, "id", "left").select("id", F.when(follows, F.col("_l")).otherwise(F.col("id")).alias("leader"), F.when(follows, F.col("_s")).alias("score"))
 
 
+def _settled(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """Roles of the faces that have none yet. Those near an earlier leader follow. The earlier neighbours of the others are open
+    too, or follow; so each component of the open ones is walked in the order of id, and only its edges are in memory."""
+    led = edges.join(state.where("role = 'leads'").select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct().withColumn("_led", F.lit("follows"))
+    state = written(state.join(led, "id", "left").select("id", F.coalesce("role", "_led").alias("role")), "face-roles")
+    open_ = state.where(F.col("role").isNull()).select("id")
+    among = edges.join(open_.withColumnRenamed("id", "a"), "a", "left_semi").join(open_.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
+    roots = graph.components(among)
+
+    def walk(rows: pa.Table) -> pa.Table:
+        follows: set[int] = set()
+        for a, b in sorted(zip(rows.column("a").to_pylist(), rows.column("b").to_pylist(), strict=True)):
+            if a not in follows:  # all of a's earlier neighbours were seen before it
+                follows.add(b)
+        ids = sorted({*rows.column("a").to_pylist(), *rows.column("b").to_pylist()})
+        return pa.table({"id": pa.array(ids, pa.int64()), "new": pa.array(["follows" if k in follows else "leads" for k in ids])})
+
+    found = among.join(roots.withColumnRenamed("id", "a"), "a").groupBy("root").applyInArrow(walk, "id long, new string")
+    return written(state.join(found, "id", "left").select("id", F.coalesce("role", "new", F.lit("leads")).alias("role")), "face-roles")
+
+
 def anchors(spark: SparkSession, width: int, height: int) -> DataFrame:
     """The face detector's grid for an input size: stride, row, col, x, y (in pixels)."""
     grids = spark.createDataFrame([(s, -(-height // s), -(-width // s)) for s in STRIDES], "stride int, rows int, cols int")

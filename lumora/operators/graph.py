@@ -75,29 +75,29 @@ def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float, strict: bo
 
 
 def nearest_reference(faces: DataFrame, references: DataFrame, threshold: float) -> DataFrame:
-    """Each row (id, vec) with its most similar reference (ref_id, vec), strictly above the threshold, or null. The references
-    are a collection of known people: they are sent to all executors once their number is known to be small, and in blocks
-    otherwise. Ties go to the lesser ref_id."""
-    if references.count() > 20_000:
-        raise ValueError("more than 20,000 references: join in blocks with cosine_pairs")
-    got = references.orderBy("ref_id").toArrow()
-    ids = got.column("ref_id").to_pylist()
-    refs = np.array(got.column("vec").to_pylist(), np.float64).reshape(len(ids), -1)
-    norms = np.sqrt(np.einsum("ij,ij->i", refs, refs))
-
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            vecs = batch.column(1)
-            best, score = [None] * batch.num_rows, [None] * batch.num_rows
-            if ids and batch.num_rows:
-                x = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vecs), -1)
-                s = (x @ refs.T) / (np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] * norms + 1e-8)
-                for k, at in enumerate(s.argmax(axis=1)):
+    """Each row (id, vec) with its most similar reference (ref_id, vec), strictly above the threshold, or null. Rows and references
+    meet in blocks of BLOCK, each block giving its best; so any number of references does. Ties go to the lesser ref_id."""
+    n_rows, n_refs = (max(1, -(-df.count() // BLOCK)) for df in (faces, references))
+    left = faces.select("id", "vec", F.pmod(F.xxhash64("id", "vec"), F.lit(n_rows)).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_refs - 1))))
+    right = references.select("ref_id", "vec", F.pmod(F.xxhash64("ref_id", "vec"), F.lit(n_refs)).alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
+
+    def best(l: pa.Table, r: pa.Table) -> pa.Table:  # noqa: E741
+        ids, found, score = l.column("id"), [None] * l.num_rows, [None] * l.num_rows
+        if l.num_rows and r.num_rows:
+            r = r.sort_by([("ref_id", "ascending")])
+            x, y = (t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1) for t in (l, r))
+            refs, ny = r.column("ref_id").to_pylist(), np.sqrt(np.einsum("ij,ij->i", y, y))
+            for lo in range(0, len(x), 512):
+                part = x[lo : lo + 512]
+                s = (part @ y.T) / (np.sqrt(np.einsum("ij,ij->i", part, part))[:, None] * ny + 1e-8)
+                for k, at in enumerate(s.argmax(axis=1).tolist()):
                     if s[k, at] > threshold:
-                        best[k], score[k] = ids[at], float(s[k, at])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.int64()), pa.array(score, pa.float64())], names=["id", "ref_id", "score"])
+                        found[lo + k], score[lo + k] = refs[at], float(s[k, at])
+        return pa.table({"id": ids, "ref_id": pa.array(found, pa.int64()), "score": pa.array(score, pa.float64())})
 
-    return faces.select("id", "vec").mapInArrow(run, "id long, ref_id long, score double")
+    each = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, "id long, ref_id long, score double")
+    hit = F.when(F.col("ref_id").isNotNull(), F.struct("score", (-F.col("ref_id")).alias("_less"), "ref_id"))
+    return each.where("id is not null").groupBy("id").agg(F.max(hit).alias("_b")).select("id", F.col("_b.ref_id").alias("ref_id"), F.col("_b.score").alias("score"))
 
 
 def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:

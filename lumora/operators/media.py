@@ -44,6 +44,12 @@ def nested(media: DataFrame, objects: DataFrame, faces: DataFrame) -> DataFrame:
     return rows.withColumns({"objects": empty("objects"), "faces": empty("faces")})
 
 
+def by_id(media: DataFrame, objects: DataFrame, faces: DataFrame, media_id: object) -> DataFrame:
+    """The nested row of one id; no row if there is none. The key reaches all three scans."""
+    own = lambda children: children.where(F.col("media_id") == media_id)
+    return nested(media.where(F.col("id") == media_id), own(objects), own(faces))
+
+
 def with_file(media: DataFrame) -> DataFrame:
     """The flat file and metadata columns that there are, as two structs."""
     own = lambda prefix: [F.col(c).alias(c.removeprefix(prefix)) for c in media.columns if c.startswith(prefix)]

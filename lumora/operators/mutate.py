@@ -75,7 +75,7 @@ def purged(media: DataFrame, now: Column, days: int = 30) -> DataFrame:
 
 def deleted(media: DataFrame, media_id: object, only_trashed: bool = True) -> DataFrame:
     """One row goes for good, if it is in the trash (or whether or not)."""
-    hit = F.col("id") == media_id
+    hit = F.col("id").eqNullSafe(media_id)
     return media.where(~(hit & F.col("deleted_at").isNotNull()) if only_trashed else ~hit)
 
 
@@ -108,7 +108,7 @@ def members_removed(members: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def album_deleted(album: DataFrame, members: DataFrame, album_id: object) -> tuple[DataFrame, DataFrame]:
-    return album.where(F.col("id") != album_id), members.where(F.col("album_id") != album_id)
+    return album.where(~F.col("id").eqNullSafe(album_id)), members.where(~F.col("album_id").eqNullSafe(album_id))
 
 
 def vectors_added(embedding: DataFrame, new: DataFrame, width: int | None = None) -> DataFrame:

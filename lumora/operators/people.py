@@ -8,27 +8,49 @@ from pyspark.sql import functions as F
 from lumora.operators.media import visible
 
 
+def candidates(faces: DataFrame) -> DataFrame:
+    """What a media's faces say of persons: face_id, conf, face_bbox."""
+    return faces.select("face_id", "conf", F.struct("x", "y", "w", "h").alias("face_bbox"))
+
+
 def people(faces: DataFrame, media: DataFrame, person: DataFrame) -> DataFrame:
-    """One row for each face id with a visible face: photos (distinct contents), cover, and the person's own values first.
+    """One row for each face id with a visible face, most photos first, then by face id: photos (distinct contents), cover, and the
+    person's own values first. Where the tables have them, also face_bbox (the person's, else the best face's) and thumbnail.
 
     The best face is that of the highest confidence; ties go to the lesser media id, then the lesser face number.
     """
     seen = faces.join(media.where(visible()).select(F.col("id").alias("media_id"), "content_key", "file_name"), "media_id")
     order = F.struct(F.coalesce("conf", F.lit(-1.0)), -F.col("media_id"), -F.col("face_no"))
+    boxed = {"x", "y", "w", "h"} <= set(faces.columns)
+    box = [F.struct("x", "y", "w", "h").alias("box")] if boxed else []
     by_face = seen.groupBy("face_id").agg(
         F.countDistinct("content_key").alias("photo_count"),
-        F.max_by(F.struct("file_name", "conf", "media_id"), order).alias("_best"),
+        F.max_by(F.struct("file_name", "conf", "media_id", *box), order).alias("_best"),
         F.min_by("file_name", F.struct("media_id", "face_no")).alias("first_file"),
     )
-    own = person.select("face_id", F.col("name").alias("_name"), F.col("conf").alias("_conf"))
-    return by_face.join(own, "face_id", "left").select(
+    further = [F.col(c).alias(f"_{c}") for c in ("face_bbox", "thumbnail") if c in person.columns]
+    own = person.select("face_id", F.col("name").alias("_name"), F.col("conf").alias("_conf"), *further)
+    added = []
+    if "face_bbox" in person.columns or boxed:
+        added.append(F.coalesce(*[F.col(c) for c, there in (("_face_bbox", "face_bbox" in person.columns), ("_best.box", boxed)) if there]).alias("face_bbox"))
+    if "thumbnail" in person.columns:
+        added.append(F.col("_thumbnail").alias("thumbnail"))
+    rows = by_face.join(own, "face_id", "left").select(
         "face_id",
         F.col("_name").alias("name"),
         "photo_count",
         F.coalesce("_conf", "_best.conf").alias("conf"),
         F.coalesce(F.col("_best.file_name"), F.col("first_file")).alias("cover"),
         F.col("_best.media_id").alias("best_media_id"),
+        *added,
     )
+    return rows.orderBy(F.desc("photo_count"), "face_id")
+
+
+def named_in_rows(rows: DataFrame, face_id: object, name: str) -> DataFrame:
+    """Nested media rows with the name of one identity set in their arrays of faces; other elements and fields stay."""
+    give = lambda f: F.when(f["face_id"].eqNullSafe(F.lit(face_id)), f.withField("name", F.lit(name))).otherwise(f)
+    return rows.withColumn("faces", F.transform("faces", give))
 
 
 def photos_of(faces: DataFrame, media: DataFrame, person: DataFrame) -> DataFrame:
@@ -65,8 +87,8 @@ def joined(person: DataFrame, faces: DataFrame, target: object, source: object)
     ids = person.where(F.col("face_id").isin(target, source))
     name = ids.agg(F.coalesce(F.max(F.when(F.col("face_id") == target, F.col("name"))), F.max(F.when(F.col("face_id") == source, F.col("name")))).alias("_n"))
     one = F.broadcast(name)
-    who = person.where(F.col("face_id") != source).crossJoin(one).withColumn("name", F.when((F.col("face_id") == target) & F.col("_n").isNotNull(), F.col("_n")).otherwise(F.col("name"))).drop("_n")
-    both = F.col("face_id").isin(target, source)
+    who = person.where(~F.col("face_id").eqNullSafe(source)).crossJoin(one).withColumn("name", F.when(F.col("face_id").eqNullSafe(target) & F.col("_n").isNotNull(), F.col("_n")).otherwise(F.col("name"))).drop("_n")
+    both = F.coalesce(F.col("face_id").isin(target, source), F.lit(False))
     moved = faces.crossJoin(one).withColumn("name", F.when(both, F.col("_n")).otherwise(F.col("name"))).withColumn("face_id", F.when(both, F.lit(target)).otherwise(F.col("face_id"))).drop("_n")
     return who, moved.select(*faces.columns)
 

@@ -50,6 +50,27 @@ def text_box(query: str, media_type: str | None = None) -> Column:
     return has("labels") | has("people") | contains_ignoring_case(F.col("path"), needle)
 
 
+def flat_filter(query: str, media_type: str | None = None) -> Column:
+    """The flat list's filter on rows with labels, objects, id. A media type tab takes its place."""
+    if media_type is not None or not query.strip():
+        return text_box("", media_type)
+    needle = F.lit(query)
+    has = lambda c: F.exists(c, lambda x: F.coalesce(contains_ignoring_case(x, needle), F.lit(False)))
+    return F.coalesce(has("labels"), F.lit(False)) | F.coalesce(has("objects"), F.lit(False)) | contains_ignoring_case(F.col("id").cast("string"), needle)
+
+
+def picker(query: str, name: str = "class_name") -> Column:
+    """The label picker's filter."""
+    return contains_ignoring_case(F.col(name), F.lit(query)) if query else F.lit(True)
+
+
+def among(groups: DataFrame, shown: DataFrame) -> DataFrame:
+    """Month groups with only those items (field id) that are among the rows shown; groups without one go."""
+    kept = flat(groups).join(shown.select("id").distinct(), "id", "left_semi")
+    fields = [f.name for f in groups.schema["items"].dataType.elementType]
+    return kept.groupBy("y", "m", "label").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(*fields))).alias("items")).orderBy(F.desc("y"), F.desc("m"))
+
+
 # What screenshots' paths and names hold.
 SCREENSHOT_PATHS = ("screenshot", "screen-capture", "screencast", "ảnh chụp màn hình", "screenshots")
 SCREENSHOT_START, SCREENSHOT_NAME = "scr_", "screen_shot"

@@ -161,7 +161,7 @@ def f04_hidden(t: Tables) -> DataFrame:
     return media.hidden(t.media).select("id", "created_at")
 
 
-_LISTED = "listed as (select m.*, '/library/' || file_name as path, coalesce((select list(distinct class_name) from media_objects o where o.media_id = m.id), []) as labels from seen m where id % 3 = 0)"
+_LISTED = "listed as (select m.*, '/library/' || file_name as path, coalesce((select list(distinct class_name) from media_objects o where o.media_id = m.id), []) as labels from seen m)"
 
 
 def _client(t: Tables) -> DataFrame:
@@ -226,7 +226,7 @@ def s09_nested_media(t: Tables) -> DataFrame:
     from n join best b on b.face_id = n.face_id and r = 1 left join person p on p.face_id = n.face_id""",
 )
 def a04_people(t: Tables) -> DataFrame:
-    return people.people(t.faces, t.media, t.person).withColumn("conf", F.round("conf", 6)).orderBy(F.desc("photo_count"), "face_id")
+    return people.people(t.faces, t.media, t.person).drop("face_bbox").withColumn("conf", F.round("conf", 6)).orderBy(F.desc("photo_count"), "face_id")
 
 
 @query("j24_person_photo_count", "select p.face_id, p.name, count(distinct f.media_id) as photos from person p left join (select f.* from media_faces f join seen m on m.id = f.media_id) f on f.face_id = p.face_id group by 1, 2")
@@ -313,10 +313,15 @@ def a11_cosine_groups(t: Tables) -> DataFrame:
 @query(
     "j19_duplicate_groups",
     f"""with recursive {_COSINE}, {_GROUPS},
+    bitlinks as (select a.id as a, b.id as b from hashes a join hashes b on a.id < b.id where bit_count(xor(a.hash, b.hash)) <= {BITS}),
+    bitedges as (select a, b from bitlinks union select b, a from bitlinks), bitreach as (select a as id, a as root from bitedges union select e.b, r.root from bitreach r join bitedges e on e.a = r.id),
     first as (select 'hash' as kind, content_key as group_id, id as media_id from seen where content_key in (select content_key from seen group by 1 having count(*) > 1)),
-    second as (select 'semantic' as kind, cast(root as varchar) as group_id, id as media_id from roots),
-    kept as (select group_id from second left join (select distinct media_id as m from first) f on f.m = media_id group by 1 having not bool_and(f.m is not null))
-    select * from first union all select * from second where group_id in (select group_id from kept)""",
+    second as (select 'phash' as kind, cast(min(root) as varchar) as group_id, id as media_id from bitreach group by id),
+    kept2 as (select group_id from second left join (select distinct media_id as m from first) f on f.m = media_id group by 1 having not bool_and(f.m is not null)),
+    two as (select * from first union all select * from second where group_id in (select group_id from kept2)),
+    third as (select 'semantic' as kind, cast(root as varchar) as group_id, id as media_id from roots),
+    kept3 as (select group_id from third left join (select distinct media_id as m from two) f on f.m = media_id group by 1 having not bool_and(f.m is not null))
+    select * from two union all select * from third where group_id in (select group_id from kept3)""",
 )
 def j19_duplicate_groups(t: Tables) -> DataFrame:
     return duplicates.staged([("hash", duplicates.exact(t.media)), ("phash", duplicates.near(t.hashes, BITS, 62)), ("semantic", duplicates.of_components(duplicates.by_vector(t.embedding, ALIKE)))])
@@ -649,39 +654,39 @@ def _rows(t: Tables) -> DataFrame:
     return media.nested(t.media, t.objects, t.faces)
 
 
-@query("f05_object_filter", "select id from media where id % 7 = 0 and exists (select 1 from media_objects o where o.media_id = media.id and contains(lower(class_name), 'rom'))")
+@query("f05_object_filter", "select id from media where exists (select 1 from media_objects o where o.media_id = media.id and contains(lower(class_name), 'rom'))")
 def f05_object_filter(t: Tables) -> DataFrame:
     return _rows(t).where(search.residual(search.Filters(object="ROM"))).select("id")
 
 
-@query("f06_face_filter", "select id from media where id % 7 = 0 and exists (select 1 from media_faces f where f.media_id = media.id and (contains(lower(name), '09') or lower(cast(face_id as varchar)) = '09'))")
+@query("f06_face_filter", "select id from media where exists (select 1 from media_faces f where f.media_id = media.id and (contains(lower(name), '09') or lower(cast(face_id as varchar)) = '09'))")
 def f06_face_filter(t: Tables) -> DataFrame:
     return _rows(t).where(search.residual(search.Filters(face="09"))).select("id")
 
 
-@query("f08_month_year", "select id, media_type from media where id % 7 = 0 and month(created_at) = 3 and year(created_at) = 1996 and media_type = 'image'")
+@query("f08_month_year", "select id, media_type from media where month(created_at) = 3 and year(created_at) = 1996 and media_type = 'image'")
 def f08_month_year(t: Tables) -> DataFrame:
     return _rows(t).where(search.residual(search.Filters(month=3, year=1996, media_type="photo"))).select("id", "media_type")
 
 
-@query("f30_nested_predicates", "select id, (select count(*) from media_faces f where f.media_id = m.id and name is not null) as named from media m where id % 7 = 0 and exists (select 1 from media_faces f where f.media_id = m.id) and exists (select 1 from media_objects o where o.media_id = m.id and class_name = 'SMALL')")
+@query("f30_nested_predicates", "select id, (select count(*) from media_faces f where f.media_id = m.id and name is not null) as named from media m where exists (select 1 from media_faces f where f.media_id = m.id) and exists (select 1 from media_objects o where o.media_id = m.id and class_name = 'SMALL')")
 def f30_nested_predicates(t: Tables) -> DataFrame:
     rows = _rows(t).where((F.size("faces") > 0) & F.array_contains(F.col("objects.class_name"), "SMALL"))
     return rows.select("id", F.size(media.names("faces")).cast("long").alias("named"))
 
 
-@query("p12_nested_paths", "select id, coalesce((select string_agg(distinct class_name, ',' order by class_name) from media_objects o where o.media_id = m.id), '') as labels from media m where id % 7 = 0")
+@query("p12_nested_paths", "select id, coalesce((select string_agg(distinct class_name, ',' order by class_name) from media_objects o where o.media_id = m.id), '') as labels from media m")
 def p12_nested_paths(t: Tables) -> DataFrame:
     return _rows(t).select("id", F.array_join(F.array_sort(F.array_distinct(F.col("objects.class_name"))), ",").alias("labels"))
 
 
-@query("p08_boxes", "select media_id, obj_no, x, y, (x + w) - x as w, (y + h) - y as h from media_objects where media_id % 7 = 0")
+@query("p08_boxes", "select media_id, obj_no, x, y, (x + w) - x as w, (y + h) - y as h from media_objects")
 def p08_boxes(t: Tables) -> DataFrame:
     box = scalar.corners_to_box(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h"))
     return t.objects.select("media_id", "obj_no", box.alias("b")).select("media_id", "obj_no", "b.x", "b.y", "b.w", "b.h")
 
 
-@query("p05_thumbnails", "select id, case when media_type = 'video' then '/thumbs/' || 'IMG_' || id || case when id % 2 = 0 then '.cache.jpg' else '.side.jpg' end end as thumbnail from media where id % 7 = 0")
+@query("p05_thumbnails", "select id, case when media_type = 'video' then '/thumbs/' || 'IMG_' || id || case when id % 2 = 0 then '.cache.jpg' else '.side.jpg' end end as thumbnail from media")
 def p05_thumbnails(t: Tables) -> DataFrame:
     some = t.media.withColumn("thumbnail", F.lit(None).cast("string"))
     listing = some.selectExpr("concat('IMG_', id) as stem", "case when id % 2 = 0 then concat('IMG_', id, '.cache.jpg') end as cached", "concat('IMG_', id, '.side.jpg') as sibling")
@@ -722,17 +727,79 @@ def k29_configured(t: Tables) -> DataFrame:
     return mutate.configured(config, "/photos", F.lit(NOW))
 
 
-@query("k04_flags", "select id, case when id in (3, 11) then not (id = 11) or id = 3 else processed end as processed from media where id < 60")
+@query("k04_flags", "select id, case when id in (3, 11) then not (id = 11) or id = 3 else processed end as processed from media")
 def k04_flags(t: Tables) -> DataFrame:
     return mutate.processed(mutate.processed(t.media, [3]), [11], False).select("id", "processed")
 
 
-@query("j22_similar_points", f"select a.point_id as i, b.point_id as j, round({similarity('a.vec', 'b.vec')}, 6) as score from embedding a join embedding b on a.point_id < b.point_id where a.point_id < 40 and b.point_id < 40 and {similarity('a.vec', 'b.vec')} >= 0.1")
+@query("j22_similar_points", f"select a.point_id as i, b.point_id as j, round({similarity('a.vec', 'b.vec')}, 6) as score from embedding a join embedding b on a.point_id < b.point_id where {similarity('a.vec', 'b.vec')} >= {ALIKE}")
 def j22_similar_points(t: Tables) -> DataFrame:
     left, right = (t.embedding.select(F.col("point_id").alias("id"), "vec") for _ in range(2))
-    return graph.cosine_pairs(left, right, 0.1).select(F.col("a").alias("i"), F.col("b").alias("j"), _score())
+    return graph.cosine_pairs(left, right, ALIKE).select(F.col("a").alias("i"), F.col("b").alias("j"), _score())
 
 
 @query("w08_thumbnail_frame", f"with {_SAMPLES} select media_id, arg_min(frame, scene * 10 + ord) as frame from samples group by 1")
 def w08_thumbnail_frame(t: Tables) -> DataFrame:
     return video.thumbnail(video.samples(video.scenes(t.cuts)))
+
+
+# --- look-ups, filters and forms of the client
+
+
+@query("s10_by_id", "select id, (select count(*) from media_objects o where o.media_id = m.id) as n_objects, (select count(*) from media_faces f where f.media_id = m.id) as n_faces from media m where id = 7")
+def s10_by_id(t: Tables) -> DataFrame:
+    return media.by_id(t.media, t.objects, t.faces, 7).select("id", F.size("objects").cast("long").alias("n_objects"), F.size("faces").cast("long").alias("n_faces"))
+
+
+@query("l18_second_page", "select point_id, media_id from embedding where source = 'image' order by point_id limit 16 offset 16")
+def l18_second_page(t: Tables) -> DataFrame:
+    _, cursor = vectors.page(t.embedding, size=16, source="image")
+    return vectors.page(t.embedding, cursor, 16, "image")[0].select("point_id", "media_id")
+
+
+@query("f19_flat_filter", f"with {_LISTED} select id from listed where len(list_filter(labels, lambda l: contains(lower(l), '1'))) > 0 or contains(cast(id as varchar), '1')")
+def f19_flat_filter(t: Tables) -> DataFrame:
+    return _client(t).withColumn("objects", F.col("labels")).where(timeline.flat_filter("1")).select("id")
+
+
+@query("f22_picker", "select distinct class_name from media_objects where media_id in (select id from seen) and contains(lower(class_name), 'bru')")
+def f22_picker(t: Tables) -> DataFrame:
+    return albums.distinct_labels(t.media, t.objects).where(timeline.picker("Bru"))
+
+
+@query("j25_groups_among", "with i as (select * from seen where processed order by created_at desc nulls last, id limit 5000) select year(created_at)::int as y, month(created_at)::int as m, count(*) as n from i where id in (select id from seen where favorite) group by 1, 2")
+def j25_groups_among(t: Tables) -> DataFrame:
+    return timeline.among(timeline.months(timeline.items(t.media), ["id"]), t.media.where(media.visible() & F.col("favorite"))).select("y", "m", "n")
+
+
+@query("d05_frame_seconds", "select media_id, frame_idx, frame_idx / 25.0::double as seconds from embedding")
+def d05_frame_seconds(t: Tables) -> DataFrame:
+    return t.embedding.select("media_id", "frame_idx", scalar.frame_seconds(F.col("frame_idx"), F.lit(25.0)).alias("seconds"))
+
+
+@query("d06_long_date", "select id, (['Chủ Nhật', 'Thứ Hai', 'Thứ Ba', 'Thứ Tư', 'Thứ Năm', 'Thứ Sáu', 'Thứ Bảy'])[dayofweek(created_at) + 1] || strftime(created_at, ', ngày %d tháng %m năm %Y') as label from media")
+def d06_long_date(t: Tables) -> DataFrame:
+    return t.media.select("id", scalar.long_date(F.col("created_at")).alias("label"))
+
+
+@query("q02_json", "select face_id, '{' || '\"face_id\":' || face_id || case when name is null then '' else ',\"name\":\"' || name || '\"' end || '}' as json from person")
+def q02_json(t: Tables) -> DataFrame:
+    return t.person.select("face_id", scalar.as_json(F.struct("face_id", "name")).alias("json"))
+
+
+@query("p09_candidates", "select face_id, conf, face_no::double as x, face_no::double + 1 as y, 2.0::double as w, 3.0::double as h from media_faces")
+def p09_candidates(t: Tables) -> DataFrame:
+    boxed = t.faces.withColumns({"x": F.col("face_no").cast("double"), "y": F.col("face_no").cast("double") + 1, "w": F.lit(2.0), "h": F.lit(3.0)})
+    return people.candidates(boxed).select("face_id", "conf", "face_bbox.x", "face_bbox.y", "face_bbox.w", "face_bbox.h")
+
+
+@query("y05_named_in_rows", "select m.id, coalesce((select string_agg(case when cast(face_id as varchar) = '3' then 'Alice' else name end, ',' order by face_no, cast(face_id as varchar)) from media_faces f where f.media_id = m.id), '') as names from media m")
+def y05_named_in_rows(t: Tables) -> DataFrame:
+    rows = people.named_in_rows(media.nested(t.media, t.objects, t.faces), "3", "Alice")
+    return rows.select("id", F.array_join(media.names("faces"), ",").alias("names"))
+
+
+@query("n07_iou_corners", "with b as (select p_partkey as id, p_size::double as x1, (p_size % 7)::double as y1, (p_size * 3 % 41)::double as x2, 9.0::double as y2 from part), o as (select id, greatest(least(x2, 20) - greatest(x1, 2), 0) * greatest(least(y2, 12) - greatest(y1, 1), 0) as i, greatest(x2 - x1, 0) * greatest(y2 - y1, 0) + 198 as a from b) select id, round(case when a - i > 0 then i / (a - i) else 0 end, 6) as iou from o")
+def n07_iou_corners(t: Tables) -> DataFrame:
+    box = t.read("part").selectExpr("p_partkey as id", "named_struct('x1', cast(p_size as double), 'y1', cast(p_size % 7 as double), 'x2', cast(p_size * 3 % 41 as double), 'y2', cast(9 as double)) as a", "named_struct('x1', 2d, 'y1', 1d, 'x2', 20d, 'y2', 12d) as b")
+    return box.select("id", F.round(scalar.iou_corners(F.col("a"), F.col("b")), 6).alias("iou"))

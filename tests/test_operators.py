@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumora.operators import detect, duplicates, graph, ingest, mutate, people, search, timeline, video
+from lumora.operators import albums, detect, duplicates, graph, ingest, mutate, people, search, timeline, video
 from lumora.streaming import watch
 
 
@@ -181,3 +181,61 @@ def test_bursts(spark):
 
 def test_anchors(spark):
     assert detect.anchors(spark, 160, 120).groupBy("stride").count().orderBy("stride").collect()[0]["count"] == 300
+
+
+def _plain_leaders(vecs, threshold):
+    leads, out = [], {}
+    for k, v in enumerate(vecs):
+        best = max(((float(v @ vecs[a]) / (np.linalg.norm(v) * np.linalg.norm(vecs[a]) + 1e-8), -a) for a in leads), default=(-2, 0))
+        if best[0] > threshold:
+            out[k] = -best[1]
+        else:
+            leads.append(k)
+            out[k] = k
+    return out
+
+
+def test_leaders_of_a_chain(spark):
+    """Each face is like its neighbours only: what the rounds leave open is settled in order."""
+    vecs = np.zeros((140, 141))
+    for k in range(140):
+        vecs[k, k], vecs[k, k + 1] = 1, 1
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vecs)], "id long, vec array<double>")
+    got = {r.id: r.leader for r in detect.leaders(df, 0.33, rounds=3).collect()}
+    assert got == _plain_leaders(vecs, 0.33)
+
+
+def test_nearest_of_many_references(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 40)
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(100, 4)), rng.normal(size=(130, 4))
+    y[77] = y[12]
+    faces, refs = (spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], f"{name} long, vec array<double>") for m, name in ((x, "id"), (y, "ref_id")))
+    s = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1) + 1e-8)
+    want = {k: (int(s[k].argmax()) if s[k].max() > 0.9 else None) for k in range(100)}
+    assert {r.id: r.ref_id for r in graph.nearest_reference(faces, refs, 0.9).collect()} == want
+    assert {r.ref_id for r in graph.nearest_reference(faces, refs.limit(0), 0.9).collect()} == {None}
+
+
+def test_null_keys_stay(spark):
+    person = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "face_id long, name string")
+    faces = spark.createDataFrame([(1, "a"), (None, "z")], "face_id long, name string")
+    who, moved = people.joined(person, faces, 1, 2)
+    assert sorted((r.face_id or 0, r.name) for r in who.collect()) == [(0, "c"), (1, "a")] and (None, "z") in [tuple(r) for r in moved.collect()]
+    album = spark.createDataFrame([(1, "a"), (None, "b")], "id long, title string")
+    members = spark.createDataFrame([(1, 5), (None, 6)], "album_id long, media_id long")
+    left = mutate.album_deleted(album, members, 1)
+    assert [x.count() for x in left] == [1, 1]
+    media_ = spark.createDataFrame([(1, None), (None, None)], "id long, deleted_at string")
+    assert mutate.deleted(media_, 1, only_trashed=False).count() == 1
+
+
+def test_album_and_people_columns(spark):
+    album = spark.createDataFrame([(1, "old", "2020"), (2, "new", "2021")], "id long, title string, created_at string")
+    members = spark.createDataFrame([(1, 5)], "album_id long, media_id long")
+    m = spark.createDataFrame([(5, "f.jpg", "t.jpg", "k", None, False)], "id long, file_name string, thumbnail string, content_key string, deleted_at string, is_hidden boolean")
+    assert [tuple(r) for r in albums.albums(album, members, m).collect()] == [(2, "new", 0, None, None), (1, "old", 1, "f.jpg", "t.jpg")]
+    faces = spark.createDataFrame([(5, 1, 9, 0.5, 1.0, 2.0, 3.0, 4.0)], "media_id long, face_no int, face_id long, conf double, x double, y double, w double, h double")
+    person = spark.createDataFrame([(9, "n", 0.7, "p.jpg")], "face_id long, name string, conf double, thumbnail string")
+    r = people.people(faces, m, person).first()
+    assert (r.thumbnail, r.face_bbox.w, r.conf) == ("p.jpg", 3.0, 0.7)
