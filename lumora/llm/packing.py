@@ -20,6 +20,7 @@ Other columns than doc_id and text are ignored, whatever their names.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import unicodedata
 import zlib
@@ -38,7 +39,7 @@ from lumora.llm.common import texts_of, written
 #: Tokens in a sequence, and the id that ends a document.
 SIZE, END = 2048, 0
 #: Words, and parts of words, in either generation of a worker's memory, and the longest (bytes) that it remembers: some 150 MB in all.
-REMEMBERED, PARTS, LONGEST = 250_000, 150_000, 64
+REMEMBERED, PARTS, LONGEST = 300_000, 200_000, 64
 #: Least pieces in a shard on average, and most shards of one length.
 SHARD, SHARDS = 128, 2000
 
@@ -72,6 +73,7 @@ class Tokenizer(dict):
         self.of = Load.from_file(path)
         steps = json.loads(self.of.to_str())
         self.special = [t["content"].lower() for t in steps["added_tokens"]]
+        self.first = re.compile("[" + re.escape("".join({t[0] for t in self.special})) + "]").search if self.special else lambda text: None
         # A special token with a blank in it would be torn by words: then texts take the whole tokeniser.
         self.by_words = not any(set(t) & set(" \t\n\r\v\f") for t in self.special)
         normal = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
@@ -84,15 +86,17 @@ class Tokenizer(dict):
         self.parts: dict[str, bytes] = {}
         self.old_parts: dict[str, bytes] = {}
 
+    def _merged(self, part: str) -> bytes:
+        found = self.merge(part if part.isascii() and part.isprintable() else part.encode("utf-8").decode("latin-1").translate(self.chars))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
     def _part(self, part: str) -> bytes:
-        if (ids := self.parts.get(part)) is None:
-            if (ids := self.old_parts.get(part)) is None:
-                found = [t.id for t in self.merge(part.encode("utf-8").decode("latin-1").translate(self.chars))]
-                ids = struct.pack(f"<{len(found)}I", *found)
-            if len(part) <= LONGEST:
-                if len(self.parts) >= PARTS:
-                    self.old_parts, self.parts = self.parts, {}
-                self.parts[part] = ids
+        if (ids := self.old_parts.get(part)) is None:
+            ids = self._merged(part)
+        if len(part) <= LONGEST:
+            if len(self.parts) >= PARTS:
+                self.old_parts, self.parts = self.parts, {}
+            self.parts[part] = ids
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
@@ -101,8 +105,13 @@ class Tokenizer(dict):
             low = text.lower()
             # Lower case depends on the place in a word for one letter only, capital sigma.
             plain = self.find and (text.isascii() or (unicodedata.is_normalized("NFC", text) and "\u03a3" not in text))
-            if plain and not any(t in low for t in self.special):
-                ids = b"".join(map(self._part, self.find(low)))
+            if plain and not (self.first(low) and any(t in low for t in self.special)):
+                parts = self.find(low)
+                if len(parts) == 1 and parts[0] == low:
+                    # The word is its one part, and is remembered as such.
+                    ids = self._merged(low)
+                else:
+                    ids = b"".join([self.parts.get(part) or self._part(part) for part in parts])
             else:
                 found = self.of.encode(text, add_special_tokens=False).ids
                 ids = struct.pack(f"<{len(found)}I", *found)
