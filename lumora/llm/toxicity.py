@@ -163,16 +163,17 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 100) -> tuple[np.
     toxic = np.flatnonzero(speaks > 0)
     if not len(toxic):
         return np.full(n, prior), fires.mean(0)[None, :], np.full(v, -1)
+    # The start takes rows with two votes for toxic, or with one if that is nearer to the prior.
+    level = min((2, 1), key=lambda k: abs((toxic_votes >= k).mean() - prior))
     kind = np.full(v, -1)
-    kind[toxic] = _kinds(fires[:, toxic][toxic_votes >= 2])
+    kind[toxic] = _kinds(fires[:, toxic][toxic_votes >= level])
     names = [k for k in np.unique(kind[toxic]) if (kind == k).sum() >= 3]
     spoke = np.stack([fires[:, kind == k].sum(1) for k in names], axis=1) if names else fires[:, toxic].sum(1)[:, None]
-    # The start: rows with two votes for toxic are likely so, of the kinds that voted.
-    strong = np.where(toxic_votes >= 2, 0.9, np.where(toxic_votes == 1, 0.05, 0.0))[:, None]
+    strong = np.where(toxic_votes >= level, 0.9, np.where(toxic_votes == 1, 0.05, 0.0))[:, None]
     spoke = spoke + 1e-3
     kinds = strong * spoke / spoke.sum(1, keepdims=True)
     # Each kind is two classes, of rows with few votes and with many: a longer text gives all its voters more to find.
-    many = (toxic_votes > np.median(toxic_votes[toxic_votes >= 2]) if (toxic_votes >= 2).any() else toxic_votes > 2)[:, None]
+    many = (toxic_votes > np.median(toxic_votes[toxic_votes >= level]) if (toxic_votes >= level).any() else toxic_votes > level)[:, None]
     rows = np.concatenate([1 - strong, np.where(many, 0, kinds), np.where(many, kinds, 0)], axis=1)
     base, parent = fires.mean(0), np.full(v, -1)
     for step in range(rounds):
