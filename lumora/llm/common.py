@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumora.checkpoints import written
 
-__all__ = ["Interner", "bounded", "gather", "remainder", "texts_of", "trained", "written"]
+__all__ = ["Interner", "bounded", "gather", "parts", "remainder", "texts_of", "trained", "written"]
 
 
 def remainder(doc_id: str = "doc_id", mod: int = 5) -> Column:
@@ -25,6 +26,21 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def parts(found: Iterator[pa.RecordBatch], text: str, rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has `rows` rows at most and closes once its texts (strings or bytes) fill `size` bytes."""
+    for batch in found:
+        if not batch.num_rows:
+            continue
+        column = batch.column(batch.schema.get_field_index(text))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            full = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size)) + 1
+            hi = min(batch.num_rows, lo + rows, max(lo + 1, full))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def bounded(sample: DataFrame, most: int) -> DataFrame:
     """Of a sample (doc_id, text and others; a bounded number of rows, one a doc_id), in the order of a hash of the id, the rows whose
     texts stay within `most` bytes in all."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import ann, audio, bagminhash, bpe, chat, hmm, langid, packing, secrets, toxicity
+from lumora.llm import ann, audio, bagminhash, bpe, chat, hmm, langid, packing, periodic, secrets, toxicity
 from lumora.llm.common import remainder
 
 
@@ -73,6 +73,10 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(_read(spark, sf_dir, "documents"))
 
 
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.runs(periodic.with_planted(_read(spark, sf_dir, "documents"))))
+
+
 def _chat_sql() -> str:
     """The same digests from the rows themselves; formatted_chars from the lengths of escaped turns and marks."""
     text = "coalesce(text, '')"
@@ -118,5 +122,5 @@ def _secrets_sql() -> str:
     """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_bpe, op3_secrets, op4_toxicity, op5_ann, op6_hmm, op7_langid, op8_packing, op9_audio, op10_bagminhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_bpe, op3_secrets, op4_toxicity, op5_ann, op6_hmm, op7_langid, op8_packing, op9_audio, op10_bagminhash, op12_periodic)}
 ORACLES: dict[str, str] = {"op1_chat": _chat_sql(), "op3_secrets": _secrets_sql()}
