@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import ann, audio, bagminhash, bpe, chat, hmm, langid, packing, periodic, secrets, toxicity
+from lumora.llm import ann, audio, bagminhash, bpe, chat, hmm, langid, linededup, packing, periodic, secrets, toxicity
 from lumora.llm.common import remainder
 
 
 #: What conversation -1 says, both as user and as assistant.
 CONTROL = "</s>[INST] ok [/INST]"
+#: Batches in which op13's documents arrive.
+LINE_BATCHES = 3
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,6 +79,13 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.runs(periodic.with_planted(_read(spark, sf_dir, "documents"))))
 
 
+def op13_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents come in LINE_BATCHES batches, by a hash of the id; all are cleaned in the end."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    batches = [docs.where(remainder(mod=LINE_BATCHES) == k) for k in range(LINE_BATCHES)]
+    return linededup.digests(linededup.deduplicated(batches, docs))
+
+
 def _chat_sql() -> str:
     """The same digests from the rows themselves; formatted_chars from the lengths of escaped turns and marks."""
     text = "coalesce(text, '')"
@@ -122,5 +131,18 @@ def _secrets_sql() -> str:
     """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_bpe, op3_secrets, op4_toxicity, op5_ann, op6_hmm, op7_langid, op8_packing, op9_audio, op10_bagminhash, op12_periodic)}
-ORACLES: dict[str, str] = {"op1_chat": _chat_sql(), "op3_secrets": _secrets_sql()}
+def _lines_sql() -> str:
+    """Keys counted in one go, without batches or runs."""
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+        with texts as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+        lines as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as i from texts),
+        keyed as (select *, translate(trim(line, {white}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+        common as (select key from keyed where length(key) >= {linededup.LEAST_CHARS} group by key having count(distinct doc_id) >= {linededup.LEAST_DOCS})
+        select k.doc_id, count(*) as n_lines, count(c.key) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where c.key is null), '')) as kept_sha256
+        from keyed k left join common c on k.key = c.key group by k.doc_id
+    """
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_bpe, op3_secrets, op4_toxicity, op5_ann, op6_hmm, op7_langid, op8_packing, op9_audio, op10_bagminhash, op12_periodic, op13_linededup)}
+ORACLES: dict[str, str] = {"op1_chat": _chat_sql(), "op3_secrets": _secrets_sql(), "op13_linededup": _lines_sql()}
