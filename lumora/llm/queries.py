@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import ann, audio, bagminhash, bpe, chat, hmm, langid, linededup, packing, periodic, secrets, toxicity
+from lumora.llm import ann, audio, bagminhash, bpe, chat, hmm, langid, linededup, packing, periodic, secrets, structure, toxicity
 from lumora.llm.common import remainder
 
 
@@ -75,6 +75,11 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(_read(spark, sf_dir, "documents"))
 
 
+def op11_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations")
+    return structure.with_all(structure.reports(structure.damaged(turns)), turns)
+
+
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.runs(periodic.with_planted(_read(spark, sf_dir, "documents"))))
 
@@ -144,5 +149,5 @@ def _lines_sql() -> str:
     """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_bpe, op3_secrets, op4_toxicity, op5_ann, op6_hmm, op7_langid, op8_packing, op9_audio, op10_bagminhash, op12_periodic, op13_linededup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_bpe, op3_secrets, op4_toxicity, op5_ann, op6_hmm, op7_langid, op8_packing, op9_audio, op10_bagminhash, op11_structure, op12_periodic, op13_linededup)}
 ORACLES: dict[str, str] = {"op1_chat": _chat_sql(), "op3_secrets": _secrets_sql(), "op13_linededup": _lines_sql()}
