@@ -149,5 +149,47 @@ def _lines_sql() -> str:
     """
 
 
+def _structure_sql() -> str:
+    """The same pass as a recursive query, a row of all conversations a turn, with the repaired text carried along."""
+    state = lambda cost, audit, out: f"{{'c': {cost}, 'a': {audit}, 'o': {out}}}"
+
+    def after(s: str, cost: str, edit: str, role: str | None = None, text: str = "''") -> str:
+        out = f"{s}.o" if role is None else f"{s}.o || case when {s}.o = '' then '' else chr(10) end || {role} || ':' || {text}"
+        return state(f"{s}.c + {cost}", f"{s}.a || '{edit}'", out)
+
+    never = "1000000000"
+    drop = lambda s: after(s, "3", "D")
+    rerole = lambda s, role: after(s, f"case when forced then {never} else 2 + cut end", "R", f"'{role}'", "text")
+    keep = lambda s, initial: after(s, f"case when forced or initial <> '{initial}' then {never} else cut end", "K", "role", "text")
+    insert = lambda s, role: after(s, "2", "I", f"'{role}'")
+    least = lambda *options: f"list_min([{', '.join(options)}])"
+    close = f"""n0 as s0, n1 as s1, {least("n2", insert("n0", "user"), insert("n1", "user"), insert("n3", "user"))} as s2,
+        {least("n3", insert("n2", "assistant"), *[insert(f"({insert(n, 'user')})", "assistant") for n in ("n0", "n1")])} as s3"""
+    from_any = lambda f, x: [f(s, x) for s in ("s0", "s1", "s3")]
+    walk = f"""{drop("s0")} as n0, {least(drop("s1"), keep("s0", "s"))} as n1,
+        {least(drop("s2"), *from_any(rerole, "user"), *from_any(keep, "u"))} as n2, {least(drop("s3"), rerole("s2", "assistant"), keep("s2", "a"))} as n3"""
+    white = r"\x20\x09-\x0D"
+    none = state(never, "''", "''")
+    return f"""
+        with recursive crc as (select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as tab),
+        keyed as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda x: ascii(x)::bigint) as bytes from conversations),
+        hit as (select *, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, b: xor(c // 256, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 as d from keyed, crc),
+        damaged as (select conv_id, turn, case when d = 4 then 'user' else role end as role, case when d = 1 then '' when d = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when d = 3 then 2 else 1 end)) as copy from hit where d <> 0),
+        placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from damaged),
+        marked as (select *, substr(role, 1, 1) as initial, not regexp_matches(text, '[^{white}]') as blank, row_number() over (partition by conv_id, role, text order by i) > 1 as again, regexp_extract(text, '([^{white}])[{white}]*$', 1) not in ('.', '!', '?') as open_end from placed),
+        turns as (select *, blank or again as forced, case when open_end and not blank and not again then 1 else 0 end as cut, lag(initial) over (partition by conv_id order by i) || initial as two from marked),
+        counts as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (where blank) as blank, count(*) filter (where again and not blank) as duplicate, sum(cut)::bigint as truncated, count(*) filter (where two not in ('su', 'ua', 'au')) as illegal from turns group by 1),
+        dp as (
+            select conv_id, 0::bigint as i, {close} from (select conv_id, {state("0", "''", "''")} as n0, {none} as n1, {none} as n2, {none} as n3 from counts)
+            union all
+            select conv_id, i, {close} from (select r.conv_id, r.i, {walk} from dp join turns r on r.conv_id is not distinct from dp.conv_id and r.i = dp.i + 1)
+        ),
+        ended as (select dp.conv_id, {least("s0", "s3")} as e from dp join counts on counts.conv_id is not distinct from dp.conv_id and counts.n = dp.i)
+        select a.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+            coalesce(e.c, 0)::bigint as cost, coalesce(e.a, '') as audit, sha256(coalesce(e.o, '')) as repaired_sha256
+        from (select distinct conv_id from conversations) a left join counts c on c.conv_id is not distinct from a.conv_id left join ended on ended.conv_id is not distinct from a.conv_id
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_bpe, op3_secrets, op4_toxicity, op5_ann, op6_hmm, op7_langid, op8_packing, op9_audio, op10_bagminhash, op11_structure, op12_periodic, op13_linededup)}
-ORACLES: dict[str, str] = {"op1_chat": _chat_sql(), "op3_secrets": _secrets_sql(), "op13_linededup": _lines_sql()}
+ORACLES: dict[str, str] = {"op1_chat": _chat_sql(), "op3_secrets": _secrets_sql(), "op11_structure": _structure_sql(), "op13_linededup": _lines_sql()}

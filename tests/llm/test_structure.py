@@ -7,10 +7,11 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
 from lumora.llm import structure
-from lumora.llm.queries import QUERIES
+from lumora.llm.queries import ORACLES, QUERIES
 from tests.llm.test_operators import HARD
 
 SOUND = re.compile(r"(s?(ua)+)?")
@@ -130,6 +131,9 @@ def test_query(spark, sf_dir):
     got = {r[0]: tuple(r[1:]) for r in QUERIES["op11_structure"](spark, sf_dir).collect()}
     held = by_conversation(damage(rows))
     assert got == {conv: brute(held.get(conv, [])) for conv in {r[0] for r in rows}}
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
+    assert {r[0]: tuple(r[1:]) for r in con.execute(ORACLES["op11_structure"]).fetchall()} == got
 
 
 def test_damage_of_hard_rows(spark):
