@@ -16,14 +16,13 @@ is a connected component of links.
    spanning forest of true links goes on, so rows never grow with the square of a group.
 4. The components of those links are the classes.
 
-Equal bags are one representative from the start (copies aren't compared with each other); names with very many copies are
-joined by a broadcast of at most HOTTEST rows. In a meeting or group of more than BLOCK members, all are first compared
+Texts of the same words are one node from the start (copies aren't compared with each other), whatever their doc_ids; bands, groups and
+nodes with very many rows are joined by a broadcast of at most HOTTEST keys. In a meeting or group of more than BLOCK members, all are first compared
 with its least member alone. Those near it are linked by that, and need no comparison with one another, as only
 components count; the others are cut into blocks, and block by block compared with all, each pair of blocks a task row
 set of its own. So a dense group costs in proportion to its members, however many there are.
 
-Defined results: a doc_id names one document; rows with one doc_id and different texts each get their own text's class, and
-the pairs that are compared take the least text's bag for the id. Documents without a word (null, empty, blank) are classes of their own. Documents of one to four words
+Defined results: rows with one doc_id and different texts are documents of their own, each with its own text's class. Documents without a word (null, empty, blank) are classes of their own. Documents of one to four words
 have one shingle, all their words. Repeated rows are copies. The class id is the least doc_id of the class. Rows whose
 doc_id is null take no part; an empty table gives no row. Other columns than the two named are ignored, whatever their
 names. Texts are read whole.
@@ -35,10 +34,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.common import texts_of, written
+from lumora.llm.common import parts, texts_of, written
 from lumora.operators.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -223,16 +222,14 @@ def near_by_bags(all_bags: list[tuple[np.ndarray, np.ndarray]], threshold: float
 
 
 def _signed(registers: int) -> Callable:
-    schema = pa.schema([("doc_id", pa.int64()), ("name", pa.binary()), ("size", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.string()), ("name", pa.binary()), ("size", pa.int64()), ("sig", pa.binary())])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in found:
-            for lo in range(0, whole.num_rows, 400):
-                batch = whole.slice(lo, 400)
-                shingles, counts, ends, names = bags(texts_of(batch.column(1)))
-                sigs = signatures(shingles, counts, ends, registers)
-                sizes = np.bincount(np.repeat(np.arange(batch.num_rows), np.diff(ends)), counts, batch.num_rows).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(sizes), pa.array([s.tobytes() for s in sigs], pa.binary())], schema=schema)
+        for batch in parts(found, "text", 400):
+            shingles, counts, ends, names = bags(texts_of(batch.column(2)))
+            sigs = signatures(shingles, counts, ends, registers)
+            sizes = np.bincount(np.repeat(np.arange(batch.num_rows), np.diff(ends)), counts, batch.num_rows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(names, pa.binary()), pa.array(sizes), pa.array([s.tobytes() for s in sigs], pa.binary())], schema=schema)
 
     return run
 
@@ -321,29 +318,37 @@ def _bag(shingles: pa.Array, counts: pa.Array, k: int) -> tuple[np.ndarray, np.n
     return np.frombuffer(shingles[k].as_py(), "<u8"), np.frombuffer(counts[k].as_py(), "<u4").astype(np.int64)
 
 
-def _represented(signed: DataFrame, names: DataFrame, total: int) -> DataFrame:
-    """Each row's doc_id and its name's representative; rows without a name represent themselves."""
-    rows = signed.select("doc_id", "name")
-    hot = names.where(F.col("n") > max(HOTTEST, total // HOTTEST)).select("name", F.col("rep").alias("hot"))  # fewer than HOTTEST names
-    found = rows.join(F.broadcast(hot), "name", "left")
-    alone = found.where("name is null or hot is not null").select("doc_id", F.coalesce("hot", "doc_id").alias("rep"))
-    return alone.unionByName(found.where("name is not null and hot is null").join(names, "name").select("doc_id", "rep"))
+def _with(rows: DataFrame, values: DataFrame, key: str, value: str, total: int) -> DataFrame:
+    """rows with the value of their key, from values (key, value, n rows of that key; total: all rows). Keys of more than a HOTTEST-th of
+    all rows, and of 1000 at least, are fewer than HOTTEST; they are broadcast, so that their rows stay where they are."""
+    most = max(1000, total // HOTTEST)
+    hot = values.where(F.col("n") > most).select(key, F.col(value).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    cold = marked.where("_hot is null").select(*rows.columns).join(values.where(F.col("n") <= most).select(key, F.col(value).alias("_value")), key)
+    return marked.where("_hot is not null").select(*rows.columns, F.col("_hot").alias(value)).unionByName(cold.select(*rows.columns, F.col("_value").alias(value)))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, class_id, one row for each row of docs that has a doc_id."""
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(docs.mapInArrow(_signed(REGISTERS), "doc_id long, name binary, size long, sig binary"), "signatures")
-    # Copies are one representative.
-    names = written(signed.where(F.col("name").isNotNull()).groupBy("name").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "names")
-    chosen = signed.join(names.select(F.col("rep").alias("doc_id"), "name"), ["doc_id", "name"], "left_semi")
-    reps = written(chosen.groupBy(F.col("doc_id").alias("rep")).agg(F.min(F.struct("name", "size", "sig")).alias("x")).select("rep", "x.name", "x.size", "x.sig"), "representatives")
+def text_hash(text: str = "text") -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
+
+
+def class_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, h (the text's hash), root (a number of the class; null without a word), class_id (the least
+    doc_id of the class), one row for each row of docs that has a doc_id."""
+    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), "text")
+    signed = written(docs.mapInArrow(_signed(REGISTERS), "doc_id long, h string, name binary, size long, sig binary"), "signatures")
+    # Texts of the same words are one node. Nodes are numbered in the order of their least rows, so a class's least node has its least doc_id.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = signed.where(F.col("name").isNotNull()).groupBy("name").agg(F.min(F.struct("doc_id", "h")).alias("_r"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+    ordered = copies.select(F.col("_r.doc_id").alias("doc_id"), F.col("_r.h").alias("h"), "name", "n", "size", "sig").repartitionByRange(n, "doc_id", "name").sortWithinPartitions("doc_id", "name")
+    reps = written(ordered.withColumn("rep", F.monotonically_increasing_id()), "representatives")
     width = 2 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.expr("sig").substr(k * width + 1, F.lit(width))))
     meetings = reps.select("rep", F.explode(bands).alias("band"))
     counts = written(meetings.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "meeting-sizes")
-    largest = lambda sizes: sizes.agg(F.max("n")).first()[0] or 0
-    met = meetings.join(counts, "band").join(reps, "rep").select("band", "n", "rep", "size", "sig")
+    most_and_all = lambda sizes: [x or 0 for x in sizes.agg(F.max("n"), F.sum("n")).first()]
+    largest, total = most_and_all(counts)
+    met = _with(meetings, counts.withColumn("members", F.col("n")), "band", "members", total).withColumnRenamed("members", "n").join(reps.select("rep", "size", "sig"), "rep").select("band", "n", "rep", "size", "sig")
     least = int(np.floor(REGISTERS * (threshold - SIGMAS * np.sqrt(threshold * (1 - threshold) / REGISTERS))))
     signature = lambda column: np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
@@ -354,25 +359,22 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def by_signature(group: pa.Table, sides: np.ndarray) -> list[tuple[int, int]]:
         return near_by_signature(signature(group.column(5)), group.column(4).to_numpy(), least, sides)
 
-    rows, links = _starred(met, "band", ["size", "sig"], near_least_signature, "meetings", largest(counts))
+    rows, links = _starred(met, "band", ["size", "sig"], near_least_signature, "meetings", largest)
     near = _dealt(rows, ["band", "_block"]).mapInArrow(_pairs_of(by_signature, 2, 2), "a long, b long")
     groups = components(near.unionByName(links) if links else near)
     groups = written(groups.select(F.col("id").alias("rep"), F.col("root").alias("grp")), "groups")
 
     def sized(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            for lo in range(0, batch.num_rows, 400):
-                part = batch.slice(lo, 400)
-                shingles, counts_, ends, names_ = bags(texts_of(part.column(4)))
-                # Of the texts with one id, the representative's.
-                own = pa.array([a == b for a, b in zip(names_, part.column(3).to_pylist(), strict=True)])
-                cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], cut(shingles, "<u8"), cut(counts_, "<u4")], names=["rep", "grp", "n", "shingles", "counts"]).filter(own)
-
-    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    wanted = groups.join(sizes, "grp").join(reps.select("rep", "name"), "rep").select("rep", "grp", "n", "name")
-    # One plan at all sizes: the members' number has no bound, so they are never broadcast.
-    texts = docs.withColumnRenamed("doc_id", "rep").join(wanted.hint("merge"), "rep").withColumn("h", F.xxhash64("text")).dropDuplicates(["rep", "h"]).select("rep", "grp", "n", "name", "text")
+        for part in parts(found, "text", 400):
+            shingles, counts_, ends, _ = bags(texts_of(part.column(3)))
+            cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], cut(shingles, "<u8"), cut(counts_, "<u4")], names=["rep", "grp", "n", "shingles", "counts"])
+
+    sizes = written(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    largest, total = most_and_all(sizes)
+    wanted = _with(groups, sizes.withColumn("members", F.col("n")), "grp", "members", total).withColumnRenamed("members", "n").join(reps.select("rep", "doc_id", "h"), "rep")
+    # One plan at all sizes: the members' number has no bound, so they are never broadcast. A node's text is that of its least row.
+    texts = docs.join(wanted.hint("merge"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("rep", "grp", "n", "text")
     full = written(texts.mapInArrow(sized, "rep long, grp long, n long, shingles binary, counts binary"), "bags")
 
     def near_least_bag(own: list[pa.Array], other: list[pa.Array]) -> np.ndarray:
@@ -382,8 +384,25 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         shingles, counts_ = group.column(4).combine_chunks(), group.column(5).combine_chunks()
         return near_by_bags([_bag(shingles, counts_, k) for k in range(group.num_rows)], threshold, sides)
 
-    rows, links = _starred(full, "grp", ["shingles", "counts"], near_least_bag, "groups", largest(sizes))
+    rows, links = _starred(full, "grp", ["shingles", "counts"], near_least_bag, "groups", largest)
     pairs = _dealt(rows, ["grp", "_block"]).mapInArrow(_pairs_of(by_bags, 2, 2), "a long, b long")
-    roots = components(pairs.unionByName(links) if links else pairs).withColumnRenamed("id", "rep")
-    of_names = names.join(roots, "rep", "left").select("name", F.coalesce("root", "rep").alias("rep"), "n")
-    return _represented(signed, of_names, signed.count()).withColumnRenamed("rep", "class_id")
+    roots = written(components(pairs.unionByName(links) if links else pairs).select(F.col("id").alias("rep"), "root"), "roots")
+    # The doc_id of each root, dealt to its members.
+    members = written(roots.groupBy(F.col("root").alias("rep")).agg(F.count(F.lit(1)).alias("n")).join(reps.select("rep", F.col("doc_id").alias("class_id")), "rep").withColumnRenamed("rep", "root"), "roots-of")
+    linked = _with(roots, members, "root", "class_id", members.agg(F.sum("n")).first()[0] or 0)
+    of_names = reps.select("rep", "name", "n", "doc_id").join(linked, "rep", "left").select("name", "n", F.struct(F.coalesce("root", "rep").alias("root"), F.coalesce("class_id", "doc_id").alias("class_id")).alias("class"))
+    given = signed.select("doc_id", "h", "name")
+    found = _with(given.where("name is not null"), of_names, "name", "class", signed.count()).select("doc_id", "h", "class.root", "class.class_id")
+    return found.unionByName(given.where("name is null").select("doc_id", "h", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id")))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, class_id, one row for each row of docs that has a doc_id."""
+    return class_rows(docs, threshold).select("doc_id", "class_id")
+
+
+def heads(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, h): the least row of each class, by doc_id, then the text's hash; and all rows without a word."""
+    rows = class_rows(docs, threshold)
+    first = rows.where("root is not null and doc_id = class_id").groupBy("root", "doc_id").agg(F.min("h").alias("h")).select("doc_id", "h")
+    return first.unionByName(rows.where("root is null").select("doc_id", "h").distinct())

@@ -58,6 +58,8 @@ EXTRA = (
 RULES = (*BASE, *EXTRA)
 #: Shares that the rows of one blob are dealt over when findings are joined back.
 SALTS = 16
+#: A kind's place among all rules, whatever list it is scanned with; kinds of one's own come after them.
+PLACES = {r.kind: k for k, r in enumerate(RULES)}
 SPANS = "array<struct<begin:int,kind_no:int,kind:string,end:int>>"
 
 
@@ -103,7 +105,7 @@ def scan(texts: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, .
     else:
         seen = blobs.join(ledger, "blob", "left").withColumns({"versions": F.coalesce("versions", nothing), "spans": F.coalesce("spans", F.array().cast(SPANS))})
     todo = seen.where(F.size(F.array_except(wanted, "versions")) > 0)
-    new = [F.when(F.array_contains("versions", r.version), F.array().cast(SPANS)).otherwise(spans_of(F.col("_text"), r, k)) for k, r in enumerate(rules)]
+    new = [F.when(F.array_contains("versions", r.version), F.array().cast(SPANS)).otherwise(spans_of(F.col("_text"), r, PLACES.get(r.kind, len(RULES) + k))) for k, r in enumerate(rules)]
     # Spans of a rule's older version go when its new version is scanned.
     stale = F.filter("spans", lambda s: F.exists(F.array(*[F.lit(r.kind) for r in rules]), lambda k: (k == s["kind"]) & ~F.exists("versions", lambda v: F.array_contains(wanted, v) & (F.split_part(v, F.lit("@"), F.lit(1)) == k))))
     done = todo.select("blob", F.array_union(F.filter("versions", lambda v: ~F.exists(wanted, lambda w: F.split_part(w, F.lit("@"), F.lit(1)) == F.split_part(v, F.lit("@"), F.lit(1)))), wanted).alias("versions"), F.array_sort(F.concat(F.array_except("spans", stale), *new)).alias("spans"))
@@ -140,7 +142,7 @@ def _listed(spans: Column) -> Column:
 def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """The digest columns of the documents with spans."""
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    base = F.filter("spans", lambda s: s["kind_no"] < len(BASE))
+    base = F.filter("spans", lambda s: s["kind"].isin(*[r.kind for r in BASE]))
     return found.select(key, *[n(r.kind) for r in BASE], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 

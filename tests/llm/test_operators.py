@@ -659,3 +659,59 @@ def test_one_id_with_two_texts(spark):
     rows = [(1, a), (5, a), (5, b), (7, b), (7, b), (9, a + " end")]
     got = sorted((r.doc_id, r.class_id) for r in bagminhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert [x for x in got if x[0] != 5] == [(1, 1), (7, 5), (7, 5), (9, 1)] and sorted(c for d, c in got if d == 5) == [1, 5]
+
+
+def brute_row_classes(rows):
+    """Each row's class id, rows being documents of their own whatever their ids: the least doc_id of its component."""
+    heads = brute_classes([(k, t) for k, (_, t) in enumerate(rows)])
+    same = {}
+    for k, (_, t) in enumerate(rows):  # texts of the same words are one node
+        words = tuple((t or "").lower().encode().split())
+        if words:
+            same.setdefault(words, []).append(k)
+    up = dict(heads)
+    find = lambda k: k if up[k] == k else find(up[k])
+    for ks in same.values():
+        for k in ks[1:]:
+            a, b = find(ks[0]), find(k)
+            up[max(a, b)] = min(a, b)
+    members = collections.defaultdict(list)
+    for k in range(len(rows)):
+        members[find(k)].append(k)
+    return members
+
+
+def test_ids_that_repeat(spark):
+    """Two nodes that share their least id don't become one class, and no text is lost."""
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    df = spark.createDataFrame([(2, a), (5, a + " end"), (5, b), (9, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id) for r in bagminhash.classes(df).collect()) == [(2, 2), (5, 2), (5, 5), (9, 5)]
+    kept = df.withColumn("h", bagminhash.text_hash()).join(bagminhash.heads(df), ["doc_id", "h"], "left_semi")
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(2, a), (5, b)]
+
+
+def test_random_ids_are_brute_force(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcdefgh"]
+    rows = []
+    for _ in range(150):
+        words = str(rng.choice(texts)).split(" ")
+        for k in rng.choice(40, rng.integers(0, 3), replace=False):
+            words[k] = f"x{rng.integers(4)}"
+        rows.append((int(rng.integers(12)), (" " if rng.random() < 0.8 else "  ").join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    members = brute_row_classes(rows)
+    want = collections.Counter((rows[k][0], min(rows[j][0] for j in ks)) for ks in members.values() for k in ks)
+    assert collections.Counter((r.doc_id, r.class_id) for r in bagminhash.classes(df).collect()) == want
+    least = {min((rows[k][0], hashlib.md5(rows[k][1].encode()).hexdigest()) for k in ks) for ks in members.values()}
+    assert {tuple(r) for r in bagminhash.heads(df).collect()} == least
+
+
+def test_order_of_commits_and_rules(spark):
+    """Ledgers whose first commit has other rules, or another order of them, give the same digests."""
+    rows = [(1, "-----BEGIN PRIVATE KEY----- token=abcdef12"), (2, "password: hunter22 AKIA" + "A" * 20 + " " + "0f" * 14), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(tuple(r) for r in secrets.digests(secrets.findings(df, secrets.commit(df))).collect())
+    for first, second in ((secrets.EXTRA, secrets.BASE), (secrets.RULES[::-1], secrets.RULES), (secrets.BASE[::-1], secrets.EXTRA)):
+        ledger = secrets.commit(df, secrets.commit(df, secrets.empty_ledger(df), first), second)
+        assert sorted(tuple(r) for r in secrets.digests(secrets.findings(df, ledger)).collect()) == want

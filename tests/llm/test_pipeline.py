@@ -37,6 +37,17 @@ def test_stages(spark, tmp_path):
     assert collections.Counter(r.doc_id for r in kept["packing"][1].where("piece = 0").collect()) == collections.Counter(list(after))
 
 
+def test_near_dedup_keeps_every_text(spark):
+    """Ids that repeat, also without an id: one row of each class, and of rows without an id all."""
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(2, a), (5, a + " end"), (5, b), (9, b), (9, b), (None, a), (None, a), (11, None), (11, ""), (12, " ")]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id int, text string, h string, root string")
+    out = corpus_pipeline.one_of_each(spark, df, "")
+    assert out.columns == df.columns
+    got = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    assert got[(11, None)] + got[(11, "")] == 1 and {k: n for k, n in got.items() if k[0] != 11} == {(2, a): 1, (5, b): 1, (None, a): 2, (12, " "): 1}
+
+
 def test_empty_table(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
