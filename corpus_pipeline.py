@@ -36,11 +36,10 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near-duplicates. Documents without an id stay."""
-    heads = bagminhash.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    # Rows meet by doc_id anyway; of equal ids, equal texts are one row and different ones stay.
-    kept = docs.join(heads, "doc_id", "left_semi").withColumn("_ours_text", F.sha2("text", 256)).dropDuplicates(["doc_id", "_ours_text"])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """The row with the least id (of equal ids, the least hash of the text) of each class of near-duplicates. Rows without an id stay."""
+    named = docs.where(F.col("doc_id").isNotNull()).withColumns({"_ours_id": F.col("doc_id").cast("long"), "_ours_text": bagminhash.text_hash()}).dropDuplicates(["_ours_id", "_ours_text"])
+    heads = bagminhash.heads(docs).select(F.col("doc_id").alias("_ours_id"), F.col("h").alias("_ours_text"))
+    return named.join(heads, ["_ours_id", "_ours_text"], "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
