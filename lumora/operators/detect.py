@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.checkpoints import written
+from lumora.functions import tensors
 from lumora.functions.scalar import iou_boxes, iou_corners
 from lumora.operators import graph
 
@@ -81,6 +85,73 @@ def anchors(spark: SparkSession, width: int, height: int) -> DataFrame:
     return cells.select("*", (F.col("col") * F.col("stride")).alias("x"), (F.col("row") * F.col("stride")).alias("y"))
 
 
+def _images(found: Iterator[pa.RecordBatch], size: int = 64 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of images in parts of about `size` bytes at most, so that tensors of a few are unpacked at once."""
+    for batch in found:
+        few = max(1, batch.num_rows * size // max(1, batch.nbytes))
+        for lo in range(0, batch.num_rows, few):
+            yield batch.slice(lo, few)
+
+
+def _floats(values: list | None) -> np.ndarray:
+    return np.array(values or [], np.float64)
+
+
+RECORDS = "media_id long, obj_no int, class_name string, conf double, x1 double, y1 double, x2 double, y2 double, mask_area long, mask_rle array<array<bigint>>"
+
+
+def records(raw: DataFrame, confidence: float, overlap: float, names: list[str] | None = None) -> DataFrame:
+    """The detector's raw outputs to records, in one pass: confident detections, suppressed, unpadded, with masks as runs.
+
+    raw: media_id, det (array<float>: rows of det_dim values, x1, y1, x2, y2 in the padded square, confidence, class, then a coefficient a
+    prototype), det_dim, protos (array<float>: channels by height by width), proto_h, proto_w, width, height. Classes beyond `names` are
+    cls_<number>. Images without a tensor, or of no size, give no record. An image is one task's work; a row holds all that it needs.
+    """
+    names = list(names or [])
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _images(found):
+            out = []
+            for r in batch.to_pylist():
+                if not (r["det"] and r["det_dim"] and r["width"] and r["height"]):
+                    continue
+                det, protos = _floats(r["det"]).reshape(-1, r["det_dim"]), _floats(r["protos"]).reshape(r["det_dim"] - 6, r["proto_h"], r["proto_w"])
+                for k, (kind, conf, box, area, rle) in enumerate(tensors.detections(det, protos, r["width"], r["height"], confidence, overlap)):
+                    out.append((r["media_id"], k, names[kind] if 0 <= kind < len(names) else f"cls_{kind}", conf, *box, area, rle))
+            yield _batch(out, RECORD_TYPES)
+
+    wanted = ["media_id", "det", "det_dim", "protos", "proto_h", "proto_w", "width", "height"]
+    return raw.select(F.col("media_id").cast("long").alias("media_id"), *wanted[1:]).mapInArrow(run, RECORDS)
+
+
+RECORD_TYPES = pa.schema([("media_id", pa.int64()), ("obj_no", pa.int32()), ("class_name", pa.string()), *[(c, pa.float64()) for c in ("conf", "x1", "y1", "x2", "y2")], ("mask_area", pa.int64()), ("mask_rle", pa.list_(pa.list_(pa.int64())))])
+FACES = "media_id long, face_no int, conf double, x double, y double, w double, h double, landmarks array<double>"
+FACE_TYPES = pa.schema([("media_id", pa.int64()), ("face_no", pa.int32()), *[(c, pa.float64()) for c in ("conf", "x", "y", "w", "h")], ("landmarks", pa.list_(pa.float64()))])
+#: An image with a side below this has no faces.
+FACE_SIDE = 20
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def faces_of(raw: DataFrame, threshold: float, overlap: float = FACE_OVERLAP) -> DataFrame:
+    """The face detector's raw outputs to faces in the image's pixels, suppressed: media_id, face_no (best first), conf, x, y, w, h, landmarks
+    (five points). raw: media_id, outputs (array<array<float>>, in any of three layouts, told by their lengths), width, height."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _images(found):
+            out = []
+            for r in batch.to_pylist():
+                if r["outputs"] and min(r["width"] or 0, r["height"] or 0) >= FACE_SIDE:
+                    for k, f in enumerate(tensors.faces([_floats(o) for o in r["outputs"]], r["width"], r["height"], threshold, overlap).tolist()):
+                        out.append((r["media_id"], k, f[14], *f[:4], f[4:14]))
+            yield _batch(out, FACE_TYPES)
+
+    return raw.select(F.col("media_id").cast("long").alias("media_id"), "outputs", "width", "height").mapInArrow(run, FACES)
+
+
 def large_enough(w: Column, h: Column, least: int) -> Column:
     return F.least(w, h) >= least
 

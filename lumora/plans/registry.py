@@ -12,7 +12,7 @@ from lumora.checkpoints import shared_root
 from lumora.functions import labels, masks, scalar, text, vectors
 from lumora.operators import albums, detect, duplicates, graph, ingest, media, mutate, people, search, timeline, video
 from lumora.plans.fixtures import Tables, similarity, sql
-from lumora.streaming import watch
+from lumora.streaming import session, watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -394,13 +394,28 @@ def a13_video_faces(t: Tables) -> DataFrame:
     return video.faces(t.faces, "face_no")
 
 
-@query("j20_nms")
+def _suppressed(rows: str, overlap: str, threshold: float, values: str, ties: str = "obj_no, class_name, x1, y1, x2, y2") -> str:
+    """Greedy suppression by a recursive walk over each image's boxes in order; rows: media_id, obj_no, conf and the box."""
+    return f"""with recursive boxes as ({rows}), d as (select media_id, row_number() over (partition by media_id order by conf desc, {ties}) as r, {values} as b from boxes),
+    walk as (select media_id, r, [b] as kept from d where r = 1 union all
+        select w.media_id, d.r, case when len(list_filter(w.kept, lambda k: {overlap} > {threshold})) = 0 then list_append(w.kept, d.b) else w.kept end from walk w join d on d.media_id = w.media_id and d.r = w.r + 1),
+    last as (select media_id, arg_max(kept, r) as kept from walk group by 1), alive as (select media_id, unnest(kept) as k, unnest(range(len(kept)))::int as n from last)"""
+
+
+_SIDE = "greatest(least(k.{1}, d.b.{1}) - greatest(k.{0}, d.b.{0}), 0)"
+_INTER = f"({_SIDE.format('x1', 'x2')} * {_SIDE.format('y1', 'y2')})"
+_AREAS = "(greatest(k.x2 - k.x1, 0) * greatest(k.y2 - k.y1, 0) + greatest(d.b.x2 - d.b.x1, 0) * greatest(d.b.y2 - d.b.y1, 0))"
+_IOU = f"case when {_AREAS} - {_INTER} > 0 then {_INTER} / ({_AREAS} - {_INTER}) else 0 end"
+_CORNERS = "{'obj_no': obj_no, 'class_name': class_name, 'conf': conf, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}"
+
+
+@query("j20_nms", _suppressed("select media_id, obj_no, class_name, conf, x as x1, y as y1, x + w as x2, y + h as y2 from media_objects", _IOU, 0.45, _CORNERS) + " select media_id, k.obj_no as obj_no, k.class_name as class_name, k.conf as conf from alive")
 def j20_nms(t: Tables) -> DataFrame:
     corners = t.objects.selectExpr("media_id", "obj_no", "class_name", "conf", "x as x1", "y as y1", "x + w as x2", "y + h as y2")
     return detect.suppressed(corners, 0.45, corners=True).select("media_id", "obj_no", "class_name", "conf")
 
 
-@query("j21_face_nms")
+@query("j21_face_nms", _suppressed("select media_id, obj_no, class_name, conf, x as x1, y as y1, x + w as x2, y + h as y2 from media_objects", _IOU, 0.3, _CORNERS) + " select media_id, k.obj_no as obj_no, k.conf as conf from alive")
 def j21_face_nms(t: Tables) -> DataFrame:
     return detect.suppressed(t.objects, detect.FACE_OVERLAP).select("media_id", "obj_no", "conf")
 
@@ -803,3 +818,69 @@ def y05_named_in_rows(t: Tables) -> DataFrame:
 def n07_iou_corners(t: Tables) -> DataFrame:
     box = t.read("part").selectExpr("p_partkey as id", "named_struct('x1', cast(p_size as double), 'y1', cast(p_size % 7 as double), 'x2', cast(p_size * 3 % 41 as double), 'y2', cast(9 as double)) as a", "named_struct('x1', 2d, 'y1', 1d, 'x2', 20d, 'y2', 12d) as b")
     return box.select("id", F.round(scalar.iou_corners(F.col("a"), F.col("b")), 6).alias("iou"))
+
+
+# --- tensors of models, derived from the tables
+
+
+#: Records out of raw detections: an order is an image, its lines are detections in the padded square. Two prototypes of ones and a coefficient make a mask
+#: that is the whole box or nothing, so that SQL can say its area.
+_RAW = "select media_id, obj_no, class_name, conf, x * 8 as x1, y * 8 as y1, x * 8 + w * 5 as x2, y * 8 + h * 5 as y2 from media_objects where conf >= 0.03"
+_UNPADDED = "least(greatest((k.{0} - {1}) / ratio, 0), {2})"
+
+
+@query(
+    "v04_records",
+    _suppressed(_RAW, _IOU, 0.45, _CORNERS, "obj_no, x1, y1, x2, y2")
+    + f""", sized as (select media_id, k, n, 100 + media_id % 200 as width, 100 + media_id % 100 as height, least(640.0::double / (100 + media_id % 200), 640.0::double / (100 + media_id % 100)) as ratio from alive),
+    padded as (select *, (640 - floor(width * ratio + 0.5)::bigint) // 2 as l, (640 - floor(height * ratio + 0.5)::bigint) // 2 as t from sized),
+    cut as (select media_id, n, k.obj_no as obj, k.conf as conf, {_UNPADDED.format("x1", "l", "width")} as x1, {_UNPADDED.format("y1", "t", "height")} as y1, {_UNPADDED.format("x2", "l", "width")} as x2, {_UNPADDED.format("y2", "t", "height")} as y2, width from padded)
+    select media_id, n as obj_no, 'cls_' || obj as class_name, conf, round(x1, 6) as x1, round(y1, 6) as y1, round(x2, 6) as x2, round(y2, 6) as y2,
+        case when obj % 2 = 0 then (floor(x2) - floor(x1))::bigint * (floor(y2) - floor(y1))::bigint else 0 end as mask_area,
+        case when obj % 2 = 0 and floor(x2) > floor(x1) and floor(y2) > floor(y1) then (floor(y1) * width + floor(x1))::bigint end as first_set
+    from cut""",
+)
+def v04_records(t: Tables) -> DataFrame:
+    c = lambda x: F.col(x).cast("double")
+    corner = [c("x") * 8, c("y") * 8, c("x") * 8 + c("w") * 5, c("y") * 8 + c("h") * 5]
+    mask = F.when(F.col("obj_no") % 2 == 0, 1.0).otherwise(-1.0)
+    rows = t.objects.select("media_id", F.struct("obj_no", F.array(*corner, c("conf"), c("obj_no"), mask, mask).alias("row")).alias("d"))
+    packed = rows.groupBy("media_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("d")), lambda d: d["row"])).alias("det"))
+    ones = F.array_repeat(F.lit(1.0), 2 * 4 * 4).alias("protos")
+    raw = packed.select("media_id", "det", F.lit(8).alias("det_dim"), ones, F.lit(4).alias("proto_h"), F.lit(4).alias("proto_w"), (100 + F.col("media_id") % 200).cast("int").alias("width"), (100 + F.col("media_id") % 100).cast("int").alias("height"))
+    found = detect.records(raw, 0.03, 0.45)
+    return found.select("media_id", "obj_no", "class_name", "conf", *[F.round(x, 6).alias(x) for x in ("x1", "y1", "x2", "y2")], "mask_area", F.get(F.get("mask_rle", F.lit(0)), F.lit(0)).alias("first_set"))
+
+
+_CELLS = "cells as (select unnest([8, 16, 32]) as stride, unnest([20, 10, 5]) as cols, unnest([15, 7, 3]) as rows, unnest([0, 1, 2]) as level), places as (select stride, cols, level, unnest(range(cols * rows)) as i from cells)"
+
+
+@query(
+    "v05_faces",
+    f"""with {_CELLS}, spots as (select point_id as media_id, stride, i, level, i % cols as col, i // cols as row, greatest(least(vec[(i * 5 + level) % 64 + 1] * 8, 1), 0) as cls, greatest(least(vec[(i * 7 + level) % 64 + 1] * 8, 1), 0) as obj,
+        vec[(i * 4) % 64 + 1] as dx, vec[(i * 4 + 1) % 64 + 1] as dy, vec[(i * 4 + 2) % 64 + 1] as lw, vec[(i * 4 + 3) % 64 + 1] as lh, vec[(i * 10) % 64 + 1] as kx from embedding, places),
+    found as (select media_id, sqrt(cls * obj) as conf, (col + dx) * stride - exp(lw) * stride / 2 as x, (row + dy) * stride - exp(lh) * stride / 2 as y, exp(lw) * stride as w, exp(lh) * stride as h, (kx + col) * stride as mx from spots)
+    select media_id, round(conf, 6) as conf, round(x * 2, 4) as x, round(y * 3, 4) as y, round(w * 2, 4) as w, round(h * 3, 4) as h, round(mx * 2, 4) as mark from found where conf >= 0.7""",
+)
+def v05_faces(t: Tables) -> DataFrame:
+    """An embedding as a face detector's twelve tensors; no suppression, as SQL has none here."""
+    v = F.transform("vec", lambda x: x.cast("double"))
+    pick = lambda n, index: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(F.col("v"), index(i).cast("int")))
+    cells = (300, 70, 15)
+    score = lambda k: [F.transform(pick(n, lambda i, level=level: (i * k + level) % 64), lambda x: x * 8) for level, n in enumerate(cells)]
+    outputs = F.array(*score(5), *score(7), *[pick(4 * n, lambda i: i % 64) for n in cells], *[pick(10 * n, lambda i: i % 64) for n in cells])
+    raw = t.embedding.select(F.col("point_id").alias("media_id"), v.alias("v")).select("media_id", outputs.alias("outputs"), F.lit(320).alias("width"), F.lit(360).alias("height"))
+    found = detect.faces_of(raw, 0.7, overlap=1.0)
+    return found.select("media_id", F.round("conf", 6).alias("conf"), *[F.round(c, 4).alias(c) for c in "xywh"], F.round(F.col("landmarks")[0], 4).alias("mark"))
+
+
+@query("t07_session_leaders")
+def t07_session_leaders(t: Tables) -> DataFrame:
+    """Leaders of a stream over the vectors' files, a session a source, as keyed state."""
+    root = f"{shared_root(t.spark)}/lumora/stream-{uuid.uuid4().hex}"
+    stream = t.spark.readStream.schema(t.read("embeddings").schema).option("pathGlobFilter", "embeddings.parquet").parquet(t.dir)
+    faces = stream.selectExpr("case when vec_id % 3 = 0 then 'video_frame' else 'image' end as session", "vec_id as id", "embedding as vec")
+    session.prepared(t.spark)
+    found = session.session_leaders(faces).writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out")
+    found.awaitTermination()
+    return t.spark.read.schema("session string, id long, leader long, score double").parquet(f"{root}/out").select("session", "id", "leader", _score())
