@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Which actions each counter counts.
+ACTIONS = {"new": ("insert", "reprocess", "reset"), "skipped": ("skip", "unsupported"), "errors": ("error",)}
+
+
 def classified(files: DataFrame, known: DataFrame) -> DataFrame:
     """files (path, name, size, modified_at, sha256) with action and media_id.
 
@@ -34,7 +38,7 @@ def unhashed(files: DataFrame, known: DataFrame) -> DataFrame:
 def summary(actions: DataFrame) -> DataFrame:
     """One row: found, new (reprocessed and reset ones as well), skipped (unsupported ones as well), errors."""
     n = lambda *a: F.coalesce(F.sum(F.when(F.col("action").isin(*a), 1).otherwise(0)), F.lit(0)).cast("long")
-    return actions.agg(F.count(F.lit(1)).alias("found"), n("insert", "reprocess", "reset").alias("new"), n("skip", "unsupported").alias("skipped"), n("error").alias("errors"))
+    return actions.agg(F.count(F.lit(1)).alias("found"), *[n(*kinds).alias(c) for c, kinds in ACTIONS.items()])
 
 
 def pruned(media: DataFrame, listing: DataFrame, key: str = "file_name") -> tuple[DataFrame, DataFrame]:
