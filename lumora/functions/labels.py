@@ -99,3 +99,20 @@ def display_label(name: Column) -> Column:
 def class_name(df: DataFrame, names: DataFrame, number: str = "class_no") -> DataFrame:
     """df with the detector's class names (a table number, name); a number without a name is cls_<number>."""
     return df.join(F.broadcast(names.select(F.col("number").alias(number), F.col("name").alias("_name"))), number, "left").withColumn("class_name", F.coalesce("_name", F.concat(F.lit("cls_"), F.col(number).cast("string")))).drop("_name")
+
+
+#: Classes that a model without a readable dictionary has.
+UNNAMED = 80
+
+
+def model_classes(content: Column) -> Column:
+    """The class names in a model file's bytes, by number: the first {0: 'a', 1: 'b', ...} in it. Numbers that it leaves out are cls_<number>;
+    without a dictionary there are UNNAMED of those."""
+    found = F.regexp_extract(content.cast("string"), r"(\{0: '[^}]*\})", 1)
+    # Entries follow one another; what comes after one that isn't an entry is no part of the dictionary.
+    whole = F.regexp_extract(found, r"^(\{[0-9]+: '[^']*'(?:[, {]+[0-9]+: '[^']*')*)", 1)
+    part = lambda group: F.regexp_extract_all(whole, F.lit(r"([0-9]+): '([^']*)'"), F.lit(group))
+    entries = F.arrays_zip(F.transform(part(1), lambda x: x.cast("int")).alias("number"), part(2).alias("name"))
+    top = F.when(F.size(entries) > 0, F.array_max(entries["number"])).otherwise(UNNAMED - 1)
+    named = lambda i: F.try_element_at(F.filter(entries, lambda e: e["number"] == i), F.lit(-1))["name"]
+    return F.transform(F.sequence(F.lit(0), top), lambda i: F.coalesce(named(i), F.concat(F.lit("cls_"), i.cast("string"))))
