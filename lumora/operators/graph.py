@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from lumora.checkpoints import written
 from lumora.functions.vectors import hamming
+from lumora.operators import index
 
 #: Rows that are compared with one another as one block.
 BLOCK = 4096
+#: Pairs of blocks that are compared outright; more go through the index.
+GRID = 16
 #: Nodes whose minima are broadcast, at most.
 HUBS = 10_000
 #: Rows of a node that any task takes.
@@ -45,10 +48,12 @@ def hamming_pairs(hashes: DataFrame, most: int, bits: int = 64) -> DataFrame:
 def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float, strict: bool = False, epsilon: float = 1e-8) -> DataFrame:
     """Pairs (a, b, score) of left rows (id, vec) and right rows (id, vec) with a < b and cosine at or above the threshold, exactly.
 
-    Blocks of rows meet block by block in matrix products; only pairs that pass leave a task. A pair of ids keeps its
-    best score.
+    Small tables meet block by block in matrix products; only pairs that pass leave a task. Beyond GRID pairs of blocks an index of the
+    right side gives the candidates (any threshold above 0). Both are exact. A pair of ids keeps its best score.
     """
     n_left, n_right = (max(1, -(-df.count() // BLOCK)) for df in (left, right))
+    if n_left * n_right > GRID and threshold > 0:
+        return index.near_pairs(left, right, threshold, strict, epsilon)
     a = left.select("id", "vec", F.pmod(F.xxhash64("id", "vec"), F.lit(n_left)).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
     b = right.select("id", "vec", F.pmod(F.xxhash64("id", "vec"), F.lit(n_right)).alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
 
@@ -75,9 +80,14 @@ def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float, strict: bo
 
 
 def nearest_reference(faces: DataFrame, references: DataFrame, threshold: float) -> DataFrame:
-    """Each row (id, vec) with its most similar reference (ref_id, vec), strictly above the threshold, or null. Rows and references
-    meet in blocks of BLOCK, each block giving its best; so any number of references does. Ties go to the lesser ref_id."""
+    """Each row (id, vec) with its most similar reference (ref_id, vec), strictly above the threshold, or null. Few rows and references
+    meet in blocks, each giving its best; beyond GRID pairs of blocks an index of the references gives the candidates. Ties go to the
+    lesser ref_id."""
     n_rows, n_refs = (max(1, -(-df.count() // BLOCK)) for df in (faces, references))
+    if n_rows * n_refs > GRID and threshold > 0:
+        near = index.near_pairs(faces, references.select(F.col("ref_id").alias("id"), "vec"), threshold, strict=True, ordered=False)
+        top = near.groupBy(F.col("a").alias("id")).agg(F.max(F.struct("score", (-F.col("b")).alias("_less"))).alias("_b"))
+        return faces.where("id is not null").select("id").distinct().join(top, "id", "left").select("id", (-F.col("_b._less")).alias("ref_id"), F.col("_b.score").alias("score"))
     left = faces.select("id", "vec", F.pmod(F.xxhash64("id", "vec"), F.lit(n_rows)).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_refs - 1))))
     right = references.select("ref_id", "vec", F.pmod(F.xxhash64("ref_id", "vec"), F.lit(n_refs)).alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
 
