@@ -78,11 +78,17 @@ def _settled(state: DataFrame, edges: DataFrame) -> DataFrame:
     return written(state.join(found, "id", "left").select("id", F.coalesce("role", "new", F.lit("leads")).alias("role")), "face-roles")
 
 
+def anchor_grid(sizes: DataFrame) -> DataFrame:
+    """The face detector's grid for each input size (width, height): with stride, row, col, x, y (in pixels)."""
+    side = lambda c: F.ceil(F.col(c) / F.col("stride")).cast("int")
+    cells = sizes.select("width", "height", F.explode(F.array(*[F.lit(s) for s in STRIDES])).alias("stride"))
+    rows = cells.select("*", F.explode(F.sequence(F.lit(0), side("height") - 1)).alias("row"))
+    return rows.select("*", F.explode(F.sequence(F.lit(0), side("width") - 1)).alias("col")).select("*", (F.col("col") * F.col("stride")).alias("x"), (F.col("row") * F.col("stride")).alias("y"))
+
+
 def anchors(spark: SparkSession, width: int, height: int) -> DataFrame:
-    """The face detector's grid for an input size: stride, row, col, x, y (in pixels)."""
-    grids = spark.createDataFrame([(s, -(-height // s), -(-width // s)) for s in STRIDES], "stride int, rows int, cols int")
-    cells = grids.select("stride", "cols", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row")).select("stride", "row", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"))
-    return cells.select("*", (F.col("col") * F.col("stride")).alias("x"), (F.col("row") * F.col("stride")).alias("y"))
+    """The grid of one input size: stride, row, col, x, y."""
+    return anchor_grid(spark.range(1).select(F.lit(width).alias("width"), F.lit(height).alias("height"))).drop("width", "height")
 
 
 def _images(found: Iterator[pa.RecordBatch], size: int = 64 << 20) -> Iterator[pa.RecordBatch]:

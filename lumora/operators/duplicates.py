@@ -41,9 +41,12 @@ def near(hashes: DataFrame, most: int, bits: int = 64) -> DataFrame:
     return of_components(graph.hamming_pairs(heads.select("id", "hash"), most, bits).select("a", "b").union(same.select("a", "b")))
 
 
-def by_hash(media: DataFrame, most: int = HAMMING) -> DataFrame:
-    """Visible media (id, file_phash in hex) whose hashes are within `most` bits, as groups."""
-    return near(media.where(visible()).select("id", hash_of_hex(F.col("file_phash")).alias("hash")), most)
+def by_hash(media: DataFrame, most: int = HAMMING, media_type: str | None = None) -> DataFrame:
+    """Visible media (id, file_phash in hex; of one type, if given) whose hashes are within `most` bits, as groups."""
+    seen = media.where(visible())
+    if media_type is not None:
+        seen = seen.where(F.col("media_type") == media_type)
+    return near(seen.select("id", hash_of_hex(F.col("file_phash")).alias("hash")), most)
 
 
 def representatives(embedding: DataFrame) -> DataFrame:
@@ -52,9 +55,21 @@ def representatives(embedding: DataFrame) -> DataFrame:
     return embedding.groupBy("media_id").agg(F.min_by(F.struct("point_id", "vec"), order).alias("_p")).select("media_id", F.col("_p.point_id").alias("point_id"), F.col("_p.vec").alias("vec"))
 
 
-def by_vector(embedding: DataFrame, threshold: float = COSINE) -> DataFrame:
-    """Pairs (a, b, score): a's representative against any point of b, for a < b."""
-    return graph.cosine_pairs(representatives(embedding).select(F.col("media_id").alias("id"), "vec"), embedding.select(F.col("media_id").alias("id"), "vec"), threshold)
+def by_vector(embedding: DataFrame, threshold: float = COSINE, media_type: str | None = None) -> DataFrame:
+    """Pairs (a, b, score): a's representative against any point of b, for a < b. Videos are compared by their frames' points, all others
+    by images' points; points of the other source take no part."""
+    points = embedding.where(F.col("source") == ("video_frame" if media_type == "video" else "image"))
+    return graph.cosine_pairs(representatives(points).select(F.col("media_id").alias("id"), "vec"), points.select(F.col("media_id").alias("id"), "vec"), threshold)
+
+
+def library(media: DataFrame, embedding: DataFrame, media_type: str | None = None, most: int = HAMMING, threshold: float = COSINE) -> DataFrame:
+    """The three stages over a library (kind, group_id, media_id), of one media type, if given. Equal content and near hashes look at visible
+    media; vectors have no such look, but a group counts only if two of its members are still media, and only those are shown."""
+    groups = of_components(by_vector(embedding, threshold, media_type))
+    there = groups.join(media.select(F.col("id").alias("media_id")), "media_id", "left_semi")
+    often = there.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("group_id")
+    stages = [("hash", exact(media, media_type=media_type)), ("phash", by_hash(media, most, media_type)), ("semantic", there.join(often, "group_id", "left_semi").select("group_id", "media_id"))]
+    return staged(stages)
 
 
 def staged(stages: list[tuple[str, DataFrame]]) -> DataFrame:

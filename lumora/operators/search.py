@@ -56,10 +56,11 @@ def top_hits(embedding: DataFrame, query: list[float], threshold: float = THRESH
     return hits.where(F.col("score") >= threshold).orderBy(F.desc("score"), "point_id").limit(limit)
 
 
-def resolve(hits: DataFrame, media: DataFrame) -> DataFrame:
-    """The visible media of hits, each with its best score (0 at least), best first."""
+def resolve(hits: DataFrame, media: DataFrame, ordered: bool = True) -> DataFrame:
+    """The visible media of hits, each with its best score (0 at least), best first (in no order where further joins follow)."""
     best = hits.groupBy("media_id").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("score"))
-    return media.where(visible()).join(best.withColumnRenamed("media_id", "id"), "id").orderBy(F.desc("score"), "id")
+    found = media.where(visible()).join(best.withColumnRenamed("media_id", "id"), "id")
+    return found.orderBy(F.desc("score"), "id") if ordered else found
 
 
 def combined(text_hits: DataFrame, image_hits: DataFrame) -> DataFrame:

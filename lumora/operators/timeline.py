@@ -22,6 +22,13 @@ def items(media: DataFrame, limit: int = LIMIT) -> DataFrame:
     return when.withColumns({"y": F.col("_ym.y"), "m": F.col("_ym.m")}).withColumn("label", month_label(F.col("y"), F.col("m"))).drop("_ym")
 
 
+def projected(found: DataFrame, faces: DataFrame) -> DataFrame:
+    """Timeline items as the client takes them: id, file_name, media_type, created_at, favorite, is_hidden, ord, y, m, label, and face_ids (each
+    once, sorted; empty if there is none). At most the timeline's limit of items meet the faces."""
+    who = faces.join(found.select(F.col("id").alias("media_id")), "media_id", "left_semi").groupBy(F.col("media_id").alias("id")).agg(F.array_sort(F.collect_set(F.col("face_id").cast("string"))).alias("face_ids"))
+    return found.join(who, "id", "left").select("id", "file_name", "media_type", "created_at", "favorite", "is_hidden", "ord", "y", "m", "label", F.coalesce("face_ids", F.array().cast("array<string>")).alias("face_ids"))
+
+
 def months(found: DataFrame, fields: list[str]) -> DataFrame:
     """One row for each month, latest first: y, m, label, n, and its items in the order in which they came."""
     row = F.struct("ord", *fields)

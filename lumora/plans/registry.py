@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.checkpoints import shared_root
+from lumora.checkpoints import shared_root, written
 from lumora.functions import labels, masks, scalar, text, vectors
-from lumora.operators import albums, detect, duplicates, graph, ingest, media, mutate, people, search, timeline, video
+from lumora.operators import albums, detect, duplicates, graph, index, ingest, media, mutate, people, search, timeline, video
 from lumora.plans.fixtures import Tables, similarity, sql
+from lumora.sources import library
 from lumora.streaming import session, watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,8 +63,8 @@ def _names(column: str, out: str):
         and exists (select 1 from media_objects o where o.media_id = m.id and contains(lower(class_name), 'a'))""",
 )
 def search_text_filtered(t: Tables) -> DataFrame:
-    hits = search.top_hits(t.embedding, t.vector(0), NEAR)
-    found = search.resolve(hits, t.media)
+    # The hits (search.TOP at most) are scored and resolved once; three branches read what was written.
+    found = written(search.resolve(search.top_hits(t.embedding, t.vector(0), NEAR), t.media, ordered=False), "hits")
     ids = found.select(F.col("id").alias("media_id"))
     rows = media.nested(found, t.objects.join(ids, "media_id", "left_semi"), t.faces.join(ids, "media_id", "left_semi"))
     kept = rows.where(search.residual(search.Filters(object="A", media_type="photo")) & F.year("created_at").between(1992, 1998))
@@ -188,9 +189,17 @@ def f20_gallery(t: Tables) -> DataFrame:
     return out
 
 
-@query("f21_screenshots", "select page_id, url from pages where regexp_matches(lower(url), 'screenshot|screen-capture|screencast|ảnh chụp màn hình') or lower(split_part(url, '/', -1)) like 'scr\\_%' escape '\\' or contains(lower(split_part(url, '/', -1)), 'screen_shot') or contains(url, 'never')")
+_SHOTS = "/library/{0}-my-SCREEN-CAPTURE.png", "/library/scr_{0}.png", "/library/x/Screen_Shot {0}.jpg", "/library/Ảnh chụp màn hình {0}.png", "/library/Screencast/{0}.mp4", "/library/described_{0}.jpg", "/scr_/{0}.png"
+
+
+@query("f21_screenshots", "with f as (select page_id, case page_id % 9 " + " ".join(f"when {k} then '{x.replace('{0}', chr(39) + ' || page_id || ' + chr(39))}'" for k, x in enumerate(_SHOTS)) + " else url end as path from pages) select page_id, path from f where regexp_matches(lower(path), 'screenshot|screen-capture|screencast|ảnh chụp màn hình') or starts_with(lower(split_part(path, '/', -1)), 'scr_') or contains(lower(split_part(path, '/', -1)), 'screen_shot')")
 def f21_screenshots(t: Tables) -> DataFrame:
-    return t.read("pages").where(timeline.screenshot(F.col("url")) | F.col("url").contains("never")).select("page_id", "url")
+    """Pages as files, some of them named as screenshots are."""
+    path = F.col("url")
+    for k, shape in enumerate(_SHOTS):
+        before, after = shape.split("{0}")
+        path = F.when(F.col("page_id") % 9 == k, F.concat(F.lit(before), F.col("page_id").cast("string"), F.lit(after))).otherwise(path)
+    return t.read("pages").select("page_id", path.alias("path")).where(timeline.screenshot(F.col("path")))
 
 
 @query("a20_counts", "select count(*) as n_media, count(*) filter (where media_type = 'video') as n_videos, count(deleted_at) as n_deleted from media")
@@ -296,8 +305,8 @@ def a10_representative(t: Tables) -> DataFrame:
     return duplicates.representatives(t.embedding).select("media_id", "point_id")
 
 
-_REPS = "reps as (select * from (select *, row_number() over (partition by media_id order by frame_idx, point_id) as r from embedding) where r = 1)"
-_COSINE = f"{_REPS}, pairs as (select a.media_id as a, b.media_id as b, max({similarity('a.vec', 'b.vec')}) as score from reps a join embedding b on a.media_id < b.media_id group by 1, 2 having max({similarity('a.vec', 'b.vec')}) >= {ALIKE})"
+_REPS = "reps as (select * from (select *, row_number() over (partition by media_id order by frame_idx, point_id) as r from embedding where source = 'image') where r = 1)"
+_COSINE = f"{_REPS}, pairs as (select a.media_id as a, b.media_id as b, max({similarity('a.vec', 'b.vec')}) as score from reps a join (select * from embedding where source = 'image') b on a.media_id < b.media_id group by 1, 2 having max({similarity('a.vec', 'b.vec')}) >= {ALIKE})"
 
 
 @query("j12_cosine_pairs", f"with {_COSINE} select a, b, round(score, 6) as score from pairs")
@@ -492,9 +501,12 @@ def s02_media_type(t: Tables) -> DataFrame:
     return t.media.select("id", scalar.media_type(F.col("file_name")).alias("media_type"))
 
 
-@query("q01_json", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
+@query("q01_json", "select l_orderkey, l_linenumber, case when l_orderkey % 5 > 0 then l_partkey end as first, case when l_orderkey % 5 > 0 then l_suppkey end as n from lineitem")
 def q01_json(t: Tables) -> DataFrame:
-    return t.read("events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    """Runs as JSON text, every fifth of them broken."""
+    text_ = F.when(F.col("l_orderkey") % 5 > 0, F.concat(F.lit("[["), F.col("l_partkey"), F.lit(", "), F.col("l_suppkey"), F.lit("], [1, 2]]"))).otherwise(F.lit("[[1, 2"))
+    runs = masks.parsed(text_)
+    return t.read("lineitem").select("l_orderkey", "l_linenumber", runs[0][0].alias("first"), runs[0][1].alias("n"))
 
 
 @query("d01_year_month", "select id, year(created_at)::int as y, month(created_at)::int as m, strftime(created_at, '%Y-%m-%dT%H:%M:%S') as at from media")
@@ -504,15 +516,22 @@ def d01_year_month(t: Tables) -> DataFrame:
     return t.media.select("id", when["y"].alias("y"), when["m"].alias("m"), iso.alias("at"))
 
 
-@query("x10_hashes", "select doc_id, sha256(coalesce(text, '')) as sha256, hex(coalesce(text, '')[1:8]) as head from documents")
+@query("x10_hashes", "select doc_id, sha256(coalesce(text, '')) as sha256, hex(coalesce(text, '')) as hex from documents")
 def x10_hashes(t: Tables) -> DataFrame:
-    whole = F.coalesce("text", F.lit(""))
-    return t.read("documents").select("doc_id", F.sha2(whole, 256).alias("sha256"), F.hex(F.encode(F.substring(whole, 1, 8), "UTF-8")).alias("head"))
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")
+    return library.with_hash(t.read("documents").select("doc_id", content)).select("doc_id", "sha256", F.hex("content").alias("hex"))
+
 
+_CLASSES = {"PROMO": " dog ", "ECONOMY": "cat", "STANDARD": "person"}
 
-@query("p07_labels", "select p_partkey, case p_type when 'PROMO' then 'PROMO' else p_type end as label, 'chó' as dog from part")
+
+@query("p07_labels", "select p_partkey, case p_type when 'PROMO' then 'chó' when 'ECONOMY' then 'mèo' when 'STANDARD' then 'người' else p_type end as label from part")
 def p07_labels(t: Tables) -> DataFrame:
-    return t.read("part").select("p_partkey", labels.display_label(F.col("p_type")).alias("label"), labels.display_label(F.lit(" dog ")).alias("dog"))
+    """Three part types stand for classes, one of them with blanks around its name; the others have no label."""
+    name = F.col("p_type")
+    for kind, class_ in _CLASSES.items():
+        name = F.when(F.col("p_type") == kind, class_).otherwise(name)
+    return t.read("part").select("p_partkey", labels.display_label(name).alias("label"))
 
 
 @query("b02_bpe")
@@ -536,9 +555,10 @@ def k12_person_merge(t: Tables) -> DataFrame:
     return people.merged(t.person, new).withColumn("conf", F.round("conf", 6))
 
 
-@query("k13_rename", "select face_id, case when face_id = 3 then 'Ada' else name end as name, conf from person")
+@query("k13_rename", "select 'person' as kind, face_id, case when face_id = 3 then 'Ada' else name end as name from person union all select 'face', face_id, case when face_id = 3 then 'Ada' else name end from media_faces")
 def k13_rename(t: Tables) -> DataFrame:
-    return people.renamed(t.person, t.faces, 3, "Ada")[0]
+    who, rows = people.renamed(t.person, t.faces, 3, "Ada")
+    return who.select(F.lit("person").alias("kind"), "face_id", "name").union(rows.select(F.lit("face"), "face_id", "name"))
 
 
 @query(
@@ -555,9 +575,10 @@ def k16_remove_face(t: Tables) -> DataFrame:
     return people.without_in(t.faces, 4, least).select("media_id", "face_no", "face_id")
 
 
-@query("k15_delete_person", "select face_id, name from person where face_id <> 6")
+@query("k15_delete_person", "select 'person' as kind, face_id, name from person where face_id <> 6 union all select 'face', face_id, name from media_faces where face_id <> 6")
 def k15_delete_person(t: Tables) -> DataFrame:
-    return people.without(t.person, t.faces, 6)[0].select("face_id", "name")
+    who, rows = people.without(t.person, t.faces, 6)
+    return who.select(F.lit("person").alias("kind"), "face_id", "name").union(rows.select(F.lit("face"), "face_id", "name"))
 
 
 @query("k17_trash_restore", f"select id, case when id in (1, 2, 3) then timestamp '{NOW}' when id in (13, 26) then null else deleted_at end as deleted_at, case when id in (7) then true else is_hidden end as is_hidden, case when id in (4, 5) then not favorite else favorite end as favorite from media")
@@ -649,7 +670,7 @@ def t02_debounce_sessions(t: Tables) -> DataFrame:
     return watch.bursts(rows, "1 hour", key="user_id").select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), "n")
 
 
-@query("t03_stream_dedup", "select distinct user_id, event_type from events")
+@query("t03_stream_dedup", "select user_id, event_type, 1::bigint as n from events group by 1, 2")
 def t03_stream_dedup(t: Tables) -> DataFrame:
     """The same distinct keys as a stream over the events' files, one batch after another, gives."""
     root = f"{shared_root(t.spark)}/lumora/stream-{uuid.uuid4().hex}"
@@ -659,7 +680,7 @@ def t03_stream_dedup(t: Tables) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
     watch.run(stream.withColumn("key", F.concat_ws("|", "user_id", "event_type")), apply, f"{root}/checkpoint", available_now=True, key="key").awaitTermination()
-    return t.spark.read.parquet(f"{root}/out").select("user_id", "event_type").distinct()
+    return t.spark.read.parquet(f"{root}/out").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- single filters and projections
@@ -708,9 +729,9 @@ def p05_thumbnails(t: Tables) -> DataFrame:
     return media.with_thumbnails(some, listing, "/thumbs/").select("id", "thumbnail")
 
 
-@query("n10_anchors", "select s as stride, r::int as row, c::int as col, (c * s)::int as x, (r * s)::int as y from (select unnest([8, 16, 32, 64]) as s), generate_series(0, 14) g(r), generate_series(0, 19) h(c) where r < ceil(120 / s) and c < ceil(160 / s)")
+@query("n10_anchors", "with sizes as (select distinct (p_size * 16)::int as width, (p_size * 12)::int as height from part), c as (select width, height, unnest([8, 16, 32, 64]) as s from sizes), r as (select *, unnest(range((height + s - 1) // s))::int as row from c), g as (select *, unnest(range((width + s - 1) // s))::int as col from r) select width, height, s as stride, row, col, col * s as x, row * s as y from g")
 def n10_anchors(t: Tables) -> DataFrame:
-    return detect.anchors(t.spark, 160, 120)
+    return detect.anchor_grid(t.read("part").select((F.col("p_size") * 16).cast("int").alias("width"), (F.col("p_size") * 12).cast("int").alias("height")).distinct())
 
 
 @query("n12_letterbox", "with s as (select p_partkey, p_size * 37 + 1 as w, p_size * 11 + 5 as h from part), r as (select *, least(640.0::double / w, 640.0::double / h) as ratio from s) select p_partkey, round(ratio, 6) as ratio, (640 - round(w * ratio)) / 2 as pad_x, (640 - round(h * ratio)) / 2 as pad_y from r")
@@ -884,3 +905,45 @@ def t07_session_leaders(t: Tables) -> DataFrame:
     found = session.session_leaders(faces).writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out")
     found.awaitTermination()
     return t.spark.read.schema("session string, id long, leader long, score double").parquet(f"{root}/out").select("session", "id", "leader", _score())
+
+
+# --- the library's three stages, the index, timeline items
+
+
+@query(
+    "j19_library",
+    f"""with recursive {_COSINE}, {_GROUPS}, printed as (select m.id, h.hash from seen m join hashes h on h.id = m.id),
+    bitlinks as (select a.id as a, b.id as b from printed a join printed b on a.id < b.id where bit_count(xor(a.hash, b.hash)) <= {BITS}),
+    bitedges as (select a, b from bitlinks union select b, a from bitlinks), bitreach as (select a as id, a as root from bitedges union select e.b, r.root from bitreach r join bitedges e on e.a = r.id),
+    first as (select 'hash' as kind, content_key as group_id, id as media_id from seen where content_key in (select content_key from seen group by 1 having count(*) > 1)),
+    second as (select 'phash' as kind, cast(min(root) as varchar) as group_id, id as media_id from bitreach group by id),
+    kept2 as (select group_id from second left join (select distinct media_id as m from first) f on f.m = media_id group by 1 having not bool_and(f.m is not null)),
+    two as (select * from first union all select * from second where group_id in (select group_id from kept2)),
+    alive as (select 'semantic' as kind, cast(root as varchar) as group_id, id as media_id from roots where id in (select id from media)),
+    third as (select * from alive where group_id in (select group_id from alive group by 1 having count(*) > 1)),
+    kept3 as (select group_id from third left join (select distinct media_id as m from two) f on f.m = media_id group by 1 having not bool_and(f.m is not null))
+    select * from two union all select * from third where group_id in (select group_id from kept3)""",
+)
+def j19_library(t: Tables) -> DataFrame:
+    """All three stages over a library whose hashes are kept as hex text."""
+    prints = t.hashes.select("id", F.lower(F.hex("hash")).alias("file_phash"))
+    return duplicates.library(t.media.join(prints, "id", "left"), t.embedding, most=BITS, threshold=ALIKE)
+
+
+@query("k10_index_pairs", f"with {_COSINE} select a, b, round(score, 6) as score from pairs")
+def k10_index_pairs(t: Tables) -> DataFrame:
+    points = t.embedding.where("source = 'image'")
+    reps = duplicates.representatives(points)
+    return index.near_pairs(reps.select(F.col("media_id").alias("id"), "vec"), points.select(F.col("media_id").alias("id"), "vec"), ALIKE).select("a", "b", _score())
+
+
+@query("k10_index_hits", f"""with s as (select point_id, media_id, {similarity("e.vec", "q.vec")} as score from embedding e, (select vec from embedding where point_id = 3) q where source = 'image') select point_id, media_id, round(score, 6) as score from s where score >= {NEAR} order by s.score desc, point_id limit 20""")
+def k10_index_hits(t: Tables) -> DataFrame:
+    found = index.built(t.embedding.select(F.col("point_id").alias("id"), "media_id", "source", "vec"))
+    return found.hits(t.vector(3), NEAR, 20, F.col("source") == "image").select(F.col("id").alias("point_id"), "media_id", _score())
+
+
+@query("p03_timeline_items", "with i as (select *, row_number() over (order by created_at desc nulls last, id) as ord from seen where processed order by created_at desc nulls last, id limit 5000) select i.id, file_name, media_type, favorite, is_hidden, ord::int as ord, coalesce((select string_agg(distinct cast(face_id as varchar), ',' order by cast(face_id as varchar)) from media_faces f where f.media_id = i.id), '') as face_ids from i")
+def p03_timeline_items(t: Tables) -> DataFrame:
+    found = timeline.projected(timeline.items(t.media), t.faces)
+    return found.select("id", "file_name", "media_type", "favorite", "is_hidden", "ord", F.array_join("face_ids", ",").alias("face_ids"))
