@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,11 +10,6 @@ IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "webp", "bmp", "tiff", "tif", "heic",
 VIDEO_EXTENSIONS = ("mp4", "mov", "avi", "mkv", "webm", "m4v", "flv", "wmv")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value evaluated once."""
-    return F.transform(F.array(value), body).getItem(0)
-
-
 # --- text
 
 

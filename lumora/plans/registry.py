@@ -356,7 +356,17 @@ def j13_nearest_reference(t: Tables) -> DataFrame:
     return graph.nearest_reference(e.where("point_id >= 50").select(F.col("point_id").alias("id"), "vec"), refs, 0.33).select("id", "ref_id", _score())
 
 
-@query("j14_leader_clusters")
+def _led(rows: str, threshold: float) -> str:
+    """Leaders by a recursive walk over each session's vectors in the order of ids; rows: session, id, vec."""
+    return f"""with recursive v as (select session, id, vec, row_number() over (partition by session order by id) as r from ({rows})),
+    walk as (select session, r, [{{'id': id, 'vec': vec}}] as kept from v where r = 1 union all
+        select w.session, v.r, case when len(list_filter(w.kept, lambda k: {similarity("k.vec", "v.vec")} > {threshold})) = 0 then list_append(w.kept, {{'id': v.id, 'vec': v.vec}}) else w.kept end from walk w join v on v.session = w.session and v.r = w.r + 1),
+    leads as (select session, unnest(kept) as k from (select session, arg_max(kept, r) as kept from walk group by 1)),
+    near as (select v.session, v.id, l.k.id as leader, {similarity("l.k.vec", "v.vec")} as score from v join leads l on l.session = v.session and l.k.id < v.id where v.id not in (select k.id from leads)),
+    led as (select session, id, arg_max(leader, score) as leader, max(score) as score from near group by 1, 2 union all select session, k.id, k.id, null from leads)"""
+
+
+@query("j14_leader_clusters", _led("select 'all' as session, point_id as id, vec from embedding", detect.FACE_LEADER) + " select id, leader, round(score, 6) as score from led")
 def j14_leader_clusters(t: Tables) -> DataFrame:
     return detect.leaders(t.embedding.select(F.col("point_id").alias("id"), "vec")).select("id", "leader", _score())
 
@@ -866,7 +876,9 @@ def v04_records(t: Tables) -> DataFrame:
     corner = [c("x") * 8, c("y") * 8, c("x") * 8 + c("w") * 5, c("y") * 8 + c("h") * 5]
     mask = F.when(F.col("obj_no") % 2 == 0, 1.0).otherwise(-1.0)
     rows = t.objects.select("media_id", F.struct("obj_no", F.array(*corner, c("conf"), c("obj_no"), mask, mask).alias("row")).alias("d"))
-    packed = rows.groupBy("media_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("d")), lambda d: d["row"])).alias("det"))
+    # Dealt by number, so that small tables' images aren't put into one task: masks cost more than their bytes tell.
+    dealt = rows.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "media_id")
+    packed = dealt.groupBy("media_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("d")), lambda d: d["row"])).alias("det"))
     ones = F.array_repeat(F.lit(1.0), 2 * 4 * 4).alias("protos")
     raw = packed.select("media_id", "det", F.lit(8).alias("det_dim"), ones, F.lit(4).alias("proto_h"), F.lit(4).alias("proto_w"), (100 + F.col("media_id") % 200).cast("int").alias("width"), (100 + F.col("media_id") % 100).cast("int").alias("height"))
     found = detect.records(raw, 0.03, 0.45)
@@ -895,7 +907,7 @@ def v05_faces(t: Tables) -> DataFrame:
     return found.select("media_id", F.round("conf", 6).alias("conf"), *[F.round(c, 4).alias(c) for c in "xywh"], F.round(F.col("landmarks")[0], 4).alias("mark"))
 
 
-@query("t07_session_leaders")
+@query("t07_session_leaders", _led("select source as session, point_id as id, vec from embedding", detect.FACE_LEADER) + " select session, id, leader, round(score, 6) as score from led")
 def t07_session_leaders(t: Tables) -> DataFrame:
     """Leaders of a stream over the vectors' files, a session a source, as keyed state."""
     root = f"{shared_root(t.spark)}/lumora/stream-{uuid.uuid4().hex}"
