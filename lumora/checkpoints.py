@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,21 +20,23 @@ def shared_root(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
-        root = "file://" + tempfile.mkdtemp(prefix="lumora-checkpoint-")
+        own = tempfile.mkdtemp(prefix="lumora-checkpoint-")
+        atexit.register(shutil.rmtree, own, True)
+        root = "file://" + own
         spark.conf.set("spark.lumora.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-#: The tables written by scratch() blocks that are open, innermost last.
-_open: list[list[str]] = []
+#: The tables written by scratch() blocks that are open, innermost last; each thread has its own.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back; lost executors cost only later stages."""
     path = f"{shared_root(df.sparkSession)}/lumora/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _open:
-        _open[-1].append(path)
+    if _open.get():
+        _open.get()[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,8 +50,10 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end what was written within: for a block whose result is itself stored elsewhere by then."""
-    _open.append([])
+    paths: list[str] = []
+    token = _open.set((*_open.get(), paths))
     try:
         yield
     finally:
-        removed(spark, _open.pop())
+        _open.reset(token)
+        removed(spark, paths)

@@ -115,3 +115,23 @@ def test_status_and_new_files(spark, tmp_path):
         assert wait("error") == "error" and "out of order" in status.message
     finally:
         spark.streams.removeListener(status)
+
+
+def test_scratch_tables_go_and_threads_keep_apart(spark):
+    """A block deletes what it wrote, an inner one its own first; what another thread writes meanwhile stays."""
+    import threading
+
+    from lumora.checkpoints import scratch, written
+
+    there = lambda df: spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rpartition("/")[0])
+    exists = lambda path: path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    made = {}
+    with scratch(spark):
+        made["outer"] = there(written(spark.range(1).toDF("a"), "t"))
+        with scratch(spark):
+            made["inner"] = there(written(spark.range(1).toDF("a"), "t"))
+            other = threading.Thread(target=lambda: made.update(other=there(written(spark.range(1).toDF("a"), "t"))))
+            other.start()
+            other.join()
+        assert [exists(made[k]) for k in ("outer", "inner", "other")] == [True, False, True]
+    assert [exists(made[k]) for k in ("outer", "inner", "other")] == [False, False, True]
