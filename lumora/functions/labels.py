@@ -98,7 +98,7 @@ def display_label(name: Column) -> Column:
 
 def class_name(df: DataFrame, names: DataFrame, number: str = "class_no") -> DataFrame:
     """df with the detector's class names (a table number, name); a number without a name is cls_<number>."""
-    return df.join(F.broadcast(names.select(F.col("number").alias(number), F.col("name").alias("_name"))), number, "left").withColumn("class_name", F.coalesce("_name", F.concat(F.lit("cls_"), F.col(number).cast("string")))).drop("_name")
+    return df.join(names.select(F.col("number").alias(number), F.col("name").alias("_name")), number, "left").withColumn("class_name", F.coalesce("_name", F.concat(F.lit("cls_"), F.col(number).cast("string")))).drop("_name")
 
 
 #: Classes that a model without a readable dictionary has.
