@@ -5,8 +5,9 @@ where words begin and end) are hashed into rows of an embedding table. The mean
 softmax. Both layers are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows. As
 both are linear, prediction adds up one row of class scores for each n-gram.
 
-Rejection is calibrated: a temperature is fitted to held-back rows of the sample, and a text is rejected if it has no
-letter, or if its probability is below the level that all but REJECT of the short held-back snippets reach.
+Rejection is calibrated on held-back rows of the sample, each taken whole and as a short snippet from anywhere in it: a
+temperature is fitted to both, and a text is rejected if it has no letter, or if its probability is below the level that all but
+REJECT of the held-back texts, and of their snippets, reach.
 
 Defined results: null text, empty text and text without a letter give `und`, score 0, rejected. Repeated rows each
 give a row, equal texts equal results. Without a labelled row there is no language, and all is `und`. Ties go to the
@@ -28,13 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumora.llm.common import bounded, remainder, trained, written
+from lumora.llm.common import bounded, parts, remainder, trained, written
 
 #: Rows of the embedding table, and its width.
 BUCKETS, WIDTH = 1 << 16, 16
-#: Bounds of what is learnt from: labelled rows, their bytes of text, and a training snippet's n-grams.
-SAMPLE, SAMPLE_BYTES, SNIPPET = 5000, 64 << 20, 600
-#: Share of held-back snippets that may fall below the rejection level.
+#: Bounds of what is learnt from: labelled rows, and their bytes of text.
+SAMPLE, SAMPLE_BYTES = 5000, 64 << 20
+#: Share of held-back texts, and of their snippets, that may fall below the rejection level.
 REJECT = 0.001
 UNKNOWN = "und"
 #: Bytes that are worked on at once.
@@ -101,13 +102,21 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def _features(text: bytes) -> np.ndarray:
-    return grams(np.frombuffer(b"   " + text + b"      ", np.uint8)).ravel()
+def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams, each once, and the share of the n-grams that fall there."""
+    text = b"   " + text + b"      "
+    found = [np.unique(grams(np.frombuffer(text[lo : lo + PIECE + 3], np.uint8)), return_counts=True) for lo in range(0, len(text) - 3, PIECE)]
+    if len(found) == 1:
+        buckets, times = found[0]
+    else:
+        total = sum(np.bincount(b, n, BUCKETS) for b, n in found)
+        buckets = np.flatnonzero(total)
+        times = total[buckets]
+    return buckets, (times / times.sum()).astype(np.float32)
 
 
 def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 2.0, seed: int = 7) -> Model:
-    """Trains on texts and on short snippets of them, by SNIPPET n-grams of each at most, drawn evenly; a tenth of the rows is held
-    back for calibration."""
+    """Trains on whole texts and on short snippets of them, by all their n-grams; a tenth of the rows is held back for calibration."""
     names = sorted(set(langs))
     if not names:
         return Model()
@@ -120,40 +129,34 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 2.0,
     table = rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     weights, bias = rng.normal(0, 0.3, (WIDTH, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
 
-    def snippet(t: bytes) -> np.ndarray:
-        if len(t) > 40 and rng.random() < 0.7:
-            size = int(rng.integers(20, 400))
-            lo = int(rng.integers(0, max(1, len(t) - size)))
-            t = t[lo : lo + size]
-        f = _features(t)
-        return f if len(f) <= SNIPPET else rng.choice(f, SNIPPET, replace=False)
+    def snippet(t: bytes, least: int, most: int) -> bytes:
+        size = int(rng.integers(least, most))
+        lo = int(rng.integers(0, max(1, len(t) - size)))
+        return t[lo : lo + size]
 
     steps = max(1, epochs * len(train) // 64, 300 if train else 1)
     for step in range(steps if train else 0):
         picked = [train[k % len(train)] for k in range(step * 64, step * 64 + 64)]
-        feats = [snippet(data[i]) for i in picked]
-        lens = np.array([len(f) for f in feats])
-        flat = np.concatenate(feats)
-        at = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        mean = np.add.reduceat(table[flat], at, axis=0) / lens[:, None]
+        feats = [counted(snippet(data[i], 20, 400) if len(data[i]) > 40 and rng.random() < 0.7 else data[i]) for i in picked]
+        mean = np.stack([part @ table[buckets] for buckets, part in feats])
         grad = softmax(mean @ weights + bias)
         grad[np.arange(64), y[picked]] -= 1
         now = rate * (1 - step / steps)
-        back_to = grad @ weights.T / lens[:, None]
+        back_to = (now * grad @ weights.T).astype(np.float32)
         weights -= now / 64 * (mean.T @ grad)
         bias -= now / 64 * grad.sum(0)
-        np.subtract.at(table, flat, (now * np.repeat(back_to, lens, axis=0)).astype(np.float32))
+        for (buckets, part), change in zip(feats, back_to, strict=True):
+            table[buckets] -= part[:, None] * change
     model = Model(names, table @ weights, bias)
     held = [i for i in sorted(back) if _clean(texts[i]).strip()]
     if held:
-        short = [data[i][: int(rng.integers(15, 200))] for i in held]
-        total, count = sums(short, model.scores)
+        total, count = sums([data[i] for i in held] + [snippet(data[i], 15, 200) for i in held], model.scores)
         logits = total / count[:, None] + bias
         spread = np.geomspace(0.05, 20, 60)
-        loss = [-np.log(softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in spread]
+        loss = [-np.log(softmax(logits / t)[np.arange(2 * len(held)), y[held + held]] + 1e-12).mean() for t in spread]
         model.temperature = float(spread[int(np.argmin(loss))])
         best = softmax(logits / model.temperature).max(axis=1)
-        model.level = float(min(0.5, np.quantile(best, REJECT)))
+        model.level = float(min(0.5, np.quantile(best.reshape(2, -1), REJECT, axis=1).min()))
     return model
 
 
@@ -176,23 +179,21 @@ def predict(df: DataFrame, model: Model, text: str = "text", prefix: str = "") -
     arrow, column = to_arrow_schema(schema), df.columns.index(text)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in found:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                texts = batch.column(column)
-                letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-                n = batch.num_rows
-                lang, score, rejected = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
-                if model.langs and letters.any():
-                    at = np.flatnonzero(letters)
-                    picked = [_clean(t) for t in texts.take(pa.array(at)).to_pylist()]
-                    total, count = sums(picked, model.scores)
-                    p = softmax((total / count[:, None] + model.bias) / model.temperature)
-                    best = p.argmax(axis=1)
-                    for k, b in zip(at, best, strict=True):
-                        lang[k] = model.langs[b]
-                    score[at] = p.max(axis=1)
-                    rejected[at] = score[at] < model.level
-                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)), pa.array(lang), pa.array(score), pa.array(rejected)], schema=arrow)
+        for batch in parts(found, text):
+            texts = batch.column(column)
+            letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            n = batch.num_rows
+            lang, score, rejected = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
+            if model.langs and letters.any():
+                at = np.flatnonzero(letters)
+                picked = [_clean(t) for t in texts.take(pa.array(at)).to_pylist()]
+                total, count = sums(picked, model.scores)
+                p = softmax((total / count[:, None] + model.bias) / model.temperature)
+                best = p.argmax(axis=1)
+                for k, b in zip(at, best, strict=True):
+                    lang[k] = model.langs[b]
+                score[at] = p.max(axis=1)
+                rejected[at] = score[at] < model.level
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)), pa.array(lang), pa.array(score), pa.array(rejected)], schema=arrow)
 
     return df.mapInArrow(run, schema)
