@@ -9,33 +9,34 @@ share more for all unknown words.
 1. Documents are gathered in blocks of bounded size that hold each distinct word once (one pass over the texts).
 2. The exact counts of all words over the training rows are summed by word, and each block gets those of its words back.
 3. Baum-Welch: scaled forward and backward recursions over whole training rows, in batches of rows of like length, with
-   expected counts summed across partitions. The first rounds each take a different share of the blocks, which grows
-   with the corpus; then ROUNDS rounds take all. Rows longer than CHUNK go by chunks: the forward values at the chunks' edges
+   expected counts summed across partitions. At every size WARM_ROUNDS rounds each take another one in SHARE of every block's
+   rows; then ROUNDS rounds take all. Rows longer than CHUNK go by chunks: the forward values at the chunks' edges
    are kept, and the backward pass makes each chunk's own anew, so that memory is bounded and no chain is cut.
 4. The scaled forward recursion gives the exact likelihood of each whole text.
 
 Defined results: null text counts as empty, one token (the end). Repeated rows each give a row. Rows whose doc_id is null
 count as those whose id is empty text. An empty table gives no row. Without training rows all counts are 0 and the states
 are those of the start. Texts of any length are learnt from and scored whole. Words of equal counts are ranked by their
-bytes. Other columns than the two named are ignored, whatever their names.
+bytes. Words over LONGEST bytes stand by their beginning and their SHA-256 wherever the driver holds words. Other columns than the two named are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.common import Interner, remainder, texts_of, written
+from lumora.llm.common import Interner, parts, remainder, texts_of, written
 
-#: States, single-word classes, shared classes, and the longest word (bytes) that can be a class of its own.
+#: States, single-word classes, shared classes, and the longest word (bytes) that stands for itself.
 STATES, TOP, BUCKETS, LONGEST = 8, 2048, 2048, 64
-#: Rounds over all training rows; rounds before, each over one block in SHARE.
+#: Rounds over all training rows; rounds before, each over one row in SHARE.
 ROUNDS, WARM_ROUNDS, SHARE = 2, 6, 16
 #: Bytes of text in a block; time steps in a chunk, and tokens in a batch of the recursions and of their input.
 BLOCK_BYTES, CHUNK, BATCH, GRID = 8 << 20, 512, 1 << 17, 1 << 21
@@ -48,6 +49,16 @@ class Model:
     emit: np.ndarray  # (states, classes)
 
 
+def name_of(word: bytes) -> bytes:
+    """What stands for a word in a table of classes: itself, or, as words can be as long as texts, its beginning and its hash (no
+    shorter word is that long)."""
+    return word if len(word) <= LONGEST else word[:LONGEST] + hashlib.sha256(word).digest()
+
+
+def _name(word: str = "word") -> Column:
+    return F.when(F.octet_length(word) <= LONGEST, F.col(word)).otherwise(F.concat(F.substring(word, 1, LONGEST), F.unhex(F.sha2(word, 256))))
+
+
 def tokens(text: str) -> list[bytes]:
     """The words; bytes.lower() and bytes.split() know ASCII only."""
     return text.encode("utf-8").lower().split()
@@ -89,7 +100,7 @@ def _pack(limit: int):
             row = [[part << 32 | number], [ids], [out.tobytes()], [np.array(block.lens, np.int32).tobytes()], [_packed(place[index])], [[words[k] for k in order.tolist()]], [counts[order]]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema, strict=True)], schema=schema)
 
-        for batch in (whole.slice(lo, 500) for whole in found for lo in range(0, whole.num_rows, 500)):
+        for batch in parts(found, "text", 500):
             for key, text, out in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 block.add(tokens(text), len(text))
                 ids.append(key)
@@ -207,7 +218,9 @@ class Classes:
     def of(self, words: list[bytes]) -> np.ndarray:
         single, n, crc = self.single, len(self.single), zlib.crc32
         out = np.empty(len(words) + 1, np.int64)
-        out[:-1] = [single[w] if w in single else n + crc(w) % self.buckets for w in words]
+        out[:-1] = [single.get(w if len(w) <= LONGEST else name_of(w), -1) for w in words]
+        for k in np.flatnonzero(out[:-1] < 0).tolist():
+            out[k] = n + crc(words[k]) % self.buckets
         out[-1] = self.end
         return out
 
@@ -218,7 +231,13 @@ def _sequences(index: np.ndarray, lens: np.ndarray, classes: np.ndarray, rows: n
     return [np.append(classes[index[at[r] : at[r + 1]]], classes[-1]) for r in rows]
 
 
-def _statistics(model: Model, classes: Classes):
+def in_round(rows: np.ndarray, block: int, turn: int | None) -> np.ndarray:
+    """The rows of a block that a round learns from: all, or, in the rounds before, one in SHARE, counted from another row in each
+    block."""
+    return rows if turn is None else rows[(rows + block + (block >> 32)) % SHARE == turn % SHARE]
+
+
+def _statistics(model: Model, classes: Classes, turn: int | None):
     states, size = model.emit.shape
     schema = pa.schema([("number", pa.int32()), ("sums", pa.list_(pa.float64()))])
 
@@ -227,8 +246,17 @@ def _statistics(model: Model, classes: Classes):
         for batch in found:
             for k in range(batch.num_rows):
                 held, lens = (np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in ((0, bool), (1, np.int32)))
-                index = _unpacked(batch.column(2)[k].as_py())
-                seqs = _sequences(index, lens, classes.of(batch.column(3)[k].as_py()), np.flatnonzero(~held))
+                rows = in_round(np.flatnonzero(~held), batch.column(4)[k].as_py(), turn)
+                if not len(rows):
+                    continue
+                # Only the words of these rows are looked up.
+                at, words = np.concatenate([[0], np.cumsum(lens)]), batch.column(3)[k].values
+                index, picked = _unpacked(batch.column(2)[k].as_py()), np.zeros(len(words), bool)
+                for r in rows.tolist():
+                    picked[index[at[r] : at[r + 1]]] = True
+                number = np.full(len(words) + 1, classes.end, np.int64)
+                number[:-1][picked] = classes.of(words.filter(pa.array(picked)).to_pylist())[:-1]
+                seqs = _sequences(index, lens, number, rows)
                 for rows in _batches(np.array([len(s) for s in seqs], np.int64)):
                     a, b, c, d = expected(model, *_grid(seqs, rows))
                     start, moves, emits, logs = start + a, moves + b, emits + c, logs + d
@@ -248,12 +276,12 @@ def _added(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.list_(pa.float64()))], names=["number", "sums"])
 
 
-def train_round(blocks: DataFrame, model: Model, classes: Classes, base: np.ndarray) -> tuple[Model, float]:
-    """One round of Baum-Welch over the blocks' training rows; the sums of a partition are one row for each state. Blocks without
+def train_round(blocks: DataFrame, model: Model, classes: Classes, base: np.ndarray, turn: int | None = None) -> tuple[Model, float]:
+    """One round of Baum-Welch over the blocks' training rows, or over one in SHARE of them (another one each turn); the sums of a partition are one row for each state. Blocks without
     a training row leave the model as it is."""
     states = len(model.start)
     schema = "number int, sums array<double>"
-    sums = blocks.select("held", "lens", "index", "words").mapInArrow(_statistics(model, classes), schema)
+    sums = blocks.select("held", "lens", "index", "words", "block").mapInArrow(_statistics(model, classes, turn), schema)
     # Two levels, so that no task reads every partition's sums of a state unless there are few.
     some = sums.withColumn("part", F.spark_partition_id() % 16).repartition(16 * states, "number", "part").select("number", "sums").mapInArrow(_added, schema)
     got = some.repartition(states, "number").mapInArrow(_added, schema).collect()
@@ -307,11 +335,11 @@ def score_documents(docs: DataFrame, fold: int = 1) -> DataFrame:
     totals = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     ends = rows.where(~F.col("held")).count()
     total, distinct = int(totals[0] or 0) + ends, int(totals[1]) + (ends > 0)
-    top = {bytes(r["word"]): r["c"] for r in counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(TOP).collect()}
+    top = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(TOP).select(_name().alias("word"), "c").collect()}
     classes = Classes(sorted(top), BUCKETS)
     # Counts by shared class: at most BUCKETS rows.
-    singles = spark.createDataFrame([(w,) for w in top], "word binary")
-    shared = counts.join(F.broadcast(singles), "word", "left_anti").groupBy((F.crc32("word") % BUCKETS).cast("int").alias("bucket")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
+    singles = spark.createDataFrame([(w,) for w in top], "name binary")
+    shared = counts.withColumn("name", _name()).join(F.broadcast(singles), "name", "left_anti").groupBy((F.crc32("word") % BUCKETS).cast("int").alias("bucket")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
     class_tokens, class_words = np.zeros(classes.size), np.zeros(classes.size)
     for r in shared:
         class_tokens[len(top) + r["bucket"]], class_words[len(top) + r["bucket"]] = r["c"], r["v"]
@@ -321,15 +349,14 @@ def score_documents(docs: DataFrame, fold: int = 1) -> DataFrame:
     shares[classes.end] = ends
     base = (shares + 0.5) / (shares + 0.5).sum()
     model = first_model(base)
-    share = max(1, min(SHARE, blocks.count() // 2))
     for k in range(WARM_ROUNDS if ends else 0):
-        model, _ = train_round(blocks.where((F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit((1 << 32) - 1))) % share == k % share), model, classes, base)
+        model, _ = train_round(blocks, model, classes, base, k)
     for _ in range(ROUNDS if ends else 0):
         model, _ = train_round(blocks, model, classes, base)
     # Each block gets its words' counts and classes back; the words themselves stay behind.
     # TOP words' counts are broadcast, so that only rarer words meet theirs by a shuffle.
-    single = spark.createDataFrame([(w, k, top[w]) for w, k in classes.single.items()], "word binary, single int, often long")
-    marked = by_word.select("block", "at", "word").join(F.broadcast(single), "word", "left")
+    single = spark.createDataFrame([(w, k, top[w]) for w, k in classes.single.items()], "name binary, single int, often long")
+    marked = by_word.select("block", "at", "word", _name().alias("name")).join(F.broadcast(single), "name", "left").drop("name")
     frequent = marked.where("single is not null").select("block", F.struct("at", F.col("often").alias("c"), F.col("single").alias("cls")).alias("x"))
     shared_cls = (F.lit(len(top)) + F.crc32("word") % BUCKETS).cast("int")
     rare = marked.where("single is null").join(counts, "word", "left").select("block", F.struct("at", F.coalesce("c", F.lit(0)).alias("c"), shared_cls.alias("cls")).alias("x"))
