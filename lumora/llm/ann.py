@@ -98,11 +98,8 @@ class Graph:
 
     def search(self, q: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
         """For unit vectors q: the numbers of the `want` nearest centroids found, nearest first, and their cosines."""
-        n, beam = len(self.centre), min(len(self.centre), max(want, BEAM))
-        if n <= 4 * beam:  # everything would be visited
-            s = q @ self.centre.T
-            at = np.argsort(-s, axis=1, kind="stable")[:, : min(want, n)]
-            return at, np.take_along_axis(s, at, axis=1)
+        n = len(self.centre)
+        want, beam = min(want, n), min(n, max(want, BEAM))
         rows = np.arange(len(q))[:, None]
         seen = np.zeros((len(q), n), bool)
         at = np.tile(self.entries, (len(q), 1))
@@ -126,6 +123,13 @@ class Graph:
         return at[:, :want], s[:, :want]
 
 
+def ordered(q: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a bounded number of unit vectors q: all centroids, nearest first, and their cosines."""
+    s = q @ centre.T
+    at = np.argsort(-s, axis=1, kind="stable")
+    return at, np.take_along_axis(s, at, axis=1)
+
+
 def _distance(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * cosine))
 
@@ -203,7 +207,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id",
     probes = sample.slice(0, 0) if not len(sample) else sample.take(pa.array(np.unique(np.linspace(0, len(sample) - 1, min(PROBES, len(sample))).astype(np.int64))))
     asked = _vectors(probes.column("vec").combine_chunks())
     best = classes.mapInArrow(_exact(asked, k + 1), "query long, id long, vec array<double>, score double").withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k + 1).select("query", "id", "vec").toArrow()
-    lists, cos = graph.search(_unit(asked).astype(np.float32), len(centre))
+    lists, cos = ordered(_unit(asked).astype(np.float32), centre)
     d = _distance(cos)
     own = probes.column("id").to_numpy()
     place = np.empty((len(asked), len(centre) + 1), np.int64)
