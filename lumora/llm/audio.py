@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lumora.llm.common import parts
+
 #: A payload's length is a positive multiple of this.
 BLOCK = 64
 #: Samples a second as stored and as analysed; frame, hop and transform in samples; mel bands; frames in a tensor.
@@ -171,16 +173,15 @@ def extract(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     arrow = to_arrow_schema(schema)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in found:
-            for lo in range(0, whole.num_rows, 256):
-                batch, rows = whole.slice(lo, 256), []
-                for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    media = to_wav(payload_of(t))
-                    tensors, spans, parts = features(media)
-                    _, begin, end = from_wav(media)
-                    as_dicts = lambda x: [{"begin": a, "end": b} for a, b in x]
-                    rows.append((doc, len((t or "").encode("utf-8")), media, begin, end - begin, as_stored(tensors, spans), as_dicts(spans), as_dicts(parts)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+        for batch in parts(found, text, 256):
+            rows = []
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                media = to_wav(payload_of(t))
+                tensors, spans, segments = features(media)
+                _, begin, end = from_wav(media)
+                as_dicts = lambda x: [{"begin": a, "end": b} for a, b in x]
+                rows.append((doc, len((t or "").encode("utf-8")), media, begin, end - begin, as_stored(tensors, spans), as_dicts(spans), as_dicts(segments)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     return df.select(key, text).mapInArrow(run, schema)
 

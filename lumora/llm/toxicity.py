@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumora.llm.common import bounded, remainder, texts_of, trained, written
+from lumora.llm.common import bounded, parts, remainder, texts_of, trained, written
 
 #: Labelled rows of either class that are learnt from, at most, and their bytes of text in all.
 SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
@@ -303,7 +303,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", prefix: str = "") -
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, w, n = Finder(model.terms), model.weights, len(model.terms)
-        for batch in found:
+        for batch in parts(found, text):
             score = np.array([model.bias + sum(w[k] for k in find(t)) + float(w[n:] @ patterns(t)) for t in texts_of(batch.column(column))])
             score = 1 / (1 + np.exp(-np.clip(score, -40, 40)))
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)), pa.array(score, pa.float64()), pa.array(score >= 0.5).cast(pa.int32())], schema=arrow)

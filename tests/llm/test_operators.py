@@ -274,6 +274,33 @@ def test_toxicity_sample_is_bounded_and_settled(spark, monkeypatch):
     assert 0 < toxicity.bounded(sample, 2000).count() < 60 == toxicity.bounded(sample, 1 << 20).count()
 
 
+def test_toxicity_scores_are_brute_force(spark, docs, corpus):
+    """A trained model's scores, out of terms that are looked for one by one and patterns that are counted character by character."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = toxicity.train(corpus, labels)
+    hard = "zzqx zzqxbad ZZQX zzqxx! a$b#c\nzzqx\nzzqx\n" * 3 + "yzzqx"
+    model.terms += [("zzqx", True, 1), ("zzqx", False, 3), ("zzqx", False, 99), ("zzqxb", False, 1), ("yzzqx", True, 1)]
+    model.weights = np.concatenate([model.weights[: -toxicity.PATTERNS], [0.5, 0.25, 4.0, -0.125, 1.5], model.weights[-toxicity.PATTERNS :] + 0.1])
+    both = docs.select("doc_id", "text").union(corpus.select(F.col("doc_id") + 1000, "text")).union(spark.createDataFrame([(900, hard), (901, "bad" + hard[:9])], "doc_id long, text string"))
+
+    def plain(text):
+        words = []
+        for c in text.lower():  # runs of letters
+            if c.isalpha():
+                words = [*words[:-1], words[-1] + c] if words and words[-1] else [*words, c]
+            elif words and words[-1]:
+                words.append("")
+        n, lines = max(1, len(text)), text.split("\n")
+        shares = [sum("A" <= c <= "Z" for c in text) / n, min(1, 20 * sum(c == "!" for c in text) / n), min(1, 5 * sum(c in "#$%&*" for c in text) / n), 1 - len(set(lines)) / len(lines)]
+        there = [sum(w == term if whole else w.startswith(term) for w in words) >= least for term, whole, least in model.terms]
+        x = model.bias + sum(w for w, t in zip(model.weights, there, strict=False) if t) + sum(w * v for w, v in zip(model.weights[len(there) :], shares, strict=True))
+        return 1 / (1 + math.exp(-min(40, max(-40, x))))
+
+    out = toxicity.predict(both, model).collect()
+    assert len(out) == len(HARD) + corpus.count() + 2
+    assert all(r.score == pytest.approx(plain(r.text or ""), abs=1e-12) and r.predicted == (r.score >= 0.5) for r in out)
+
+
 def test_results_replace_columns_of_their_names(spark, docs, corpus):
     clash = docs.withColumns({c: F.lit("old") for c in ("predicted", "lang_pred", "rejected")})
     model = langid.train(corpus)
@@ -299,6 +326,51 @@ def test_langid_hard_inputs(spark, docs, corpus):
     assert langid.sums([langid._clean(long)], model.scores)[1][0] > 2 * len(long)
 
 
+def test_langid_scores_are_brute_force(spark, docs, corpus):
+    """A trained model's probabilities, out of n-grams that are hashed one by one by plain numbers."""
+    model = langid.train(corpus)
+    cut = lambda x: x & 0xFFFFFFFF
+
+    def plain(text):
+        data = [32] * 3 + [c if 97 <= c <= 122 or c >= 128 else 32 for c in text.lower().encode()] + [32] * 6
+        total, count = np.zeros(len(model.langs)), 0
+        for k in range(len(data) - 3):
+            three = cut(data[k] * 0x9E3779B1 + data[k + 1] * 0x85EBCA77 + data[k + 2] * 0xC2B2AE3D)
+            four = cut(cut((three ^ three >> 15) * 0x27D4EB2F) + data[k + 3] * 0x165667B1)
+            total += model.scores[cut((three ^ three >> 13) * 0x2545F491) >> 16].astype(float) + model.scores[cut(four * 0x9E3779B1) >> 16]
+            count += 2
+        p = np.exp((total / count + model.bias) / model.temperature)
+        return p / p.sum()
+
+    both = docs.select("doc_id", "text").union(corpus.select(F.col("doc_id") + 1000, "text").limit(60))
+    for r in langid.predict(both, model, prefix="p_").collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.p_lang_pred, r.p_score, r.p_rejected) == ("und", 0, True)
+            continue
+        p = plain(r.text)
+        assert r.p_score == pytest.approx(p.max(), abs=1e-5) and p[model.langs.index(r.p_lang_pred)] == pytest.approx(p.max(), abs=1e-5)
+        assert r.p_rejected == (r.p_score < model.level)
+
+
+def test_langid_learns_from_whole_texts():
+    """What tells two languages apart stands at the texts' ends only, behind more n-grams than were once drawn of a text."""
+    same = "lorem ipsum dolor sit amet " * 40
+    texts = [same + ("xqzw vkjy " if k % 2 else "ghbt pfrm ") * 30 for k in range(200)]
+    model = langid.fit(texts, ["bb" if k % 2 else "aa" for k in range(200)])
+    total, count = langid.sums([langid._clean(t) for t in texts[:20]], model.scores)
+    assert [model.langs[k] for k in (total / count[:, None] + model.bias).argmax(axis=1)] == ["aa", "bb"] * 10
+    assert 0 < model.level <= 0.5
+
+
+def test_counted_is_every_n_gram(monkeypatch):
+    text = b"the quick brown fox " * 50
+    want = collections.Counter(langid.grams(np.frombuffer(b"   " + text + b"      ", np.uint8)).ravel().tolist())
+    for piece in (1 << 20, 64):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        buckets, share = langid.counted(text)
+        assert dict(zip(buckets.tolist(), np.round(share * sum(want.values())).astype(int).tolist(), strict=True)) == want
+
+
 # --- nearest neighbours
 
 
@@ -346,6 +418,18 @@ def test_centroid_graph_finds_the_nearest():
 # --- language model
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 16, 47, 192])
+def test_centroid_graph_at_small_sizes(n):
+    """The graph is searched at every size; as long as its beam holds all centroids, what it finds is exact."""
+    rng = np.random.default_rng(n)
+    c, q = (ann._unit(rng.normal(size=(k, 12))).astype(np.float32) for k in (n, 30))
+    at, s = ann.Graph(c).search(q, 5)
+    want, cos = ann.ordered(q, c)
+    assert at.shape == s.shape == (30, min(n, 5)) and np.allclose(s, np.take_along_axis(q @ c.T, at, axis=1), atol=1e-6)
+    assert (at == want[:, :5]).all() if n <= ann.BEAM else (at == want[:, :5]).mean() > 0.95
+    assert ann.Graph(c).search(q[:0], 5)[0].shape[0] == 0
+
+
 def test_hmm_forward_and_counts_are_brute_force():
     import itertools
 
@@ -405,6 +489,33 @@ def test_hmm_training_takes_more_of_a_larger_corpus(spark, corpus, monkeypatch):
     assert seen[n - 1] * 2 == seen[-1] == twice.count() and 1.5 * sum(seen[: n - 2]) < sum(seen[n:-2])
 
 
+def test_hmm_rounds_share_rows_alike_at_every_size():
+    """Each row is learnt from in one of SHARE turns, whatever the number of blocks and their size, and in each whole round."""
+    for sizes in ([3], [100], [1] * 40, [1000, 7, 16]):
+        turns = collections.Counter()
+        for part, n in enumerate(sizes):
+            rows, block = np.arange(n), part << 32 | part % 3
+            assert (hmm.in_round(rows, block, None) == rows).all()
+            shares = [hmm.in_round(rows, block, k) for k in range(hmm.SHARE)]
+            assert sorted(np.concatenate(shares).tolist()) == rows.tolist()
+            turns.update({k: len(x) for k, x in enumerate(shares)})
+        assert max(turns.values()) - min(turns.values()) <= len(sizes)
+
+
+def test_hmm_long_words_are_classes_of_their_own(spark, monkeypatch):
+    seen, scored = {}, hmm._scored
+    monkeypatch.setattr(hmm, "_scored", lambda *x: seen.setdefault("args", x) and scored(*x))
+    monkeypatch.setattr(hmm, "TOP", 3)
+    long, other = "w" * 64 + "x" * 100_000, "w" * 64 + "y" * 65
+    df = spark.createDataFrame([(k, f"{long} {other} a {long} b{k}") for k in range(40)], "doc_id long, text string")
+    out = hmm.score_documents(df).collect()
+    classes = seen["args"][1]
+    assert set(classes.single) == {hmm.name_of(long.encode()), hmm.name_of(other.encode()), b"a"} and all(len(w) <= 96 for w in classes.single)
+    own = [classes.single[hmm.name_of(w.encode())] for w in (long, other)]
+    assert classes.of([long.encode(), other.encode(), b"zz"]).tolist()[:2] == own and classes.of([b"w" * 64 + b"z" * 9])[0] >= 3
+    assert len(out) == 40 and all(r.n_known >= 5 and math.isfinite(r.score) for r in out)
+
+
 def test_hmm_documents(spark, docs, corpus):
     both = docs.select("doc_id", "text").union(corpus.select(F.col("doc_id") + 1000, "text"))
     rows = both.collect()
