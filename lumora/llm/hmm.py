@@ -9,8 +9,8 @@ share more for all unknown words.
 1. Documents are gathered in blocks of bounded size that hold each distinct word once (one pass over the texts).
 2. The exact counts of all words over the training rows are summed by word, and each block gets those of its words back.
 3. Baum-Welch: scaled forward and backward recursions over whole training rows, in batches of rows of like length, with
-   expected counts summed across partitions. At every size WARM_ROUNDS rounds each take another one in SHARE of every block's
-   rows; then ROUNDS rounds take all. Rows longer than CHUNK go by chunks: the forward values at the chunks' edges
+   expected counts summed across partitions. Words become classes once, in a table that the rounds read. At every size
+   WARM_ROUNDS rounds each take another one in SHARE of every block's rows; then ROUNDS rounds take all. Rows longer than CHUNK go by chunks: the forward values at the chunks' edges
    are kept, and the backward pass makes each chunk's own anew, so that memory is bounded and no chain is cut.
 4. The scaled forward recursion gives the exact likelihood of each whole text.
 
@@ -64,18 +64,18 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()
 
 
-def _packed(index: np.ndarray) -> bytes:
-    """Numbers as compressed planes of bytes: the high ones, mostly zero, take next to nothing."""
+def _packed(index: np.ndarray, width: int = 4) -> bytes:
+    """Numbers of `width` bytes as compressed planes of bytes: the high ones, mostly zero, take next to nothing."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(index.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(index.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes())
 
 
-def _unpacked(data: bytes) -> np.ndarray:
+def _unpacked(data: bytes, width: int = 4) -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
 
 
 def _pack(limit: int):
@@ -213,14 +213,17 @@ class Classes:
 
     def __init__(self, top: list[bytes], buckets: int = BUCKETS):
         self.single, self.buckets = {w: k for k, w in enumerate(top)}, buckets
+        self.long = any(len(w) > LONGEST for w in top)
         self.end, self.size = len(top) + buckets, len(top) + buckets + 1
 
     def of(self, words: list[bytes]) -> np.ndarray:
         single, n, crc = self.single, len(self.single), zlib.crc32
         out = np.empty(len(words) + 1, np.int64)
-        out[:-1] = [single.get(w if len(w) <= LONGEST else name_of(w), -1) for w in words]
-        for k in np.flatnonzero(out[:-1] < 0).tolist():
-            out[k] = n + crc(words[k]) % self.buckets
+        out[:-1] = [single[w] if w in single else n + crc(w) % self.buckets for w in words]
+        if self.long:
+            for k, w in enumerate(words):
+                if len(w) > LONGEST and name_of(w) in single:
+                    out[k] = single[name_of(w)]
         out[-1] = self.end
         return out
 
@@ -237,29 +240,53 @@ def in_round(rows: np.ndarray, block: int, turn: int | None) -> np.ndarray:
     return rows if turn is None else rows[(rows + block + (block >> 32)) % SHARE == turn % SHARE]
 
 
-def _statistics(model: Model, classes: Classes, turn: int | None):
+def _classed(classes: Classes):
+    """Blocks to the rows of each turn: their ids, and the training rows' tokens as classes, each row with its end."""
+    schema = pa.schema([("turn", pa.int32()), ("ids", pa.list_(pa.int64())), ("lens", pa.binary()), ("seqs", pa.binary())])
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for k in range(batch.num_rows):
+                ids, block = batch.column(1)[k].values, batch.column(0)[k].as_py()
+                held, lens = (np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in ((2, bool), (3, np.int32)))
+                index, number = _unpacked(batch.column(4)[k].as_py()), classes.of(batch.column(5)[k].as_py())
+                out = []
+                for turn in range(SHARE):
+                    rows = in_round(np.arange(len(lens)), block, turn)
+                    seqs = _sequences(index, lens, number, rows[~held[rows]])
+                    if len(rows):
+                        flat = np.concatenate([np.zeros(0, np.int64), *seqs])
+                        out.append((turn, ids.take(pa.array(rows)).to_pylist(), np.array([len(s) for s in seqs], np.int32).tobytes(), _packed(flat, 2)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _statistics(model: Model):
     states, size = model.emit.shape
     schema = pa.schema([("number", pa.int32()), ("sums", pa.list_(pa.float64()))])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, moves, emits, logs = np.zeros(states), np.zeros((states, states)), np.zeros((states, size)), 0.0
+        seqs, size_now = [], 0
+
+        def learn() -> None:
+            nonlocal start, moves, emits, logs, seqs, size_now
+            for rows in _batches(np.array([len(s) for s in seqs], np.int64)):
+                a, b, c, d = expected(model, *_grid(seqs, rows))
+                start, moves, emits, logs = start + a, moves + b, emits + c, logs + d
+            seqs, size_now = [], 0
+
         for batch in found:
             for k in range(batch.num_rows):
-                held, lens = (np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in ((0, bool), (1, np.int32)))
-                rows = in_round(np.flatnonzero(~held), batch.column(4)[k].as_py(), turn)
-                if not len(rows):
-                    continue
-                # Only the words of these rows are looked up.
-                at, words = np.concatenate([[0], np.cumsum(lens)]), batch.column(3)[k].values
-                index, picked = _unpacked(batch.column(2)[k].as_py()), np.zeros(len(words), bool)
-                for r in rows.tolist():
-                    picked[index[at[r] : at[r + 1]]] = True
-                number = np.full(len(words) + 1, classes.end, np.int64)
-                number[:-1][picked] = classes.of(words.filter(pa.array(picked)).to_pylist())[:-1]
-                seqs = _sequences(index, lens, number, rows)
-                for rows in _batches(np.array([len(s) for s in seqs], np.int64)):
-                    a, b, c, d = expected(model, *_grid(seqs, rows))
-                    start, moves, emits, logs = start + a, moves + b, emits + c, logs + d
+                lens = np.frombuffer(batch.column(0)[k].as_py(), np.int32)
+                flat = _unpacked(batch.column(1)[k].as_py(), 2)
+                # Shares of blocks are put together, so that the recursions' batches are full.
+                seqs += np.split(flat, np.cumsum(lens)[:-1]) if len(lens) else []
+                size_now += len(flat)
+                if size_now >= GRID // 2:
+                    learn()
+        learn()
         # One row for each state, so that sums come together in more places than one.
         rows = [np.concatenate([[logs if s == 0 else 0.0, start[s]], moves[s], emits[s]]) for s in range(states)]
         yield pa.RecordBatch.from_arrays([pa.array(range(states), pa.int32()), pa.array(rows, pa.list_(pa.float64()))], schema=schema)
@@ -276,12 +303,12 @@ def _added(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.list_(pa.float64()))], names=["number", "sums"])
 
 
-def train_round(blocks: DataFrame, model: Model, classes: Classes, base: np.ndarray, turn: int | None = None) -> tuple[Model, float]:
-    """One round of Baum-Welch over the blocks' training rows, or over one in SHARE of them (another one each turn); the sums of a partition are one row for each state. Blocks without
-    a training row leave the model as it is."""
+def train_round(shares: DataFrame, model: Model, base: np.ndarray) -> tuple[Model, float]:
+    """One round of Baum-Welch over shares of blocks (lens, seqs); the sums of a partition are one row for each state. Shares
+    without a training row leave the model as it is."""
     states = len(model.start)
     schema = "number int, sums array<double>"
-    sums = blocks.select("held", "lens", "index", "words", "block").mapInArrow(_statistics(model, classes, turn), schema)
+    sums = shares.select("lens", "seqs").mapInArrow(_statistics(model), schema)
     # Two levels, so that no task reads every partition's sums of a state unless there are few.
     some = sums.withColumn("part", F.spark_partition_id() % 16).repartition(16 * states, "number", "part").select("number", "sums").mapInArrow(_added, schema)
     got = some.repartition(states, "number").mapInArrow(_added, schema).collect()
@@ -349,10 +376,11 @@ def score_documents(docs: DataFrame, fold: int = 1) -> DataFrame:
     shares[classes.end] = ends
     base = (shares + 0.5) / (shares + 0.5).sum()
     model = first_model(base)
+    shares = written(blocks.select("block", "ids", "held", "lens", "index", "words").mapInArrow(_classed(classes), "turn int, ids array<long>, lens binary, seqs binary"), "shares")
     for k in range(WARM_ROUNDS if ends else 0):
-        model, _ = train_round(blocks, model, classes, base, k)
+        model, _ = train_round(shares.where(F.col("turn") == k % SHARE), model, base)
     for _ in range(ROUNDS if ends else 0):
-        model, _ = train_round(blocks, model, classes, base)
+        model, _ = train_round(shares, model, base)
     # Each block gets its words' counts and classes back; the words themselves stay behind.
     # TOP words' counts are broadcast, so that only rarer words meet theirs by a shuffle.
     single = spark.createDataFrame([(w, k, top[w]) for w, k in classes.single.items()], "name binary, single int, often long")
