@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pickle
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -74,14 +76,13 @@ class Interner:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict = {}
+        self.index: defaultdict = defaultdict(count().__next__)
         self.flat: list[np.ndarray] = []
         self.lens: list[int] = []
         self.bytes = 0
 
     def add(self, tokens: list, n_bytes: int) -> None:
-        put, index = self.index.setdefault, self.index
-        self.flat.append(np.fromiter([put(t, len(index)) for t in tokens], np.int32, len(tokens)))
+        self.flat.append(np.fromiter(map(self.index.__getitem__, tokens), np.int32, len(tokens)))
         self.lens.append(len(tokens))
         self.bytes += n_bytes
 

@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ STATES, TOP, BUCKETS, LONGEST = 8, 2048, 2048, 64
 #: Rounds over all training rows; rounds before, each over one row in SHARE.
 ROUNDS, WARM_ROUNDS, SHARE = 2, 6, 16
 #: Bytes of text in a block; time steps in a chunk, and tokens in a batch of the recursions and of their input.
-BLOCK_BYTES, CHUNK, BATCH, GRID = 8 << 20, 512, 1 << 17, 1 << 21
+BLOCK_BYTES, CHUNK, BATCH, GRID = 8 << 20, 512, 1 << 18, 1 << 21
 
 
 @dataclass
@@ -137,40 +138,42 @@ def _grid(seqs: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def forward(model: Model, obs: np.ndarray, live: np.ndarray, before: np.ndarray | None = None, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log likelihood of each row, and the last scaled forward values of rows that last to the end. before: the values
-    before the first step, of a chunk that isn't the first. keep: gets all values, their scales, and what each step emits."""
-    emit, move = model.emit.T, model.move
-    logs = np.zeros(obs.shape[1])
-    if keep is not None:
-        keep["emitted"] = np.ascontiguousarray(emit)[obs]
-        keep["alphas"], keep["scales"] = np.zeros_like(keep["emitted"]), np.ones(obs.shape, emit.dtype)
-    a = np.tile(model.start, (obs.shape[1], 1)) if before is None else before
-    for t in range(len(obs)):
-        n = int(live[t])
-        a = (a[:n] @ move if t or before is not None else a[:n]) * (emit[obs[t, :n]] if keep is None else keep["emitted"][t, :n])
-        s = a.sum(axis=1)
-        a /= s[:, None]
-        logs[:n] += np.log(s)
+    """Natural log likelihood of each row, and the last scaled forward values (state, row) of rows that last to the end. before: the
+    values before the first step, of a chunk that isn't the first. keep: gets all values, their scales, and what each step emits
+    (state, time, row), so that each step works on whole lines of rows."""
+    emit, onward = model.emit, np.ascontiguousarray(model.move.T)
+    logs, a, size = np.zeros(obs.shape[1]), before, max(1, len(obs) if keep is not None else CHUNK)
+    for lo in range(0, len(obs), size):
+        part, n = obs[lo : lo + size], int(live[lo])
+        emitted, scales = emit.take(part[:, :n], axis=1), np.ones((len(part), n), emit.dtype)
+        alphas = np.zeros_like(emitted) if keep is not None else None
+        for t in range(len(part)):
+            n = int(live[lo + t])
+            out = None if alphas is None else alphas[:, t, :n]
+            a = np.multiply(model.start[:, None] if a is None else onward @ a[:, :n], emitted[:, t, :n], out=out)
+            a /= np.add.reduce(a, axis=0, out=scales[t, :n])
+        logs[: scales.shape[1]] += np.log(scales).sum(axis=0, dtype=np.float64)
         if keep is not None:
-            keep["alphas"][t, :n], keep["scales"][t, :n] = a, s
+            keep["emitted"], keep["alphas"], keep["scales"] = emitted, alphas, scales
     return logs, a
 
 
 def _backward(model: Model, live: np.ndarray, kept: dict, after: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """Turns a chunk's forward values into the states' probabilities at each step, adds to moves, and gives what the step before
     the chunk needs. after: the same, of the chunk behind."""
-    alphas, back = kept["alphas"], np.ascontiguousarray(model.move.T)
-    emitted = kept["emitted"]
-    emitted /= kept["scales"][:, :, None]
-    for t in range(len(alphas) - 1, -1, -1):
-        n, m = int(live[t]), len(after)
-        b = emitted[t, :n]
+    alphas, emitted = kept["alphas"], kept["emitted"]
+    emitted /= kept["scales"]
+    behind, m = np.ones_like(alphas), after.shape[1]
+    moves += alphas[:, -1, :m] @ after.T
+    for t in range(alphas.shape[1] - 1, -1, -1):
+        n, b = int(live[t]), emitted[:, t]
         if m:
-            moves += alphas[t, :m].T @ after
-            behind = after @ back
-            alphas[t, :m] *= behind
-            b[:m] *= behind
-        after = b
+            b[:, :m] *= np.matmul(model.move, after, out=behind[:, t, :m])
+        b[:, n:] = 0
+        after, m = b[:, :n], n
+    states = len(alphas)
+    moves += alphas[:, :-1].reshape(states, -1) @ emitted[:, 1:].reshape(states, -1).T
+    alphas *= behind
     return after
 
 
@@ -183,15 +186,15 @@ def expected(model: Model, obs: np.ndarray, live: np.ndarray, chunk: int = CHUNK
     edges: list[np.ndarray | None] = [None]
     for lo, hi in cuts[:-1]:
         edges.append(forward(own, obs[lo:hi, : int(live[lo])], live[lo:hi], edges[-1])[1])
-    logs, moves, emits, after = 0.0, np.zeros((states, states)), np.zeros((states, size)), np.zeros((0, states), kind)
+    logs, moves, emits, after = 0.0, np.zeros((states, states)), np.zeros((states, size)), np.zeros((states, 0), kind)
     for (lo, hi), edge in zip(reversed(cuts), reversed(edges), strict=True):
         # Rows that end in an earlier chunk are no part of this one.
         part, n, kept = obs[lo:hi, : int(live[lo])], live[lo:hi], {}
         logs += float(forward(own, part, n, edge, kept)[0].sum())
         after = _backward(own, n, kept, after, moves)
         flat = part.ravel()
-        emits += np.stack([np.bincount(flat, kept["alphas"][..., s].ravel(), size) for s in range(states)])
-    return kept["alphas"][0].sum(axis=0, dtype=np.float64), moves * model.move, emits, logs
+        emits += np.stack([np.bincount(flat, kept["alphas"][s].ravel(), size) for s in range(states)])
+    return kept["alphas"][:, 0].sum(axis=1, dtype=np.float64), moves * model.move, emits, logs
 
 
 def updated(start: np.ndarray, moves: np.ndarray, emits: np.ndarray, base: np.ndarray) -> Model:
@@ -213,18 +216,20 @@ class Classes:
 
     def __init__(self, top: list[bytes], buckets: int = BUCKETS):
         self.single, self.buckets = {w: k for k, w in enumerate(top)}, buckets
-        self.long = any(len(w) > LONGEST for w in top)
+        self.names, self.long = pa.array(top, pa.binary()), any(len(w) > LONGEST for w in top)
         self.end, self.size = len(top) + buckets, len(top) + buckets + 1
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        single, n, crc = self.single, len(self.single), zlib.crc32
-        out = np.empty(len(words) + 1, np.int64)
-        out[:-1] = [single[w] if w in single else n + crc(w) % self.buckets for w in words]
+    def of(self, words: pa.Array | list[bytes]) -> np.ndarray:
+        """The classes of words, and of the end."""
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        n, crc = len(self.single), zlib.crc32
+        out = np.full(len(words) + 1, self.end, np.int64)
+        out[:-1] = pc.fill_null(pc.index_in(words, value_set=self.names), -1).to_numpy(zero_copy_only=False)
         if self.long:
-            for k, w in enumerate(words):
-                if len(w) > LONGEST and name_of(w) in single:
-                    out[k] = single[name_of(w)]
-        out[-1] = self.end
+            for k in np.flatnonzero(pc.greater(pc.binary_length(words), LONGEST).to_numpy(zero_copy_only=False)).tolist():
+                out[k] = self.single.get(name_of(words[k].as_py()), -1)
+        shared = np.flatnonzero(out < 0)
+        out[shared] = [n + crc(w) % self.buckets for w in words.take(pa.array(shared)).to_pylist()]
         return out
 
 
@@ -249,7 +254,7 @@ def _classed(classes: Classes):
             for k in range(batch.num_rows):
                 ids, block = batch.column(1)[k].values, batch.column(0)[k].as_py()
                 held, lens = (np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in ((2, bool), (3, np.int32)))
-                index, number = _unpacked(batch.column(4)[k].as_py()), classes.of(batch.column(5)[k].as_py())
+                index, number = _unpacked(batch.column(4)[k].as_py()), classes.of(batch.column(5)[k].values)
                 out = []
                 for turn in range(SHARE):
                     rows = in_round(np.arange(len(lens)), block, turn)
