@@ -34,11 +34,8 @@ def of_components(pairs: DataFrame) -> DataFrame:
 
 
 def near(hashes: DataFrame, most: int, bits: int = 64) -> DataFrame:
-    """Rows (id, hash) within `most` bits, as groups. Equal hashes are linked to their least id, not to one another, which
-    makes the same components."""
-    heads = hashes.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.min("id").alias("id"))
-    same = hashes.select("hash", F.col("id").alias("b")).join(heads.select("hash", F.col("id").alias("a")), "hash").where("a < b")
-    return of_components(graph.hamming_pairs(heads.select("id", "hash"), most, bits).select("a", "b").union(same.select("a", "b")))
+    """Rows (id, hash) within `most` bits, as groups."""
+    return of_components(graph.hamming_links(hashes, most, bits))
 
 
 def by_hash(media: DataFrame, most: int = HAMMING, media_type: str | None = None) -> DataFrame:

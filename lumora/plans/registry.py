@@ -297,7 +297,7 @@ def j11_hamming_pairs(t: Tables) -> DataFrame:
 
 @query("a11_hamming_groups", f"with recursive {_BITS}, {_GROUPS} select root as group_id, id as media_id from roots")
 def a11_hamming_groups(t: Tables) -> DataFrame:
-    return duplicates.of_components(graph.hamming_pairs(t.hashes, BITS, 62))
+    return duplicates.near(t.hashes, BITS, 62)
 
 
 @query("a10_representative", "select media_id, arg_min(point_id, frame_idx * 1000000 + point_id) as point_id from embedding group by 1")
