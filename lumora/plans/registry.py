@@ -911,7 +911,8 @@ def v05_faces(t: Tables) -> DataFrame:
 def t07_session_leaders(t: Tables) -> DataFrame:
     """Leaders of a stream over the vectors' files, a session a source, as keyed state."""
     root = f"{shared_root(t.spark)}/lumora/stream-{uuid.uuid4().hex}"
-    stream = t.spark.readStream.schema(t.read("embeddings").schema).option("pathGlobFilter", "embeddings.parquet").parquet(t.dir)
+    # A stream takes no single file, but a pattern; it finds the table as one file and as a folder.
+    stream = t.spark.readStream.schema(t.read("embeddings").schema).parquet(f"{t.dir}/embeddings.parque[t]")
     faces = stream.selectExpr("case when vec_id % 3 = 0 then 'video_frame' else 'image' end as session", "vec_id as id", "embedding as vec")
     session.prepared(t.spark)
     found = session.session_leaders(faces).writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out")
