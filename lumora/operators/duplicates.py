@@ -55,8 +55,12 @@ def representatives(embedding: DataFrame) -> DataFrame:
 def by_vector(embedding: DataFrame, threshold: float = COSINE, media_type: str | None = None) -> DataFrame:
     """Pairs (a, b, score): a's representative against any point of b, for a < b. Videos are compared by their frames' points, all others
     by images' points; points of the other source take no part."""
-    points = embedding.where(F.col("source") == ("video_frame" if media_type == "video" else "image"))
-    return graph.cosine_pairs(representatives(points).select(F.col("media_id").alias("id"), "vec"), points.select(F.col("media_id").alias("id"), "vec"), threshold)
+    return by_any_vector(embedding.where(F.col("source") == ("video_frame" if media_type == "video" else "image")), threshold)
+
+
+def by_any_vector(embedding: DataFrame, threshold: float = COSINE) -> DataFrame:
+    """Pairs (a, b, score): a's representative against any point of b, for a < b, whatever the points' sources."""
+    return graph.cosine_pairs(representatives(embedding).select(F.col("media_id").alias("id"), "vec"), embedding.select(F.col("media_id").alias("id"), "vec"), threshold)
 
 
 def library(media: DataFrame, embedding: DataFrame, media_type: str | None = None, most: int = HAMMING, threshold: float = COSINE) -> DataFrame:

@@ -309,9 +309,13 @@ _REPS = "reps as (select * from (select *, row_number() over (partition by media
 _COSINE = f"{_REPS}, pairs as (select a.media_id as a, b.media_id as b, max({similarity('a.vec', 'b.vec')}) as score from reps a join (select * from embedding where source = 'image') b on a.media_id < b.media_id group by 1, 2 having max({similarity('a.vec', 'b.vec')}) >= {ALIKE})"
 
 
-@query("j12_cosine_pairs", f"with {_COSINE} select a, b, round(score, 6) as score from pairs")
+#: Points of all sources.
+_ALL_COSINE = _COSINE.replace(" where source = 'image'", "")
+
+
+@query("j12_cosine_pairs", f"with {_ALL_COSINE} select a, b, round(score, 6) as score from pairs")
 def j12_cosine_pairs(t: Tables) -> DataFrame:
-    return duplicates.by_vector(t.embedding, ALIKE).select("a", "b", _score())
+    return duplicates.by_any_vector(t.embedding, ALIKE).select("a", "b", _score())
 
 
 @query("a11_cosine_groups", f"with recursive {_COSINE}, {_GROUPS} select root as group_id, id as media_id from roots")

@@ -63,3 +63,12 @@ def test_session_leaders_of_a_table_in_parts(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/embeddings.parquet").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
     got, want = ({tuple(r) for r in registry.QUERIES["t07_session_leaders"](spark, d).collect()} for d in (str(tmp_path), sf_dir))
     assert got == want and len(got) > 100
+
+
+def test_cosine_pairs_of_all_sources(spark):
+    """Points of videos' frames take part as images' do."""
+    rows = [(0, 1, 0, "image", [1.0, 0.0]), (1, 2, 0, "video_frame", [1.0, 0.1]), (2, 3, 0, "video_frame", [0.0, 1.0]), (3, 3, 1, "image", [1.0, 0.2])]
+    points = spark.createDataFrame(rows, "point_id long, media_id long, frame_idx long, source string, vec array<double>")
+    assert {(r.a, r.b) for r in duplicates.by_any_vector(points, 0.9).collect()} == {(1, 2), (1, 3), (2, 3)}
+    assert {(r.a, r.b) for r in duplicates.by_vector(points, 0.9).collect()} == {(1, 3)}
+    assert "source = 'image'" not in registry.ORACLES["j12_cosine_pairs"].split("reps as")[1]
