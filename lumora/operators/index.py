@@ -32,6 +32,17 @@ BLOCK = 4096
 #: Room for rounding, in radians and in products.
 SLACK = 1e-5
 CODES = [("list", T.IntegerType()), ("angle", T.DoubleType()), ("q", T.BinaryType()), ("scale", T.DoubleType()), ("err", T.DoubleType())]
+#: A row's number in the index.
+ROW = "row"
+#: Angles from rows to pivots that are in memory at once.
+ANGLES = 1 << 20
+
+
+def parts(batch: pa.RecordBatch, pivots: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose angles to all pivots are ANGLES at most (a row's own, if it has more)."""
+    few = max(1, ANGLES // max(1, pivots))
+    for lo in range(0, batch.num_rows, few):
+        yield batch.slice(lo, few)
 
 
 def directions(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +77,7 @@ def _unpacked(column: pa.Array, width: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """rows: id, the columns kept, vec, list, angle, q, scale, err. By list: how many rows, and their least and greatest angle."""
+    """rows: id, the columns kept, vec, list, angle, q, scale, err, row. By list: how many rows, and their least and greatest angle."""
 
     rows: DataFrame
     pivots: np.ndarray
@@ -85,7 +96,7 @@ class Index:
 
         First the codes alone are read, in the lists and angles that can hold a hit; then the vectors of what may be among the best.
         """
-        kept = [c for c in self.rows.columns if c not in ("vec", *[n for n, _ in CODES])]
+        kept = [c for c in self.rows.columns if c not in ("vec", ROW, *[n for n, _ in CODES])]
         q, width = np.asarray(query, np.float64), self.pivots.shape[1]
         length = float(np.sqrt(q @ q)) if len(q) == width else 0.0
         if not (np.isfinite(length) and length > 0):
@@ -115,48 +126,53 @@ class Index:
         return vectors.scored(chosen, query).drop("vec").where(F.col("score") >= threshold).orderBy(F.desc("score"), "id").limit(limit)
 
     def pairs(self, left: DataFrame, threshold: float, strict: bool = False, ordered: bool = True) -> DataFrame:
-        """(a, b): candidates of left rows (id, vec) and the index's rows; every pair at the threshold is among them, once. ordered: a < b only."""
+        """(left, right): candidates among left rows (id, row, vec) and the index's rows, by their numbers (row), as ids may repeat; every pair at
+        the threshold is among them, once. ordered: only those of a lesser left id."""
         width, within = self.pivots.shape[1], float(np.arccos(np.clip(threshold, -1, 1)))
 
         def visits(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in found:
-                for lo in range(0, whole.num_rows, 256):
-                    batch = whole.slice(lo, 256)
-                    fit, unit = directions(batch.column(1), width)
+                for batch in parts(whole, len(pivots)):
+                    fit, unit = directions(batch.column(2), width)
                     rows, lists = np.nonzero(self_reached(angles(unit, pivots), within))
                     q, scale, err = quantised(unit) if len(fit) else (np.zeros((0, width), np.int8), np.zeros(0), np.zeros(0))
                     at = pa.array(rows)
-                    ids = batch.column(0).take(pa.array(fit))
-                    yield pa.RecordBatch.from_arrays([ids.take(at), pa.array(lists.astype(np.int32)), _codes(q).take(at), pa.array(scale).take(at), pa.array(err).take(at)], names=["id", "list", "q", "scale", "err"])
+                    ids, own = (batch.column(k).take(pa.array(fit)) for k in (0, 1))
+                    codes, scale, err = _codes(q), pa.array(scale), pa.array(err)
+                    for lo in range(0, len(rows), 1 << 16):
+                        some = at.slice(lo, 1 << 16)
+                        yield pa.RecordBatch.from_arrays([ids.take(some), own.take(some), pa.array(lists[lo : lo + (1 << 16)].astype(np.int32)), codes.take(some), scale.take(some), err.take(some)], names=["id", "row", "list", "q", "scale", "err"])
 
         pivots, self_reached = self.pivots, Index(None, None, self.sizes, self.nearest, self.furthest).reached
-        seen = written(left.where("id is not null").select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(visits, "id long, list int, q binary, scale double, err double"), "index-visits")
+        seen = written(left.where("id is not null").select(F.col("id").cast("long").alias("id"), "row", "vec").mapInArrow(visits, "id long, row long, list int, q binary, scale double, err double"), "index-visits")
         blocks = lambda n: F.ceil(n / BLOCK).cast("int")
         spark = seen.sparkSession
         # Both tables have MOST_LISTS rows at most.
         own = spark.createDataFrame([(int(k), int(n)) for k, n in enumerate(self.sizes) if n], "list int, n long")
         shares = F.broadcast(seen.groupBy("list").agg(F.count(F.lit(1)).alias("m")).join(F.broadcast(own), "list").select("list", blocks(F.col("m")).alias("lefts"), blocks(F.col("n")).alias("rights")))
         each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        l = seen.join(shares, "list").select("list", "id", "q", "scale", "err", F.pmod(F.xxhash64("id"), "lefts").cast("int").alias("i"), each("rights").alias("j"))  # noqa: E741
-        r = self.rows.where("id is not null").select("list", F.col("id").cast("long").alias("id"), "q", "scale", "err").join(shares, "list").select("list", "id", "q", "scale", "err", F.pmod(F.xxhash64("id", "q"), "rights").cast("int").alias("j"), each("lefts").alias("i"))
+        l = seen.join(shares, "list").select("list", "id", "row", "q", "scale", "err", F.pmod(F.xxhash64("row"), "lefts").cast("int").alias("i"), each("rights").alias("j"))  # noqa: E741
+        r = self.rows.where("id is not null").select("list", F.col("id").cast("long").alias("id"), "row", "q", "scale", "err").join(shares, "list").select("list", "id", "row", "q", "scale", "err", F.pmod(F.xxhash64("row"), "rights").cast("int").alias("j"), each("lefts").alias("i"))
 
         def near(a: pa.Table, b: pa.Table) -> pa.Table:
             out = ([], [])
             if a.num_rows and b.num_rows:
                 x, y = ((_unpacked(t.column("q"), width) * t.column("scale").to_numpy()[:, None]).astype(np.float32) for t in (a, b))
                 ex, ey, ia, ib = a.column("err").to_numpy(), b.column("err").to_numpy(), a.column("id").to_numpy(), b.column("id").to_numpy()
+                ra, rb = a.column("row").to_numpy(), b.column("row").to_numpy()
                 for lo in range(0, len(x), 512):
                     part, e = x[lo : lo + 512] @ y.T, ex[lo : lo + 512, None]
                     hit = part + e + (1 + e) * ey + SLACK >= threshold
                     if ordered:
                         hit &= ia[lo : lo + 512, None] < ib
                     p, q = np.nonzero(hit)
-                    out[0].append(ia[lo:][p])
-                    out[1].append(ib[q])
+                    out[0].append(ra[lo:][p])
+                    out[1].append(rb[q])
             join = lambda v: pa.array(np.concatenate(v) if v else [], pa.int64())
-            return pa.table({"a": join(out[0]), "b": join(out[1])})
+            return pa.table({"left": join(out[0]), "right": join(out[1])})
 
-        return l.groupBy("list", "i", "j").cogroup(r.groupBy("list", "i", "j")).applyInArrow(near, "a long, b long").distinct()
+        # A row of the index lies in one list, so no pair meets twice.
+        return l.groupBy("list", "i", "j").cogroup(r.groupBy("list", "i", "j")).applyInArrow(near, "left long, right long")
 
 
 def built(rows: DataFrame, lists: int | None = None) -> Index:
@@ -172,7 +188,7 @@ def built(rows: DataFrame, lists: int | None = None) -> Index:
     arrow, at = to_arrow_schema(schema), rows.columns.index("vec")
 
     def coded(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
+        for batch in (part for whole in found for part in parts(whole, len(pivots))):
             fit, unit = directions(batch.column(at), width)
             if not len(fit):
                 continue
@@ -182,7 +198,7 @@ def built(rows: DataFrame, lists: int | None = None) -> Index:
             columns = [*batch.take(pa.array(fit)).columns, pa.array(nearest.astype(np.int32)), pa.array(by[np.arange(len(fit)), nearest]), _codes(q), pa.array(scale), pa.array(err)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    table = written(rows.mapInArrow(coded, schema).repartitionByRange("list", "angle").sortWithinPartitions("list", "angle"), "vector-index")
+    table = written(rows.mapInArrow(coded, schema).repartitionByRange("list", "angle").sortWithinPartitions("list", "angle").withColumn(ROW, F.monotonically_increasing_id()), "vector-index")
     sizes, nearest, furthest = np.zeros(len(pivots), np.int64), np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
     for r in table.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect():  # a row a list
         sizes[r["list"]], nearest[r["list"]], furthest[r["list"]] = r["n"], r["low"], r["high"]
@@ -193,8 +209,9 @@ def near_pairs(left: DataFrame, right: DataFrame, threshold: float, strict: bool
     """(a, b, score) of left rows (id, vec) and right rows (id, vec) with cosine at or above the threshold, exactly; a pair of ids keeps its
     best score. ordered: a < b only. The index's candidates are scored from the vectors; only codes meet before that."""
     found = built(right.where("id is not null").select(F.col("id").cast("long").alias("id"), "vec"))
-    may = found.pairs(left, threshold, strict, ordered)
+    own = written(left.where("id is not null").select(F.col("id").cast("long").alias("id"), "vec", F.monotonically_increasing_id().alias(ROW)), "index-left")
+    may = found.pairs(own, threshold, strict, ordered)
     score = vectors.cosine(F.col("_l"), F.col("_r"), epsilon)
-    met = may.join(left.select(F.col("id").cast("long").alias("a"), F.col("vec").alias("_l")), "a").join(found.rows.select(F.col("id").alias("b"), F.col("vec").alias("_r")), "b")
+    met = may.join(own.select(F.col(ROW).alias("left"), F.col("id").alias("a"), F.col("vec").alias("_l")), "left").join(found.rows.select(F.col(ROW).alias("right"), F.col("id").alias("b"), F.col("vec").alias("_r")), "right")
     scored = met.select("a", "b", score.alias("score")).where(F.col("score") > threshold if strict else F.col("score") >= threshold)
     return scored.groupBy("a", "b").agg(F.max("score").alias("score"))

@@ -1,6 +1,7 @@
 """The index against products of all vectors: hits and pairs are exact, odd vectors are like nothing, lists are skipped."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,22 @@ def test_search_by_the_index_is_the_scan(spark):
     want = [(r.point_id, round(r.score, 9)) for r in search.top_hits(df, x[3].tolist(), 0.4, 25).collect()]
     found = index.built(df.withColumnRenamed("point_id", "id"))
     assert [(r.id, round(r.score, 9)) for r in found.hits(x[3].tolist(), 0.4, 25).collect()] == want and vectors.EPSILON
+
+
+def test_candidates_are_rows_not_ids(spark):
+    """Rows of one id don't bring one another in; else few ids of many rows would all be scored."""
+    x = clustered(300)
+    df = frame(spark, x, odd=False).withColumn("id", F.col("id") % 3)
+    found, own = index.built(df), df.withColumn("row", F.monotonically_increasing_id())
+    s = cosines(x, x)
+    ids = np.arange(300) % 3
+    may = found.pairs(own, 0.9)
+    assert may.columns == ["left", "right"]
+    n, true = may.count(), int(((s >= 0.9) & (ids[:, None] < ids)).sum())
+    assert true <= n <= 1.5 * true + 50
+
+
+def test_angles_in_memory_are_bounded():
+    batch = pa.RecordBatch.from_pydict({"id": list(range(5000))})
+    sizes = [p.num_rows for p in index.parts(batch, 4096)]
+    assert sum(sizes) == 5000 and max(sizes) * 4096 <= index.ANGLES
