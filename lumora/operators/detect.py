@@ -91,7 +91,7 @@ def anchors(spark: SparkSession, width: int, height: int) -> DataFrame:
     return anchor_grid(spark.range(1).select(F.lit(width).alias("width"), F.lit(height).alias("height"))).drop("width", "height")
 
 
-def _images(found: Iterator[pa.RecordBatch], size: int = 64 << 20) -> Iterator[pa.RecordBatch]:
+def _images(found: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of images in parts of about `size` bytes at most, so that tensors of a few are unpacked at once."""
     for batch in found:
         few = max(1, batch.num_rows * size // max(1, batch.nbytes))
@@ -103,6 +103,11 @@ def _floats(values: list | None) -> np.ndarray:
     return np.array(values or [], np.float64)
 
 
+def _tensors(lists: pa.Array) -> list[np.ndarray]:
+    """An image's lists of numbers as arrays, without Python's numbers between."""
+    return [np.zeros(0) if not v.is_valid else v.values.to_numpy(zero_copy_only=False).astype(np.float64) for v in lists]
+
+
 RECORDS = "media_id long, obj_no int, class_name string, conf double, x1 double, y1 double, x2 double, y2 double, mask_area long, mask_rle array<array<bigint>>"
 
 
@@ -149,10 +154,11 @@ def faces_of(raw: DataFrame, threshold: float, overlap: float = FACE_OVERLAP) ->
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _images(found):
             out = []
-            for r in batch.to_pylist():
-                if r["outputs"] and min(r["width"] or 0, r["height"] or 0) >= FACE_SIDE:
-                    for k, f in enumerate(tensors.faces([_floats(o) for o in r["outputs"]], r["width"], r["height"], threshold, overlap).tolist()):
-                        out.append((r["media_id"], k, f[14], *f[:4], f[4:14]))
+            media, outputs, widths, heights = batch.columns
+            for n, (id_, width, height) in enumerate(zip(media.to_pylist(), widths.to_pylist(), heights.to_pylist(), strict=True)):
+                if outputs[n].is_valid and len(outputs[n]) and min(width or 0, height or 0) >= FACE_SIDE:
+                    for k, f in enumerate(tensors.faces(_tensors(outputs[n].values), width, height, threshold, overlap).tolist()):
+                        out.append((id_, k, f[14], *f[:4], f[4:14]))
             yield _batch(out, FACE_TYPES)
 
     return raw.select(F.col("media_id").cast("long").alias("media_id"), "outputs", "width", "height").mapInArrow(run, FACES)
