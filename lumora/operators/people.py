@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumora.operators.media import visible
 
+#: Rows of faces, or of media, that meet in one part, about; and the parts that fewer are cut into, so that tasks share them.
+ROWS, SPREAD = 1_200_000, 8
+
 
 def candidates(faces: DataFrame) -> DataFrame:
     """What a media's faces say of persons: face_id, conf, face_bbox."""
@@ -54,8 +58,17 @@ def named_in_rows(rows: DataFrame, face_id: object, name: str) -> DataFrame:
 
 
 def photos_of(faces: DataFrame, media: DataFrame, person: DataFrame) -> DataFrame:
-    """Every person with the number of visible media that show them, 0 included."""
-    shown = faces.join(media.where(visible()).select(F.col("id").alias("media_id")), "media_id", "left_semi").groupBy("face_id").agg(F.countDistinct("media_id").alias("_n"))
+    """Every person with the number of visible media that show them, 0 included.
+
+    Faces meet their media in parts of about ROWS rows, whatever the tables' size, and repeats are told by order there: a task sorts a part
+    of either table and holds no table of all pairs.
+    """
+    n = max(faces.count(), media.count())
+    parts = max(-(-n // ROWS), min(SPREAD, 1 + n // 65_536))
+    dealt = faces.select("media_id", "face_id").repartition(parts, "media_id")
+    once = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("media_id", "face_id").orderBy("face_id"))).where("_k = 1")
+    seen = media.where(visible()).select(F.col("id").alias("media_id")).repartition(parts, "media_id")
+    shown = once.join(seen, "media_id", "left_semi").groupBy("face_id").agg(F.count("media_id").alias("_n"))
     return person.join(shown, "face_id", "left").select("face_id", "name", F.coalesce("_n", F.lit(0)).alias("photos"))
 
 
